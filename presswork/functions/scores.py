@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a computed value several times but compute it once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def softmax(logits: Column) -> Column:
     """Softmax with the maximum shifted out."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    def normalised(exps: Column) -> Column:
+        return _let(_sum(exps), lambda total: F.transform(exps, lambda x: x / total))
+
+    def shifted(peak: Column) -> Column:
+        return _let(F.transform(logits, lambda x: F.exp(x - peak)), normalised)
+
+    return _let(F.array_max(logits), shifted)
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log softmax of the target class."""
-    peak = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - peak))
-    return -(F.get(logits, target) - (peak + F.log(total)))
+    def loss(peak: Column) -> Column:
+        total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - peak))
+        return peak + F.log(total) - F.get(logits, target)
+
+    return _let(F.array_max(logits), loss)
 
 
 def mean_of_models(per_model: Column) -> Column:

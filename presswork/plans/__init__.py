@@ -1,6 +1,6 @@
 """Registered queries: the operators applied to the given tables."""
 
-from presswork.plans import corpus_queries, text_queries
+from presswork.plans import corpus_queries, text_queries, vector_queries
 from presswork.plans.registry import ORACLES, QUERIES
 from presswork.plans.text_queries import words_per_language as flagship
 

@@ -70,7 +70,7 @@ if __name__ == "__main__":
     sf_dir = f"/root/testdata/sf{sf}"
     names = sys.argv[2:] or list(e.queries())
     spark = get_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
-                        spark__ui__enabled="false")
+                        spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = 0
