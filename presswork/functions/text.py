@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 STRIP = r"[^\p{L}\p{N}_." + SPACE + "]"
 SPACES = f"[{SPACE}]+"
-OUTER_SPACES = rf"\A[{SPACE}]+|[{SPACE}]+\z"
-FINAL_DOTS = rf"\.+[{SPACE}]*\z"
+# Runs are entered at their first character only and never given back (possessive), so that
+# long junk runs cost linear time.
+OUTER_SPACES = rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z"
+FINAL_DOTS = rf"(?<!\.)\.++(?=[{SPACE}]|\z)"
 SENTENCE_BREAK = rf"(?<=[.!?])[{SPACE}]+|\n+"
+LETTER = r"[A-Za-z]|\p{L}"
 
 # Tags dropped by default (number, foreign/other, punctuation) and literal tokens.
 DROP_TAGS = ("M", "X", "CH")
 DROP_LITERALS = ("'", ",")
 
 URL = r"(?:https?://|www\.)\S+"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
 
 HTML_BLOCKS = r"(?is)<(script|style)\b.*?</(script|style)\s*>"
 HTML_COMMENT = r"(?s)<!--.*?-->"
@@ -50,12 +53,13 @@ def words(sentence: Column) -> Column:
 
 def sentence_words(text: Column) -> Column:
     """Array (sentences) of arrays (tokens) of the stripped text."""
-    return F.transform(sentences(strip_chars(text)), words)
+    per_sentence = F.transform(F.split(strip_chars(text), SENTENCE_BREAK), words)
+    return F.filter(per_sentence, lambda tokens: F.size(tokens) > 0)
 
 
 def rule_tag(token: Column) -> Column:
     """``N`` with a letter, ``M`` with digits only, ``CH`` with neither."""
-    return F.when(token.rlike(r"\p{L}"), "N").when(token.rlike(r"\p{N}"), "M").otherwise("CH")
+    return F.when(token.rlike(LETTER), "N").when(token.rlike(r"\p{N}"), "M").otherwise("CH")
 
 
 def is_kept(token: Column, drop_tags=DROP_TAGS, drop_literals=DROP_LITERALS, tag: Column | None = None) -> Column:
@@ -64,9 +68,19 @@ def is_kept(token: Column, drop_tags=DROP_TAGS, drop_literals=DROP_LITERALS, tag
 
 
 def kept_words(text: Column, drop_tags=DROP_TAGS, drop_literals=DROP_LITERALS) -> Column:
-    """Lower-cased kept tokens of a raw text, in order."""
-    tokens = F.flatten(sentence_words(text))
-    kept = F.filter(tokens, lambda t: is_kept(t, drop_tags, drop_literals))
+    """Lower-cased kept tokens of a raw text, in order.
+
+    Dots before white space close a sentence, so the tokens of all sentences are found without
+    building the sentences. When numbers and punctuation are both dropped, as by default, the
+    words with a letter are what is left.
+    """
+    stripped = strip_chars(text)
+    if {"M", "CH"} <= set(drop_tags) and "N" not in drop_tags:
+        plain = F.lower(F.regexp_replace(stripped, FINAL_DOTS, ""))
+        kept = F.filter(F.split(plain, SPACES), lambda t: t.rlike(LETTER))
+        literals = [w.lower() for w in drop_literals if any(ch.isalpha() for ch in w)]
+        return F.filter(kept, lambda t: ~t.isin(*literals)) if literals else kept
+    kept = F.filter(words(stripped), lambda t: is_kept(t, drop_tags, drop_literals))
     return F.transform(kept, F.lower)
 
 

@@ -30,7 +30,7 @@ def fit(df: DataFrame, label: str, words: str, classes: Sequence[str], smoothing
     row per task. The word table is stored, since scoring reads it again.
     """
     known = df.filter(F.col(label).isin(*classes))
-    tokens = known.select(label, F.explode(words).alias("token"))
+    tokens = known.select(label, F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
     per_class = [F.count(F.when(F.col(label) == c, 1)).alias(f"n{i}") for i, c in enumerate(classes)]
     counted = tokens.groupBy("token").agg(*per_class)
     counts = materialise(counted.filter(sum(F.col(f"n{i}") for i in range(len(classes))) >= min_count), "word-counts")

@@ -14,14 +14,30 @@ from pyspark.sql import types as T
 from presswork.functions.text import stable_hash
 
 
+def _hex_digits(buckets: int) -> int | None:
+    """``k`` when ``buckets`` is ``16 ** k`` (at most 8 digits), else None."""
+    return next((k for k in range(1, 9) if 16**k == buckets), None)
+
+
+def bucket_names(buckets: int) -> list[str]:
+    digits = _hex_digits(buckets)
+    return [f"{i:0{digits}x}" if digits else str(i) for i in range(buckets)]
+
+
 def word_buckets(words: Column, buckets: int) -> Column:
-    """Hash bucket (as text) of every word, the same in every engine."""
+    """Name of the hash bucket ``stable_hash(word) % buckets`` of every word.
+
+    For a power of 16 the remainder is simply the last of the hash's hex digits.
+    """
+    digits = _hex_digits(buckets)
+    if digits:
+        return F.transform(words, lambda w: F.substring(F.md5(w.cast("binary")), 9 - digits, digits))
     return F.transform(words, lambda w: (stable_hash(w) % buckets).cast("string"))
 
 
 def hashed_counts(df: DataFrame, words: str, buckets: int, out: str = "tf") -> DataFrame:
     """Sparse vector of bucket counts. A narrow step: counting stays inside each row."""
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], "_buckets", out)
+    counter = CountVectorizerModel.from_vocabulary(bucket_names(buckets), "_buckets", out)
     return counter.transform(df.withColumn("_buckets", word_buckets(F.col(words), buckets))).drop("_buckets")
 
 
@@ -42,7 +58,7 @@ def ml_tfidf(df: DataFrame, words: str, buckets: int, out: str = "features") ->
 
 def nonzero(df: DataFrame, key: str, vector: str, value: str) -> DataFrame:
     """Long form ``(key, bucket, value)`` of the non-zero entries."""
-    dense = df.select(key, F.posexplode(vector_to_array(F.col(vector))).alias("bucket", value))
+    dense = df.select(key, F.posexplode_outer(vector_to_array(F.col(vector))).alias("bucket", value))
     return dense.filter(F.col(value) != 0)
 
 

@@ -60,15 +60,14 @@ def model_arrays(model: DataFrame, label: str, classes: Sequence, fold: str | No
     The size is fixed by the model (folds x classes x dimension), not by the data. A class that
     a model has never seen scores minus infinity.
     """
-    rows = model.collect()
+    rows = model.filter(F.col(label).isin(list(classes))).collect()
     folds = sorted({r[fold] for r in rows}) if fold else [None]
     dim = len(rows[0]["mu"])
     weights = np.zeros((len(folds), len(classes), dim))
     bias = np.full((len(folds), len(classes)), -np.inf)
     for r in rows:
-        if r[label] in classes:
-            at = (folds.index(r[fold]) if fold else 0, list(classes).index(r[label]))
-            weights[at], bias[at] = r["mu"], r["bias"]
+        at = (folds.index(r[fold]) if fold else 0, list(classes).index(r[label]))
+        weights[at], bias[at] = r["mu"], r["bias"]
     return weights, bias
 
 

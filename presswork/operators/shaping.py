@@ -33,12 +33,14 @@ def _quota_bounds(size: Column, offset: Column, folds: int) -> Column:
     return F.array(*bounds)
 
 
-def stratified_kfold(df: DataFrame, label: str, order: str, folds: int = 5, name: str = "kfold") -> DataFrame:
-    """Stratified folds without shuffling; classes ranked by first appearance in ``order``.
+def fold_ends(df: DataFrame, label: str, order: str, folds: int = 5) -> DataFrame:
+    """``(label, _ends)``: per class, the ``order`` value of the last row of every fold.
 
-    ``order`` must be unique. Only the columns in ``df`` are sorted: pass keys, join text later.
+    A fold takes consecutive rows of a class, so these few values are all that is needed to place
+    any row. Finding them sorts ``(label, order)`` pairs only. A null end marks a fold before which
+    the class has no row.
     """
-    ranked = with_position(df, label, order, name="_pos")
+    ranked = with_position(df.select(label, order), label, order, name="_pos")
     appearance = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     classes = (
         ranked.groupBy(label)
@@ -46,10 +48,24 @@ def stratified_kfold(df: DataFrame, label: str, order: str, folds: int = 5, name
         .withColumn("_offset", F.coalesce(F.sum("_n").over(appearance), F.lit(0)))
         .select(label, "_start", _quota_bounds(F.col("_n"), F.col("_offset"), folds).alias("_bounds"))
     )
-    joined = lookup_join(ranked, classes, [label], spread=[order], how="inner")
-    rank = F.col("_pos") - F.col("_start")
-    fold = F.size(F.filter("_bounds", lambda end: end <= F.col("_rank"))).cast("int")
-    return joined.withColumn("_rank", rank).withColumn(name, fold).drop("_pos", "_start", "_bounds", "_rank")
+    placed = lookup_join(ranked, classes, [label], spread=[order], how="inner")
+    taken = F.col("_pos") - F.col("_start") + 1
+    last_rows = placed.filter(F.array_contains("_bounds", taken)).groupBy(label, "_bounds").agg(
+        F.collect_list(F.struct(taken.alias("taken"), F.col(order).alias("at"))).alias("_last"))
+    ends = F.transform("_bounds", lambda b: F.get(F.filter("_last", lambda s: s["taken"] == b), F.lit(0))["at"])
+    return last_rows.select(label, ends.alias("_ends"))
+
+
+def stratified_kfold(df: DataFrame, label: str, order: str, folds: int = 5, name: str = "kfold") -> DataFrame:
+    """Stratified folds without shuffling; classes ranked by first appearance in ``order``.
+
+    ``order`` must be unique. Whatever else ``df`` holds (texts, vectors) is not moved: each row
+    compares its ``order`` value with the fold ends of its class. A row without a label gets no fold.
+    """
+    ends = fold_ends(df, label, order, folds)
+    joined = lookup_join(df, ends, [label], spread=[order])
+    fold = F.size(F.filter("_ends", lambda end: end.isNull() | (end < F.col(order)))).cast("int")
+    return joined.withColumn(name, F.when(F.col("_ends").isNotNull(), fold)).drop("_ends")
 
 
 def fold_split(df: DataFrame, fold: int, name: str = "kfold") -> tuple[DataFrame, DataFrame]:

@@ -20,9 +20,10 @@ from presswork.session import materialise
 
 def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per token: ``(key, sent, pos, token, next_token)``; null after a sentence's last token."""
-    per_sentence = df.select(key, F.posexplode(sentence_words(F.col(text))).alias("sent", "_words"))
-    numbered = per_sentence.select(key, "sent", "_words", F.posexplode("_words").alias("pos", "token"))
-    return numbered.select(key, "sent", "pos", "token", F.get("_words", F.col("pos") + 1).alias("next_token"))
+    # the outer forms: the inner ones make the optimizer compute the words again in a size filter
+    per_sentence = df.select(key, F.posexplode_outer(sentence_words(F.col(text))).alias("sent", "_words"))
+    numbered = per_sentence.select(key, "sent", "_words", F.posexplode_outer("_words").alias("pos", "token"))
+    return numbered.filter(F.col("token").isNotNull()).select(key, "sent", "pos", "token", F.get("_words", F.col("pos") + 1).alias("next_token"))
 
 
 def preprocess(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
@@ -82,19 +83,28 @@ def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 1.0,
     """Collocations ``(w1, w2, n12, n1, n2, score)`` with score ``(n12 - discount) * N / (n1 * n2)``.
 
     Every token starts exactly one (token, next token) pair, the next being null at a sentence
-    end, so one aggregation of pairs also yields all single-token counts. Pairs are combined
-    map-side and stored once.
+    end, so the pair counts add up to all single-token counts and to N. The text is read once, pairs
+    are combined map-side, and only pairs and tokens seen ``min_count`` times are stored: a
+    token of a frequent pair is frequent itself.
     """
-    pairs = materialise(
-        tokens.groupBy(F.col("token").alias("w1"), F.col("next_token").alias("w2")).agg(F.count(F.lit(1)).alias("n12")),
-        "pairs",
+    pairs = tokens.groupBy(F.col("token").alias("w1"), F.col("next_token").alias("w2")).agg(
+        F.count(F.lit(1)).alias("n"))
+    nothing = F.lit(None).cast("string")
+    levels = F.array(
+        F.struct(F.when(F.col("n") >= min_count, F.col("w2")).alias("w2"), F.col("w1").alias("w1"), F.lit("pair").alias("level")),
+        F.struct(nothing.alias("w2"), F.col("w1").alias("w1"), F.lit("single").alias("level")),
+        F.struct(nothing.alias("w2"), nothing.alias("w1"), F.lit("all").alias("level")),
     )
-    total = pairs.agg(F.coalesce(F.sum("n12"), F.lit(0)).alias("n")).first()["n"]
-    frequent = pairs.filter(F.col("w2").isNotNull() & (F.col("n12") >= min_count))
-    # a token of a frequent pair is itself frequent, so rarer ones need not be joined
-    singles = materialise(
-        pairs.groupBy("w1").agg(F.sum("n12").alias("n")).filter(F.col("n") >= min_count), "singles"
+    levelled = pairs.select("n", F.explode(levels).alias("l")).select("n", "l.*")
+    counts = materialise(
+        levelled.filter((F.col("level") != "pair") | F.col("w2").isNotNull())
+        .groupBy("level", "w1", "w2").agg(F.sum("n").alias("n"))
+        .filter((F.col("n") >= min_count) | (F.col("level") == "all")),
+        "phrase-counts",
     )
+    total = counts.filter(F.col("level") == "all").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    frequent = counts.filter(F.col("level") == "pair").select("w1", "w2", F.col("n").alias("n12"))
+    singles = counts.filter(F.col("level") == "single")
     first = singles.select("w1", F.col("n").alias("n1"))
     second = singles.select(F.col("w1").alias("w2"), F.col("n").alias("n2"))
     joined = lookup_join(frequent, first, ["w1"], spread=["w2"], how="inner")
@@ -125,8 +135,8 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
 def build_vocab(df: DataFrame, words: str, max_words: int | None = None, min_count: int = 1) -> DataFrame:
     """Word vocabulary ``(token, n, token_id)``: by count descending, then token; ids from 4."""
     counts = (
-        df.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_count)
+        df.select(F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
+        .groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
     )
     vocab = with_position(counts, F.desc("n"), "token", name="_rank")
     if max_words is not None:

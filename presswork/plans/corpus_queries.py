@@ -8,7 +8,7 @@ from presswork.functions import text as txt
 from presswork.functions.labels import label_decode, label_encode, one_hot, first_max
 from presswork.operators import corpus, shaping
 from presswork.plans import sql_text as s
-from presswork.plans.registry import query, table
+from presswork.plans.registry import query, spread_table, table
 
 LANGS = ("de", "en", "es", "fr")
 # one language is left out on purpose: its rows are "unknown"
@@ -38,7 +38,7 @@ decoded AS (
   FROM bare)
 SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS body FROM decoded""")
 def clean_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", txt.clean_html(F.col("html")).alias("body"))
+    return spread_table(spark, sf_dir, "pages", "page_id").select("page_id", txt.clean_html(F.col("html")).alias("body"))
 
 
 @query("scrub_links_emails_numbers", sql=r"""

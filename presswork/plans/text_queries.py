@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from presswork.functions import labels, text as txt
 from presswork.operators import corpus, explore, words
 from presswork.plans import sql_text as s
-from presswork.plans.registry import query, table
+from presswork.plans.registry import query, spread_table, table
 
 SHORT_LENGTH = 64
 MAX_WORDS = 2000
 
 
 def _docs(spark, sf_dir, *columns):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    return spread_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", *columns)
 
 
 @query("strip_chars", sql=f"SELECT doc_id, {s.stripped('text')} AS stripped FROM documents")

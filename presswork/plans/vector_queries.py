@@ -123,9 +123,7 @@ conf AS (SELECT vec_id, class_ix, e / sum(e) OVER (PARTITION BY vec_id) AS p FRO
 
 
 def _folded_embeddings(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    folds = shaping.stratified_kfold(rows.select("vec_id", "label"), "label", "vec_id").drop("label")
-    return rows.join(folds, "vec_id")
+    return shaping.stratified_kfold(table(spark, sf_dir, "embeddings"), "label", "vec_id")
 
 
 def _long_centroids(model, *keys):
