@@ -65,13 +65,11 @@ def class_report(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                          F.col("support").cast("double").alias("support"), "tp")
 
 
-def class_report_full(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Class rows, then ``accuracy`` (same value in all columns), ``macro avg`` and ``weighted avg``."""
-    rows = class_report(pairs, by)
+def summary_rows(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``accuracy`` (same value in all columns), ``macro avg`` and ``weighted avg`` of class rows."""
     total = F.sum("support")
-    accuracy_value = F.sum("tp") / total
     values = {
-        "accuracy": [accuracy_value] * 4,
+        "accuracy": [F.sum("tp") / total] * 4,
         "macro avg": [F.avg(m) for m in METRICS[:3]] + [total],
         "weighted avg": [F.sum(F.col(m) * F.col("support")) / total for m in METRICS[:3]] + [total],
     }
@@ -79,8 +77,13 @@ def class_report_full(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.struct(F.lit(name).alias("label"), *[v.alias(m) for m, v in zip(METRICS, columns)])
         for name, columns in values.items()
     ])
-    summary = rows.groupBy(*by).agg(lines.alias("l")).select(*by, F.inline("l"))
-    return rows.select(*by, "label", *METRICS).unionByName(summary.select(*by, "label", *METRICS))
+    return rows.groupBy(*by).agg(lines.alias("l")).select(*by, F.inline("l"))
+
+
+def class_report_full(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Class rows followed by the three summary rows."""
+    rows = class_report(pairs, by)
+    return rows.drop("tp").unionByName(summary_rows(rows, by))
 
 
 def misclassified(df: DataFrame, key: str, truth: str = "y_true", predicted: str = "y_pred", n: int = 15) -> DataFrame:
@@ -88,13 +91,13 @@ def misclassified(df: DataFrame, key: str, truth: str = "y_true", predicted: str
     return df.filter(F.col(truth) != F.col(predicted)).orderBy(key).limit(n)
 
 
-def model_comparison(full: DataFrame, model: str = "model") -> DataFrame:
+def model_comparison(summary: DataFrame, model: str = "model") -> DataFrame:
     """One formatted line per model: weighted precision, recall, F1, and accuracy, as percentages."""
     def share(label: str, metric: str) -> Column:
         value = F.max(F.when(F.col("label") == label, F.col(metric)))
         return F.format_string("%.2f%%", F.round(value * 100, 2))
 
-    return full.groupBy(model).agg(
+    return summary.groupBy(model).agg(
         share("weighted avg", "precision").alias("Precision"),
         share("weighted avg", "recall").alias("Recall"),
         share("weighted avg", "f1_score").alias("F1_Score"),
@@ -102,9 +105,9 @@ def model_comparison(full: DataFrame, model: str = "model") -> DataFrame:
     )
 
 
-def report_compare(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """Two reports side by side; labels of either are kept."""
-    def named(report: DataFrame, name: str) -> DataFrame:
-        return report.select("label", *[F.col(m).alias(f"{name}_{m}") for m in METRICS])
-
-    return named(left, names[0]).join(named(right, names[1]), "label", "full_outer")
+def report_compare(reports: DataFrame, names: Sequence[str], model: str = "model") -> DataFrame:
+    """Reports of several models side by side, one row per label; a label that a model does not
+    have is null there. One aggregation instead of a full outer join per model."""
+    return reports.groupBy("label").agg(*[
+        F.max(F.when(F.col(model) == name, F.col(m))).alias(f"{name}_{m}") for name in names for m in METRICS
+    ])

@@ -98,9 +98,13 @@ def score_vectors(df: DataFrame, vector: str, weights: np.ndarray, bias: np.ndar
 
 
 def logits_long(df: DataFrame, key: str) -> DataFrame:
-    """Long form ``(key, model, class_ix, logit)`` of ``model_logits``."""
-    per_model = df.select(key, F.posexplode("model_logits").alias("model", "_l"))
-    return per_model.select(key, "model", F.posexplode("_l").alias("class_ix", "logit"))
+    """Long form ``(key, model, class_ix, logit)`` of ``model_logits``.
+
+    The outer forms: the inner ones add a size filter that would run the matrix product twice.
+    """
+    per_model = df.select(key, F.posexplode_outer("model_logits").alias("model", "_l"))
+    long = per_model.select(key, "model", F.posexplode_outer("_l").alias("class_ix", "logit"))
+    return long.filter(F.col("class_ix").isNotNull())
 
 
 def ensemble_mean(long: DataFrame, key: str) -> DataFrame:

@@ -134,8 +134,8 @@ SELECT model, {_percent('weighted avg', 'precision')} AS "Precision", {_percent(
        {_percent('weighted avg', 'f1_score')} AS "F1_Score", {_percent('accuracy', 'precision')} AS "Accuracy"
 FROM full_report GROUP BY model""")
 def model_comparison(spark, sf_dir):
-    pairs = evaluate.pair_counts(_all_models(spark, sf_dir), by=["model"])
-    return evaluate.model_comparison(evaluate.class_report_full(pairs, by=["model"]))
+    rows = evaluate.class_report(evaluate.pair_counts(_all_models(spark, sf_dir), by=["model"]), by=["model"])
+    return evaluate.model_comparison(evaluate.summary_rows(rows, by=["model"]))
 
 
 @query("report_compare", sql=f"""
@@ -144,9 +144,9 @@ a AS (SELECT label, {", ".join(f'round("{m}", 6) AS accents_{m}' for m in evalua
 b AS (SELECT label, {", ".join(f'round("{m}", 6) AS length_{m}' for m in evaluate.METRICS)} FROM report WHERE model = 'length')
 SELECT * FROM a FULL JOIN b USING (label)""")
 def report_compare(spark, sf_dir):
-    rules = _rules(spark, sf_dir)
-    left, right = (evaluate.class_report(evaluate.pair_counts(rules, predicted=m)) for m in ("accents", "length"))
-    return _rounded(evaluate.report_compare(left, right, ("accents", "length")))
+    rows = evaluate.class_report(evaluate.pair_counts(_all_models(spark, sf_dir), by=["model"]), by=["model"])
+    both = rows.filter(F.col("model").isin("accents", "length"))
+    return _rounded(evaluate.report_compare(both, ("accents", "length")))
 
 
 # --- training log: one event is one example; day of month is the epoch, user the fold ------------

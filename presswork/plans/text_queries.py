@@ -26,7 +26,9 @@ def strip_chars(spark, sf_dir):
 WITH l AS (SELECT doc_id, {s.sents('text')} AS ss FROM documents)
 SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sent, unnest(ss) AS sentence FROM l""")
 def split_sentences(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(txt.sentences(F.col("text"))).alias("sent", "sentence"))
+    rows = _docs(spark, sf_dir).select(
+        "doc_id", F.posexplode_outer(txt.sentences(F.col("text"))).alias("sent", "sentence"))
+    return rows.filter(F.col("sentence").isNotNull())
 
 
 @query("tokenize_words", sql=f"WITH {s.TOKENS} SELECT doc_id, sent, pos, token FROM tokens")

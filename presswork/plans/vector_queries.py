@@ -97,7 +97,7 @@ FROM e, (SELECT unnest(range(8))::int AS j) GROUP BY ALL""")
 def embed_batch(spark, sf_dir):
     encoded = features.embed_batch(F.col("embedding"), features.cosine_projection(DIM, 8), DIM)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", encoded.alias("v"))
-    return rows.select("vec_id", F.posexplode("v").alias("out_dim", "value")).withColumn("value", F.round("value", 4))
+    return rows.select("vec_id", F.posexplode_outer("v").alias("out_dim", "value")).withColumn("value", F.round("value", 4))
 
 
 # --- centroid models -------------------------------------------------------------------------
@@ -165,7 +165,7 @@ def ensemble_mean_logits(spark, sf_dir):
 @query("softmax_confidence", sql=f"WITH {EMB} SELECT vec_id, class_ix, round(p, 6) AS confidence FROM conf")
 def softmax_confidence(spark, sf_dir):
     scored = _scored_embeddings(spark, sf_dir).select("vec_id", softmax(F.col("logits")).alias("p"))
-    return scored.select("vec_id", F.posexplode("p").alias("class_ix", "confidence")) \
+    return scored.select("vec_id", F.posexplode_outer("p").alias("class_ix", "confidence")) \
         .withColumn("confidence", F.round("confidence", 6))
 
 

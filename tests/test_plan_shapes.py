@@ -32,6 +32,8 @@ def test_vector_scoring_is_narrow(spark):
     weights, bias = linear.model_arrays(linear.fit_centroids(emb, "label", "embedding"), "label", list(range(10)))
     text = plan(linear.score_vectors(emb, "embedding", weights, bias))
     assert "Exchange" not in text and text.split("== Physical Plan ==")[1].count("ArrowEvalPython") == 1
+    scored = linear.score_vectors(emb, "embedding", weights, bias)
+    assert plan(linear.logits_long(scored, "vec_id")).split("== Physical Plan ==")[1].count("ArrowEvalPython") == 1
 
 
 def test_bayes_scoring_shuffles_partial_sums_only(docs):

@@ -49,8 +49,8 @@ def test_reports_of_several_models_stay_apart(spark, predictions):
 
     both = predictions.withColumn("model", F.lit("m1")).unionByName(
         predictions.withColumn("y_pred", F.col("y_true")).withColumn("model", F.lit("m2")))
-    full = evaluate.class_report_full(evaluate.pair_counts(both, by=["model"]), by=["model"])
-    lines = {r["model"]: r for r in evaluate.model_comparison(full).collect()}
+    rows = evaluate.class_report(evaluate.pair_counts(both, by=["model"]), by=["model"])
+    lines = {r["model"]: r for r in evaluate.model_comparison(evaluate.summary_rows(rows, ["model"])).collect()}
     assert lines["m2"]["Accuracy"] == "100.00%"
     assert lines["m1"]["Accuracy"] == f"{sum(t == p for _, t, p in PAIRS) / 5:.2f}%"
 
@@ -74,10 +74,9 @@ def test_misclassified_first_rows(predictions):
 
 
 def test_report_compare_keeps_labels_of_both(spark):
-    schema = "label string, precision double, recall double, f1_score double, support double"
-    a = spark.createDataFrame([("x", 1.0, 1.0, 1.0, 2.0)], schema)
-    b = spark.createDataFrame([("y", 0.5, 0.5, 0.5, 2.0)], schema)
-    got = {r["label"]: (r["p_recall"], r["q_recall"]) for r in evaluate.report_compare(a, b, ("p", "q")).collect()}
+    schema = "model string, label string, precision double, recall double, f1_score double, support double"
+    rows = spark.createDataFrame([("p", "x", 1.0, 1.0, 1.0, 2.0), ("q", "y", 0.5, 0.5, 0.5, 2.0)], schema)
+    got = {r["label"]: (r["p_recall"], r["q_recall"]) for r in evaluate.report_compare(rows, ("p", "q")).collect()}
     assert got == {"x": (1.0, None), "y": (None, 0.5)}
 
 
