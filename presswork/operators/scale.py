@@ -34,16 +34,15 @@ def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     more than one sort partition. Pass only the columns that are needed.
     """
     marked = _marked(df, order)
-    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # one number per sort partition comes to the driver, however many rows there are
+    sizes = {r["_part"]: r["n"] for r in marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += sizes.get(part, 0)
+    start = F.get(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col("_part").cast("int"))
     row = F.col("_mark").bitwiseAND((1 << ROW_BITS) - 1)
-    # one row per sort partition, so this broadcast is bounded by the partition count
-    return (
-        marked.join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + row)
-        .drop("_part", "_mark", "_start")
-    )
+    return marked.withColumn(name, start + row).drop("_part", "_mark")
 
 
 def prefix_scan(df: DataFrame, order: list, sums: dict[str, str] | None = None,

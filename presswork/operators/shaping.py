@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.operators.scale import lookup_join, with_position
+from presswork.session import materialise
 
 
 def union_parts(parts: list[DataFrame], key: str) -> DataFrame:
@@ -53,7 +54,7 @@ def fold_ends(df: DataFrame, label: str, order: str, folds: int = 5) -> DataFram
     last_rows = placed.filter(F.array_contains("_bounds", taken)).groupBy(label, "_bounds").agg(
         F.collect_list(F.struct(taken.alias("taken"), F.col(order).alias("at"))).alias("_last"))
     ends = F.transform("_bounds", lambda b: F.get(F.filter("_last", lambda s: s["taken"] == b), F.lit(0))["at"])
-    return last_rows.select(label, ends.alias("_ends"))
+    return materialise(last_rows.select(label, ends.alias("_ends")), "fold-ends")
 
 
 def stratified_kfold(df: DataFrame, label: str, order: str, folds: int = 5, name: str = "kfold") -> DataFrame:

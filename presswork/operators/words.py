@@ -43,12 +43,13 @@ def drop_tags(tagged: DataFrame, drop=DROP_TAGS, literals=DROP_LITERALS) -> Data
     return tagged.filter(is_kept(F.col("token"), drop, literals, F.col("tag")))
 
 
-def join_words(tokens: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """Tokens back to one text per document in ``(sent, pos)`` order; nothing kept gives ``''``."""
+def join_words(tokens: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Tokens back to one text per document in ``(sent, pos)`` order; nothing kept gives ``''``, a
+    null text stays null."""
     texts = tokens.groupBy(key).agg(F.collect_list(F.struct("sent", "pos", F.lower("token").alias("w"))).alias("_w"))
-    joined = docs.select(key).join(texts, key, "left")
-    text = F.array_join(F.transform(F.array_sort("_w"), lambda s: s["w"]), " ")
-    return joined.select(key, F.coalesce(text, F.lit("")).alias("processed_content"))
+    joined = docs.select(key, F.col(text).isNotNull().alias("_given")).join(texts, key, "left")
+    words = F.coalesce(F.array_join(F.transform(F.array_sort("_w"), lambda s: s["w"]), " "), F.lit(""))
+    return joined.select(key, F.when(F.col("_given"), words).alias("processed_content"))
 
 
 def preprocess_with_tables(df: DataFrame, key: str, text: str, phrases: DataFrame | None = None,
@@ -57,7 +58,7 @@ def preprocess_with_tables(df: DataFrame, key: str, text: str, phrases: DataFram
     tokens = token_table(df, key, text)
     if phrases is not None:
         tokens = apply_phrases(tokens, phrases, key)
-    return join_words(drop_tags(tag_tokens(tokens, lexicon, key), drop), df, key)
+    return join_words(drop_tags(tag_tokens(tokens, lexicon, key), drop), df, key, text)
 
 
 def preprocess_quality(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -132,12 +133,29 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     return merged.filter(~F.col("_taken")).select(key, "sent", "pos", token.alias("token"))
 
 
+def _count_cutoff(counts: DataFrame, max_words: int) -> int:
+    """Smallest count a word needs to be among the ``max_words`` most frequent ones, ties included.
+
+    Looks at the highest distinct counts only, at most ``max_words`` of them.
+    """
+    top = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_words")).orderBy(F.desc("n")).limit(max_words)
+    before = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = top.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+    return needed.filter(F.col("_before") < max_words).agg(F.coalesce(F.min("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def build_vocab(df: DataFrame, words: str, max_words: int | None = None, min_count: int = 1) -> DataFrame:
-    """Word vocabulary ``(token, n, token_id)``: by count descending, then token; ids from 4."""
+    """Word vocabulary ``(token, n, token_id)``: by count descending, then token; ids from 4.
+
+    With a size limit only words that can make it are sorted, not the long tail of rare ones.
+    """
     counts = (
         df.select(F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
         .groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
     )
+    if max_words is not None:
+        counts = materialise(counts, "word-counts")
+        counts = counts.filter(F.col("n") >= _count_cutoff(counts, max_words))
     vocab = with_position(counts, F.desc("n"), "token", name="_rank")
     if max_words is not None:
         vocab = vocab.filter(F.col("_rank") < max_words)

@@ -306,7 +306,8 @@ def score_test_set(spark, sf_dir):
 
 @query("ml_naive_bayes", sql=f"SELECT doc_id, y_true, y_pred FROM ({TEST_SCORES})")
 def ml_naive_bayes(spark, sf_dir):
-    docs = _split_docs(spark, sf_dir).withColumn("y", label_encode(F.col("lang"), LANGS).cast("double"))
+    coded = _split_docs(spark, sf_dir).withColumn("y", label_encode(F.col("lang"), LANGS).cast("double"))
+    docs = materialise(coded, "word-lists")  # read by the vectorizer, the classifier and the scoring
     vectorizer, model = learners.text_bayes(docs.filter(F.col("split") == "train"), "words", "y")
     scored = model.transform(vectorizer.transform(docs.filter(F.col("split") == "test")))
     return scored.select(

@@ -60,6 +60,16 @@ def test_vocab_order_and_encoding(spark):
     assert words.build_vocab(docs, "words", min_count=2).count() == 3
 
 
+@pytest.mark.parametrize("max_words", [1, 2, 7, 40, 10_000])
+def test_vocab_of_limited_size_is_a_prefix_of_the_full_one(spark, max_words):
+    texts = [(i, [f"w{i * k % 97}" for k in range(i % 13)]) for i in range(200)]
+    docs = spark.createDataFrame(texts, "id long, words array<string>")
+    full = sorted((r["token_id"], r["token"], r["n"]) for r in words.build_vocab(docs, "words").collect())
+    some = sorted((r["token_id"], r["token"], r["n"]) for r in words.build_vocab(docs, "words", max_words=max_words).collect())
+    assert some == full[:max_words]
+    assert [(-n, t) for _, t, n in full] == sorted((-n, t) for _, t, n in full)
+
+
 def test_softmax_and_cross_entropy(spark):
     df = spark.createDataFrame([(0, [1000.0, 1000.0], 1), (1, [-2.0, 3.0], 0)], "id long, l array<double>, y int")
     p = rows(df.select("id", scores.softmax(F.col("l")).alias("p")), "p")
