@@ -37,7 +37,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times,
-                      "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+                      "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf") or 0)}))
     spark.stop()
 
 

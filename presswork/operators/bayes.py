@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.operators.scale import lookup_join
@@ -21,6 +21,19 @@ class BayesModel:
     table: DataFrame
     priors: list[float]
 
+    def save(self, path: str, mode: str = "error") -> None:
+        """Words and classes as two Parquet tables below ``path``."""
+        self.table.write.mode(mode).parquet(f"{path}/words")
+        rows = [(i, str(c), p) for i, (c, p) in enumerate(zip(self.classes, self.priors))]
+        classes = self.table.sparkSession.createDataFrame(rows, "class_ix int, label string, prior double")
+        classes.write.mode(mode).parquet(f"{path}/classes")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BayesModel:
+        rows = spark.read.parquet(f"{path}/classes").orderBy("class_ix").collect()
+        table = spark.read.parquet(f"{path}/words")
+        return BayesModel(tuple(r["label"] for r in rows), table, [r["prior"] for r in rows])
+
 
 def fit(df: DataFrame, label: str, words: str, classes: Sequence[str], smoothing: float = 1.0,
         min_count: int = 1) -> BayesModel:

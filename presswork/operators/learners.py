@@ -41,7 +41,11 @@ def accuracy_by(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def text_bayes(train: DataFrame, words: str, label_code: str, max_words: int = 1 << 18):
-    """Word counts and naive Bayes as Spark ML models: ``(vectorizer, classifier)``."""
+    """Word counts and naive Bayes as Spark ML models: ``(vectorizer, classifier)``.
+
+    Knows the ``max_words`` most frequent words, since Spark ML keeps its vocabulary on the driver;
+    ``bayes.fit`` has no such limit.
+    """
     vectorizer = CountVectorizer(inputCol=words, outputCol="features", vocabSize=max_words).fit(train)
     bayes = NaiveBayes(featuresCol="features", labelCol=label_code, smoothing=1.0)
     return vectorizer, bayes.fit(vectorizer.transform(train))

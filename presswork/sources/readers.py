@@ -40,3 +40,7 @@ def read_features(spark: SparkSession, path: str, *splits: str) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def read_fold_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -33,3 +33,8 @@ def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> N
 
 def write_predictions(predictions: DataFrame, path: str, mode: str = "overwrite") -> None:
     predictions.write.mode(mode).parquet(path)
+
+
+def write_fold_weights(model: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Linear model rows, one folder per fold."""
+    model.write.mode(mode).partitionBy("fold").parquet(path)

@@ -136,3 +136,25 @@ def test_fold_models_can_be_saved_and_loaded(spark, tmp_path, vectors):
     learners.save_fold_models(models, str(tmp_path / "m"))
     loaded = learners.load_fold_models(str(tmp_path / "m"), 2)
     assert [m.coefficientMatrix.toArray().tolist() for m in loaded] == [m.coefficientMatrix.toArray().tolist() for m in models]
+
+
+def test_table_models_can_be_saved_and_loaded(spark, tmp_path, vectors):
+    from presswork.sources import readers, sinks
+
+    folded = shaping.stratified_kfold(vectors, "label", "id")
+    model = linear.fit_kfold_centroids(folded, "label", "v")
+    sinks.write_fold_weights(model, str(tmp_path / "w"))
+    for kept, read in zip(
+        linear.model_arrays(model, "label", CLASSES, "fold"),
+        linear.model_arrays(readers.read_fold_weights(spark, str(tmp_path / "w")), "label", CLASSES, "fold"),
+    ):
+        assert np.array_equal(kept, read)
+
+    docs = spark.createDataFrame(DOCS, "id long, label string, words array<string>")
+    fitted = bayes.fit(docs, "label", "words", CLASSES)
+    fitted.save(str(tmp_path / "nb"))
+    loaded = bayes.BayesModel.load(spark, str(tmp_path / "nb"))
+    assert loaded.classes == tuple(CLASSES) and loaded.priors == fitted.priors
+    got, want = (
+        {r["id"]: r["logits"] for r in bayes.score(docs, ["id"], "words", m).collect()} for m in (loaded, fitted))
+    assert got == want
