@@ -36,8 +36,9 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     total = round(sum(times.values()), 3)
+    sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times,
-                      "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf") or 0)}))
+                      "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf}))
     spark.stop()
 
 

@@ -1,6 +1,7 @@
 import datetime
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -62,10 +63,17 @@ def test_feature_store_prunes_splits(spark, tmp_path):
     assert "PartitionFilters: [split" in train._jdf.queryExecution().toString().replace("isnotnull(split#", "split#")
 
 
-def test_shared_dir_follows_the_setting(spark, monkeypatch):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    found = session.shared_dir(spark)
-    assert found == configured.rstrip("/") if configured else os.path.isdir(found)
+def stub_session(master, folder=None):
+    context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+
+def test_shared_dir_follows_the_setting():
+    assert session.shared_dir(stub_session("yarn", "hdfs://shared/tables/")) == "hdfs://shared/tables"
+    local = session.shared_dir(stub_session("local[2]"))
+    assert os.path.isdir(local) and session.shared_dir(stub_session("local[2]")) == local
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(stub_session("yarn"))
 
 
 def test_stream_equals_batch_and_a_rerun_adds_nothing(spark, tmp_path):
