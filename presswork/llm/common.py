@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -21,7 +22,7 @@ def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_tex
     rows and by bytes, and a text is never cut.
     """
     new = T.StructType.fromDDL(added)
-    df = df.select([df[c] for c in df.columns if c == text or c not in new.names])
+    df = df.select([quoted(c) for c in df.columns if c == text or c not in new.names])
     keep = [i for i, c in enumerate(df.columns) if c not in new.names and not (drop_text and c == text)]
     schema = T.StructType([*(df.schema.fields[i] for i in keep), *new.fields])
     arrow = to_arrow_schema(schema)
@@ -38,5 +39,20 @@ def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_tex
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def filter_rows(docs: DataFrame, keep: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """Rows that ``keep`` leaves, with exactly the columns of ``docs``.
+
+    ``keep`` gets the rows under names that cannot clash with a column an operator adds, and a map
+    from the names of ``docs`` to those.
+    """
+    names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    left = keep(docs.select([quoted(c).alias(n) for c, n in names.items()]), names)
+    return left.select([F.col(n).alias(c) for c, n in names.items()])
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

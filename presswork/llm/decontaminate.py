@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import append_from_text
+from presswork.llm.common import append_from_text, filter_rows, quoted
 from presswork.session import materialise
 
 WINDOW = 10
@@ -54,7 +54,7 @@ def automaton(items: list[tuple[str, str]], window: int = WINDOW):
     return machine if patterns else None
 
 
-def hits(machine, data: bytes, n_words: int) -> tuple[list[tuple[int, int]], set[int]]:
+def hits(machine, data: bytes) -> tuple[list[tuple[int, int]], set[int]]:
     """Word ranges (first, past last) inside matches, merged where they touch or overlap, and the item numbers."""
     joined = " " + b" ".join(data.split()).decode("latin-1") + " "
     ranges: list[list[int]] = []
@@ -97,7 +97,7 @@ def add_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key
     """Add ``n_words``, ``hit_ranges`` (merged ranges of hit words) and ``items`` (ids, sorted as strings)."""
     found = blocks(benchmark, item_key, item_text, block_bytes)
     spark = docs.sparkSession
-    docs = docs.select([c for c in docs.columns if c == text or c not in ("n_words", "hit_ranges", "items")])
+    docs = docs.select([quoted(c) for c in docs.columns if c == text or c not in ("n_words", "hit_ranges", "items")])
     for number, block in enumerate(found or [[]]):
         share = spark.sparkContext.broadcast(block)
 
@@ -110,7 +110,7 @@ def add_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key
                 for t in texts:
                     data = normal_bytes(t)
                     n = len(data.split())
-                    ranges, numbers = hits(machine, data, n) if machine and n else ([], set())
+                    ranges, numbers = hits(machine, data) if machine and n else ([], set())
                     out[0].append(n)
                     out[1].append([{"first": a, "past": b} for a, b in ranges])
                     out[2].append(sorted({names[i] for i in numbers}))
@@ -126,7 +126,7 @@ def add_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key
         if number:
             docs = docs.withColumn("hit_ranges", _merge_ranges(F.concat("_ranges", "hit_ranges"))).withColumn(
                 "items", F.array_sort(F.array_union("_items", "items")))
-            docs = docs.select([c for c in before if c in docs.columns])
+            docs = docs.select([quoted(c) for c in before if c in docs.columns])
         if not last:
             docs = materialise(docs, "hits")
     return docs
@@ -149,6 +149,11 @@ def n_hit() -> F.Column:
     return F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r["past"] - r["first"])
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The documents without a hit word, with their own columns."""
+    return filter_rows(docs, lambda rows, names: add_hits(rows, benchmark, names[text], **settings).where(F.size("hit_ranges") == 0))
+
+
 def word_offsets(text: str) -> np.ndarray:
     """Code point offsets (start, end) of every word in the original text."""
     data = normal_bytes(text)

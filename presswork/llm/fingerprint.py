@@ -90,33 +90,32 @@ def with_next(docs: DataFrame, key: str, text: str, fields: str, make) -> DataFr
     bounds = narrow.agg(F.percentile_approx(key, quantiles, 100 * n).alias("b")).first()["b"] if n > 1 else None
     cuts = np.array(sorted(set(bounds or [])))
 
+    def range_numbers(known: pd.Series, keys: pd.Series) -> np.ndarray:
+        return np.where(known, np.searchsorted(cuts, keys.to_numpy()), 0)
+
     @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.where(keys.isna(), 0, np.searchsorted(cuts, keys.fillna(0).to_numpy())))
-
-    # one row for each range
-    firsts = narrow.select(range_of(key).alias("r"), F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("k")).alias("o")
-                           ).groupBy("r").agg(F.min("o").alias("o")).orderBy("r").collect()
-    ranges = [r["r"] for r in firsts]
-    # where the first rows of a range are needed too: the range before, for the first range the last
-    extra = [(ranges[i - 1], r["o"]["k"]) for i, r in enumerate(firsts)]
-    before = np.full(n + 1, -1)
-    for (target, _), r in zip(extra, ranges):
-        before[r] = target
-    first_known = {r: k for (_, k), r in zip(extra, ranges)}
+    def range_of(known: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(range_numbers(known, keys))
+
+    keyed = narrow.select(key, "_text", F.col(key).isNotNull().alias("_known"), F.coalesce(key, F.lit(0)).alias("_sort"))
+    # one row for each range that has rows: its first key, unknown keys first
+    firsts = keyed.groupBy(range_of("_known", "_sort").alias("r")).agg(F.min(F.struct("_known", "_sort")).alias("first"))
+    order = sorted((r["r"], r["first"]["_known"], r["first"]["_sort"]) for r in firsts.collect())
+    # the first rows of a range also go to the range before, those of the first range to the last
+    before, first_known, first_key = np.full(n + 1, -1), np.zeros(n + 1, bool), [0] * (n + 1)
+    for i, (r, known, first) in enumerate(order):
+        before[r], first_known[r], first_key[r] = order[i - 1][0], known, first
+    first_keys = np.array(first_key)
 
     @F.pandas_udf("int")
-    def range_before(keys: pd.Series) -> pd.Series:
-        r = np.where(keys.isna(), 0, np.searchsorted(cuts, keys.fillna(0).to_numpy()))
-        first = np.array([first_known.get(i) if first_known.get(i) is not None else np.nan for i in range(n + 1)], float)
-        is_first = np.where(keys.isna(), np.isnan(first[r]) & (r == 0), keys.fillna(0).to_numpy() == first[r])
+    def range_before(known: pd.Series, keys: pd.Series) -> pd.Series:
+        r = range_numbers(known, keys)
+        is_first = (first_known[r] == known) & (~known | (first_keys[r] == keys.to_numpy()))
         return pd.Series(np.where(is_first, before[r], -1))
 
-    dealt = narrow.select(
-        F.col(key).alias("_key"), "_text",
-        F.explode(F.filter(F.array(F.struct(range_of(key).alias("r"), F.lit(False).alias("more")),
-                                   F.struct(range_before(key).alias("r"), F.lit(True).alias("more"))),
-                           lambda x: x["r"] >= 0)).alias("_to"))
+    places = F.array(F.struct(range_of("_known", "_sort").alias("r"), F.lit(False).alias("more")),
+                     F.struct(range_before("_known", "_sort").alias("r"), F.lit(True).alias("more")))
+    dealt = keyed.select(F.col(key).alias("_key"), "_text", F.explode(F.filter(places, lambda x: x["r"] >= 0)).alias("_to"))
     sorted_rows = dealt.select("_key", "_text", "_to.*").repartitionById(n, "r").sortWithinPartitions("r", "more", "_key", "_text")
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(fields).fields])
     arrow = to_arrow_schema(schema)
@@ -130,9 +129,6 @@ def with_next(docs: DataFrame, key: str, text: str, fields: str, make) -> DataFr
                 if held is not None and held[0] == r:
                     out.append((held[1], *work(held[2], t)))
                 held = None if more else (r, k, t)
-                if more:
-                    # later copies of the same first row are of no use
-                    held = None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 

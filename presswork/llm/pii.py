@@ -17,18 +17,18 @@ equal spans; their edges count once. Other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.functions.binding import let
 from presswork.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "found")
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_SCORE = 0.6
-CONTEXT = 48  # characters before a find in which its pattern is looked for
+CONTEXT = 48  # characters before a find in which its pattern is looked for; a pattern is at most so long
 
 # \G lets a find begin where the last one ended, inside a run whose first part was taken.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -38,27 +38,47 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?<![^\s\"'<>(),;|])[^\s\"'<>(),;|0-9@]*+[0-9@][^\s\"'<>(),;|]*+"
 _IP_VALID = r"^0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?){3}$"
 
-SPAN = "struct<start: int, kind: int, end: int, body: string>"
+SPAN = "struct<start: int, kind: int, end: int, body: string, pattern: string>"
+BLOCK = 512
+
+
+def pattern_of(gap: Column) -> Column:
+    """The last two words of the text between a find and the one before it, lower-cased and with digits
+    masked; empty where there are fewer."""
+    near = F.substring(gap, -CONTEXT, CONTEXT)
+    return F.regexp_replace(F.lower(F.regexp_extract(near, r"(?<!\S)(\S+\s+\S+)\s*[\"'(<]?$", 1)), "[0-9]", "0")
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """Array of spans of all matches, leftmost and not overlapping, in order.
 
     The engine gives matches and, by splitting, the text between them; both come from the same
-    search, so their lengths add up to the places.
+    search, so their lengths add up to the places. The running sum goes block by block, as an
+    array that grows by one element at a time would be copied as often.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("done"))
+    parts = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(
+        m.alias("m"), F.char_length(g).alias("g"), pattern_of(g).alias("p")))
+    spans = f"array<{SPAN}>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
         end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("body"))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("body"), x["p"].alias("pattern"))
         return F.struct(end.alias("at"), F.array_append(acc["done"], span).alias("done"))
 
-    return F.when(F.size(found) > 0, F.aggregate(parts, empty, step, lambda a: a["done"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def block(acc: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("done")), step)
+        return let(inner, lambda i: F.struct(i["at"].alias("at"), F.array_append(acc["done"], i["done"]).alias("done")))
+
+    def summed(all_parts: Column) -> Column:
+        count = F.ceil(F.size(all_parts) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(all_parts, b * BLOCK + 1, BLOCK))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("done"))
+        return F.aggregate(blocks, start, block, lambda a: F.flatten(a["done"]))
+
+    return F.when(F.size(found) > 0, let(parts, summed)).otherwise(F.array().cast(spans))
 
 
 def digits_of(body: Column) -> Column:
@@ -88,28 +108,29 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def pattern_of(text: Column, start: Column) -> Column:
-    """The last two words before a place, lower-cased and with digits masked; empty where there are fewer."""
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    return F.regexp_replace(F.lower(F.regexp_extract(before, r"(?<!\S)(\S+\s+\S+)\s*[\"'(<]?$", 1)), "[0-9]", "0")
-
-
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.get(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Stored narrow rows: key, ``base`` spans, and ``near``: pattern, place and body of seeds and of other tokens."""
+def _finds(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored narrow rows: key, ``_row``, ``base`` spans and ``tokens``: all tokens with digits or "@"."""
     t = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    t = t.withColumn("base", base_spans(F.col("_text")))
-    t = t.withColumn("tokens", matches(F.col("_text"), _TOKEN, 4))
-    free = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    near = F.transform(F.concat("base", free), lambda s: F.struct(
-        pattern_of(F.col("_text"), s["start"]).alias("pattern"), s["kind"].alias("kind"), s["start"].alias("start"),
-        s["end"].alias("end"), s["body"].alias("body")))
-    narrow = t.select(key, "base", F.filter(near, lambda n: n["pattern"] != "").alias("near"))
-    return materialise(narrow.withColumn("_row", F.monotonically_increasing_id()), "contexts")
+    narrow = t.select(key, base_spans(F.col("_text")).alias("base"), matches(F.col("_text"), _TOKEN, 4).alias("tokens"))
+    return materialise(narrow.withColumn("_row", F.monotonically_increasing_id()), "finds")
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """Stored rows (_row, start, kind, end, body, pattern): base finds, and tokens that touch none of them."""
+    spans = rows.select("_row", F.explode(F.concat("base", "tokens")).alias("s")).select("_row", "s.*")
+    # two running aggregates: a frame that looks ahead would be summed anew for every row
+    onward = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    base_end, base_start = F.when(F.col("kind") < 4, F.col("end")), F.when(F.col("kind") < 4, F.col("start"))
+    before, after = F.max(base_end).over(onward), F.min(base_start).over(backward)
+    marked = spans.withColumn("_before", before).withColumn("_after", after)
+    free = (F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_after", F.col("end")) >= F.col("end"))
+    return materialise(marked.where((F.col("kind") < 4) | free).where("pattern <> ''").drop("_before", "_after"), "places")
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -134,13 +155,13 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
              min_score: float = MIN_SCORE) -> DataFrame:
     """Per row: key, counts of the base kinds, ``n_found``, ``base`` and ``found`` spans (arrays), in code points."""
-    rows = _contexts(docs, key, text)
-    places = rows.select("_row", F.explode("near").alias("n")).select("_row", "n.*")
+    rows = _finds(docs, key, text)
+    places = _places(rows)
     edges = materialise(places.groupBy("pattern", F.col("body").alias("instance")).agg(
         F.max(F.col("kind") < 4).alias("seed")), "graph")
     good = score_patterns(edges, rounds).where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score))
     found = places.where("kind = 4").join(materialise(good.select("pattern"), "patterns"), "pattern").groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "body"))).alias("found"))
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "body", "pattern"))).alias("found"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     none = F.array().cast(f"array<{SPAN}>")
     return rows.join(found, "_row", "left").select(

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import append_from_text
+from presswork.llm.common import append_from_text, filter_rows
 from presswork.session import materialise
 
 STATISTICS = (
@@ -202,3 +202,8 @@ def score_statistics(rows: DataFrame, model: QuadraticModel, name: str = "score"
         return pd.Series(model.score(np.array(x.tolist(), float).reshape(-1, len(STATISTICS))))
 
     return rows.withColumn(name, score("statistics")).drop("statistics")
+
+
+def accepted(docs: DataFrame, model: QuadraticModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The documents whose score reaches ``threshold``, with their own columns."""
+    return filter_rows(docs, lambda rows, names: add_scores(rows, model, names[text]).where(F.col("score") >= threshold))

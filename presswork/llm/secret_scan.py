@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import append_from_text
+from presswork.llm.common import append_from_text, filter_rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MIN_RUN = 20
@@ -130,12 +130,11 @@ def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[secret]",
 
         return lambda texts: [[clean(t) for t in texts]]
 
-    name = "_redacted"
-    while name in docs.columns:
-        name += "_"
-    marked = append_from_text(docs, text, f"{name} string", make)
-    new = F.coalesce(F.col(name), F.col(text))
-    columns = [new.alias(c) if c == text
-               else F.when(F.col(name).isNotNull(), F.char_length(name)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col(c) for c in docs.columns]
-    return marked.select(columns)
+    def redact(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+        rows = append_from_text(rows, names[text], "redacted string", make)
+        if "n_chars" in names:
+            kind = rows.schema[names["n_chars"]].dataType
+            rows = rows.withColumn(names["n_chars"], F.coalesce(F.char_length("redacted").cast(kind), names["n_chars"]))
+        return rows.withColumn(names[text], F.coalesce("redacted", names[text]))
+
+    return filter_rows(docs, redact)
