@@ -12,7 +12,6 @@ stays a sequence place for its end id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from presswork.llm import decontaminate, packing, quality, secret_scan, simhash
 from presswork.session import materialise
@@ -25,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     # the statistics are made twice rather than joined back, so that texts are not shuffled
     model = quality.fit(quality.labelled(quality.with_statistics(docs.select("doc_id", "text"), drop_text=True), labels))
-    return quality.add_scores(docs, model, name="_score").where(F.col("_score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.add_hits(docs, benchmark).where(F.size("hit_ranges") == 0).select(docs.columns)
+    return decontaminate.clean_documents(docs, benchmark)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
