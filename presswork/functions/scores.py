@@ -7,10 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use a computed value several times but compute it once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from presswork.functions.binding import let
 
 
 def _sum(values: Column) -> Column:
@@ -20,12 +17,12 @@ def _sum(values: Column) -> Column:
 def softmax(logits: Column) -> Column:
     """Softmax with the maximum shifted out."""
     def normalised(exps: Column) -> Column:
-        return _let(_sum(exps), lambda total: F.transform(exps, lambda x: x / total))
+        return let(_sum(exps), lambda total: F.transform(exps, lambda x: x / total))
 
     def shifted(peak: Column) -> Column:
-        return _let(F.transform(logits, lambda x: F.exp(x - peak)), normalised)
+        return let(F.transform(logits, lambda x: F.exp(x - peak)), normalised)
 
-    return _let(F.array_max(logits), shifted)
+    return let(F.array_max(logits), shifted)
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
@@ -34,7 +31,7 @@ def cross_entropy(logits: Column, target: Column) -> Column:
         total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - peak))
         return peak + F.log(total) - F.get(logits, target)
 
-    return _let(F.array_max(logits), loss)
+    return let(F.array_max(logits), loss)
 
 
 def mean_of_models(per_model: Column) -> Column:

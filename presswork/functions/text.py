@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presswork.functions.binding import let
+
 # White space as Python sees it, written so that Java and RE2 agree.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 STRIP = r"[^\p{L}\p{N}_." + SPACE + "]"
@@ -28,6 +30,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z
 NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
 
 HTML_BLOCKS = r"(?is)<(script|style)\b.*?</(script|style)\s*>"
+HTML_BLOCK_END = r"(?is)\A(.*</(?:script|style)\s*+>)"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_TAG = r"(?s)<[^>]*>"
 
@@ -98,39 +101,52 @@ def scrub_links_emails_numbers(text: Column) -> Column:
 
 def _entity(name: Column) -> Column:
     """Character for an entity name (``amp``) or number (``#38``, ``#x26``); null if unknown."""
-    table = F.create_map(*[F.lit(v) for k, cp in sorted(html.entities.name2codepoint.items()) for v in (k, chr(cp))])
-    code = (
-        F.when(name.rlike(r"\A#[xX][0-9A-Fa-f]{1,6}\z"), F.conv(F.substring(name, 3, 6), 16, 10))
-        .when(name.rlike(r"\A#[0-9]{1,7}\z"), F.substring(name, 2, 7))
-        .cast("int")
-    )
+    names = {**html.entities.name2codepoint, "apos": ord("'")}
+    table = F.create_map(*[F.lit(v) for k, cp in sorted(names.items()) for v in (k, chr(cp))])
+    digits = F.regexp_extract(name, r"\A#0*+([0-9]{1,7})\z", 1)
+    hex_digits = F.regexp_extract(name, r"\A#[xX]0*+([0-9A-Fa-f]{1,6})\z", 1)
+    code = F.when(hex_digits != "", F.conv(hex_digits, 16, 10)).when(digits != "", digits).cast("int")
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
     return F.when(name.startswith("#"), number).otherwise(F.element_at(table, name))
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode every named (HTML 4) and numeric entity once, left to right."""
+    """Decode every named (HTML 4 and ``apos``) and numeric entity once, left to right."""
     pieces = F.split(text, "&")
 
     def piece(p: Column) -> Column:
-        char = F.when(p.rlike(r"(?s)\A#?[A-Za-z0-9]{1,8};.*"), _entity(F.substring_index(p, ";", 1)))
-        return F.when(char.isNotNull(), F.concat(char, F.expr("''"), _after_semicolon(p))).otherwise(F.concat(F.lit("&"), p))
+        name = F.regexp_extract(p, r"\A(#?[A-Za-z0-9]++);", 1)
+        char = F.when(name != "", _entity(name))
+        return F.when(char.isNotNull(), F.concat(char, F.substring(p, F.length(name) + 2, F.length(p)))).otherwise(
+            F.concat(F.lit("&"), p))
 
     tail = F.transform(F.slice(pieces, 2, F.size(pieces)), piece)
     return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))).otherwise(text)
 
 
-def _after_semicolon(piece: Column) -> Column:
-    return F.regexp_replace(piece, r"(?s)\A[^;]*;", "")
+def _blank_up_to_last(text: Column, pattern: str, tail_of) -> Column:
+    """Matches of ``pattern`` to blanks, looking no further than the last closer.
+
+    An opener without a closer would otherwise be followed to the end of the text each time.
+    """
+    def apply(t: Column) -> Column:
+        def parts(tail: Column) -> Column:
+            head = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+            return F.concat(F.regexp_replace(head, pattern, " "), tail)
+
+        return let(tail_of(t), parts)
+
+    return let(text, apply)
 
 
 def clean_html(html: Column) -> Column:
     """Visible text of an HTML body: blocks and comments out, tags to blanks, entities decoded."""
-    text = F.regexp_replace(html, HTML_BLOCKS, " ")
-    text = F.regexp_replace(text, HTML_COMMENT, " ")
-    text = F.regexp_replace(text, HTML_TAG, " ")
-    return F.trim(F.regexp_replace(decode_entities(text), r"\s+", " "))
+    text = _blank_up_to_last(
+        html, HTML_BLOCKS, lambda t: F.substring(t, F.length(F.regexp_extract(t, HTML_BLOCK_END, 1)) + 1, F.length(t)))
+    text = _blank_up_to_last(text, HTML_COMMENT, lambda t: F.substring_index(t, "-->", -1))
+    text = _blank_up_to_last(text, HTML_TAG, lambda t: F.substring_index(t, ">", -1))
+    return F.trim(F.regexp_replace(let(text, decode_entities), r"\s+", " "))
 
 
 def _accent_pairs() -> tuple[str, str]:

@@ -9,17 +9,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.operators.scale import lookup_join
+from presswork.operators.scale import fits_broadcast, lookup_join
 from presswork.session import materialise
 
 
 @dataclass
 class BayesModel:
-    """``table``: one row per word ``(token, theta)``, theta an array over ``classes``."""
+    """``table``: one row per word ``(token, theta, n)``, theta an array over ``classes``.
+
+    ``fits`` is the outcome of measuring the table once, for all scoring with this model.
+    """
 
     classes: tuple
     table: DataFrame
     priors: list[float]
+    fits: bool | None = None
 
     def save(self, path: str, mode: str = "error") -> None:
         """Words and classes as two Parquet tables below ``path``."""
@@ -32,7 +36,7 @@ class BayesModel:
     def load(spark: SparkSession, path: str) -> BayesModel:
         rows = spark.read.parquet(f"{path}/classes").orderBy("class_ix").collect()
         table = spark.read.parquet(f"{path}/words")
-        return BayesModel(tuple(r["label"] for r in rows), table, [r["prior"] for r in rows])
+        return BayesModel(tuple(r["label"] for r in rows), table, [r["prior"] for r in rows], fits_broadcast(table))
 
 
 def fit(df: DataFrame, label: str, words: str, classes: Sequence[str], smoothing: float = 1.0,
@@ -60,7 +64,9 @@ def fit(df: DataFrame, label: str, words: str, classes: Sequence[str], smoothing
         F.log((F.col(f"n{i}") + smoothing) / F.lit(totals[f"n{i}"] + smoothing * totals["v"]))
         for i in range(len(classes))
     ]
-    return BayesModel(tuple(classes), counts.select("token", F.array(*theta).alias("theta")), priors)
+    n = sum(F.col(f"n{i}") for i in range(len(classes)))
+    table = counts.select("token", F.array(*theta).alias("theta"), n.alias("n"))
+    return BayesModel(tuple(classes), table, priors, fits_broadcast(table))
 
 
 def score(df: DataFrame, key: list[str], words: str, model: BayesModel) -> DataFrame:
@@ -70,7 +76,7 @@ def score(df: DataFrame, key: list[str], words: str, model: BayesModel) -> DataF
     partial sum per document and task is shuffled.
     """
     tokens = df.select(*key, F.explode_outer(words).alias("token"))
-    scored = lookup_join(tokens, model.table, ["token"], spread=key)
+    scored = lookup_join(tokens, model.table, ["token"], spread=key, weight="n", fits=model.fits)
     sums = [F.sum(F.get("theta", F.lit(i))).alias(f"s{i}") for i in range(len(model.classes))]
     logits = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(prior) for i, prior in enumerate(model.priors)]
     return scored.groupBy(*key).agg(*sums).select(*key, F.array(*logits).alias("logits"))

@@ -11,7 +11,6 @@ from presswork.functions.labels import CATEGORIES
 from presswork.functions.text import clean_html, fold_accents, stable_hash
 
 SPLITS = ("train", "test", "validation")
-HASH_BUCKETS = 4096
 
 
 def content(title: Column, sapo: Column, body: Column, keywords: Column) -> Column:

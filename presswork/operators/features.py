@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.functions.text import stable_hash
+from presswork.session import materialise, scratch_path
 
 
 def _hex_digits(buckets: int) -> int | None:
@@ -42,46 +39,50 @@ def hashed_counts(df: DataFrame, words: str, buckets: int, out: str = "tf") -> D
 
 
 def tfidf(df: DataFrame, words: str, buckets: int, out: str = "features") -> DataFrame:
-    """Hashed tf-idf with ``idf = ln((N + 1) / (df + 1))``.
+    """Hashed tf-idf with ``idf = ln((N + 1) / (df + 1))``; the word lists are not kept.
 
-    Fitting is one tree aggregate of ``buckets`` numbers; scoring is narrow.
+    The sparse counts are stored once; fitting (one tree aggregate of ``buckets`` numbers) and scoring
+    start from there, so texts are tokenised once.
     """
-    counts = hashed_counts(df, words, buckets, "_tf")
+    counts = materialise(hashed_counts(df, words, buckets, "_tf").drop(words), "bucket-counts")
     return IDF(inputCol="_tf", outputCol=out).fit(counts).transform(counts).drop("_tf")
 
 
-def ml_tfidf(df: DataFrame, words: str, buckets: int, out: str = "features") -> DataFrame:
-    """Same shape with Spark ML's own hash."""
-    counts = HashingTF(numFeatures=buckets, inputCol=words, outputCol="_tf").transform(df)
-    return IDF(inputCol="_tf", outputCol=out).fit(counts).transform(counts).drop("_tf")
+def ml_tfidf(df: DataFrame, words: str, buckets: int, out: str = "features", keep_counts: str | None = None) -> DataFrame:
+    """Same shape with Spark ML's own hash; ``keep_counts`` names a column for the counts."""
+    name = keep_counts or "_tf"
+    counts = materialise(HashingTF(numFeatures=buckets, inputCol=words, outputCol=name).transform(df).drop(words), "bucket-counts")
+    scored = IDF(inputCol=name, outputCol=out).fit(counts).transform(counts)
+    return scored if keep_counts else scored.drop(name)
 
 
-def nonzero(df: DataFrame, key: str, vector: str, value: str) -> DataFrame:
-    """Long form ``(key, bucket, value)`` of the non-zero entries."""
-    dense = df.select(key, F.posexplode_outer(vector_to_array(F.col(vector))).alias("bucket", value))
-    return dense.filter(F.col(value) != 0)
+# How a vector is stored.
+SPARSE = T.StructType([
+    T.StructField("type", T.ByteType()), T.StructField("size", T.IntegerType()),
+    T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType())),
+])
 
 
-def feature_shapes(df: DataFrame, split: str, features: str) -> DataFrame:
-    """Rows and vector length per split; equal min and max mean a rectangular matrix."""
-    size = F.size(features)
-    return df.groupBy(split).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(size).alias("min_dim"), F.max(size).alias("max_dim"))
+def sparse_schema(schema: T.StructType, *vectors: str) -> T.StructType:
+    """``schema`` with vector columns as the structs they are stored as."""
+    return T.StructType([T.StructField(f.name, SPARSE) if f.name in vectors else f for f in schema.fields])
 
 
-def embed_batch(vectors: Column, make_encoder: Callable, input_dim: int, batch_size: int = 256) -> Column:
-    """Run a user's encoder over Arrow batches: ``make_encoder()`` loads it once per worker and
-    returns a function from an ``(n, input_dim)`` array to an ``(n, output_dim)`` array."""
-    run = predict_batch_udf(
-        make_encoder, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[input_dim]])
-    return run(vectors)
+def store_sparse(df: DataFrame, *vectors: str) -> DataFrame:
+    """A stored copy with sparse vectors as ``(size, indices, values)``: nothing is made dense."""
+    path = scratch_path(df.sparkSession, "sparse")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(sparse_schema(df.schema, *vectors)).parquet(path)
 
 
-def cosine_projection(input_dim: int, output_dim: int) -> Callable:
-    """Stand-in encoder: a fixed projection with weights ``cos((i + 1) * (j + 1))``."""
-    def make():
-        i, j = np.arange(1, input_dim + 1), np.arange(1, output_dim + 1)
-        weights = np.cos(np.outer(i, j).astype(np.float64))
-        return lambda batch: batch.astype(np.float64) @ weights
+def nonzero(stored: DataFrame, key: str, vector: str, value: str) -> DataFrame:
+    """Long form ``(key, bucket, value)`` of the non-zero entries of stored sparse vectors."""
+    entries = F.arrays_zip(F.col(f"{vector}.indices").alias("bucket"), F.col(f"{vector}.values").alias(value))
+    return stored.select(key, F.inline(entries)).toDF(key, "bucket", value).filter(F.col(value) != 0)
 
-    return make
+
+def feature_shapes(df: DataFrame, split: str, features: str) -> DataFrame:
+    """Rows and vector length per split; equal min and max mean a rectangular matrix."""
+    size = F.size(features)
+    return df.groupBy(split).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(size).alias("min_dim"), F.max(size).alias("max_dim"))

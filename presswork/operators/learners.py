@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import numpy as np
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassifier,
     NaiveBayes,
+    NaiveBayesModel,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED = 86
+from presswork.functions.binding import let
+from presswork.functions.labels import first_max
+from presswork.functions.scores import cross_entropy, softmax
+
+SEED = 411
 
 
 def as_vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
@@ -24,9 +32,9 @@ def as_vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vector))).withColumn("y", F.col(label).cast("double"))
 
 
-def logistic_regression(max_iter: int = 20, reg: float = 0.01) -> LogisticRegression:
+def logistic_regression(max_iter: int = 20, reg: float = 0.01, tol: float = 1e-6) -> LogisticRegression:
     return LogisticRegression(
-        featuresCol="features", labelCol="y", family="multinomial", maxIter=max_iter, regParam=reg)
+        featuresCol="features", labelCol="y", family="multinomial", maxIter=max_iter, regParam=reg, tol=tol, standardization=False)
 
 
 def perceptron(input_dim: int, hidden: list[int], classes: int, max_iter: int = 30) -> MultilayerPerceptronClassifier:
@@ -35,20 +43,73 @@ def perceptron(input_dim: int, hidden: list[int], classes: int, max_iter: int =
         featuresCol="features", labelCol="y", layers=[input_dim, *hidden, classes], maxIter=max_iter, seed=SEED)
 
 
-def accuracy_by(df: DataFrame, *keys: str) -> DataFrame:
-    hit = F.avg((F.col("prediction") == F.col("y")).cast("int"))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.round(hit, 6).alias("accuracy"))
+def accuracy(df: DataFrame, predicted: str = "recomputed") -> float:
+    return df.agg(F.avg((F.col(predicted) == F.col("y")).cast("int"))).first()[0]
+
+
+def _layer(x: Column, weights: np.ndarray, bias: np.ndarray) -> Column:
+    """``weights @ x + bias`` for an array column. The literals are parsed once, as constants."""
+    rows = F.from_json(F.lit(json.dumps(np.column_stack([bias, weights]).tolist())), "array<array<double>>")
+    dot = lambda w: F.aggregate(
+        F.zip_with(x, F.slice(w, 2, weights.shape[1]), lambda a, b: a * b), F.get(w, F.lit(0)), lambda s, v: s + v)
+    return F.transform(rows, dot)
+
+
+def class_scores(model, features: str = "features") -> Column:
+    """Class scores of a linear or perceptron model, from its weights in built-in expressions."""
+    x = vector_to_array(F.col(features))
+    if isinstance(model, LogisticRegressionModel):
+        return _layer(x, model.coefficientMatrix.toArray(), model.interceptVector.toArray())
+    weights, at, layers = model.weights.toArray(), 0, model.getLayers()
+    for number, (n_in, n_out) in enumerate(zip(layers, layers[1:])):
+        matrix = weights[at:at + n_in * n_out].reshape(n_in, n_out).T
+        x = _layer(x, matrix, weights[at + n_in * n_out:at + (n_in + 1) * n_out])
+        at += (n_in + 1) * n_out
+        if number < len(layers) - 2:
+            x = F.transform(x, lambda v: 1 / (1 + F.exp(-v)))
+    return x
+
+
+def with_recomputed(scored: DataFrame, model) -> DataFrame:
+    """Add ``recomputed``, the class of the highest score computed from the model's weights."""
+    return scored.withColumn("recomputed", let(class_scores(model), first_max).cast("double"))
+
+
+def agreement_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows per key, and whether predictions and recomputed classes are the same."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.col("prediction") == F.col("recomputed")).alias("same"))
+
+
+def gradient_size(model: LogisticRegressionModel, train: DataFrame) -> float:
+    """Largest entry of the gradient of mean log loss plus ridge penalty, as a plain aggregate over ``train``."""
+    classes = model.numClasses
+    wrong = train.select(vector_to_array("features").alias("x"), softmax(class_scores(model)).alias("p"), "y").select(
+        F.concat(F.array(F.lit(1.0)), F.col("x")).alias("x"),
+        F.transform("p", lambda p, i: p - (i == F.col("y").cast("int")).cast("double")).alias("r"))
+    # classes times width numbers per row, summed where they are made
+    long = wrong.select("x", F.posexplode("r").alias("c", "r")).select("c", "r", F.posexplode("x").alias("i", "x"))
+    sums = long.groupBy("c", "i").agg(F.avg(F.col("r") * F.col("x")).alias("g")).collect()
+    gradient = np.zeros((classes, model.numFeatures + 1))
+    for row in sums:
+        gradient[row["c"], row["i"]] = row["g"]
+    gradient[:, 1:] += model.getRegParam() * model.coefficientMatrix.toArray()
+    return float(np.abs(gradient).max())
+
+
+def beats_class_shares(model, train: DataFrame) -> bool:
+    """Whether the mean log loss lies below that of predicting the class shares."""
+    loss = train.select(cross_entropy(class_scores(model), F.col("y").cast("int")).alias("l")).agg(F.avg("l")).first()[0]
+    counts = [r["count"] for r in train.groupBy("y").count().collect()]
+    n = sum(counts)
+    return loss < -sum(c / n * math.log(c / n) for c in counts)
 
 
-def text_bayes(train: DataFrame, words: str, label_code: str, max_words: int = 1 << 18):
-    """Word counts and naive Bayes as Spark ML models: ``(vectorizer, classifier)``.
+def text_bayes(train: DataFrame, label_code: str, counts: str = "features") -> NaiveBayesModel:
+    """Naive Bayes as a Spark ML model over hashed word counts (``features.hashed_counts``).
 
-    Knows the ``max_words`` most frequent words, since Spark ML keeps its vocabulary on the driver;
-    ``bayes.fit`` has no such limit.
+    Every word counts in its bucket, and nothing that grows with the vocabulary is on the driver.
     """
-    vectorizer = CountVectorizer(inputCol=words, outputCol="features", vocabSize=max_words).fit(train)
-    bayes = NaiveBayes(featuresCol="features", labelCol=label_code, smoothing=1.0)
-    return vectorizer, bayes.fit(vectorizer.transform(train))
+    return NaiveBayes(featuresCol=counts, labelCol=label_code, smoothing=1.0).fit(train)
 
 
 def cross_validate(df: DataFrame, estimator: Estimator, grid: list | None = None, fold: str = "kfold",

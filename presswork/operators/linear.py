@@ -61,6 +61,8 @@ def model_arrays(model: DataFrame, label: str, classes: Sequence, fold: str | No
     a model has never seen scores minus infinity.
     """
     rows = model.filter(F.col(label).isin(list(classes))).collect()
+    if not rows:
+        raise ValueError("the model has no row for any of the classes")
     folds = sorted({r[fold] for r in rows}) if fold else [None]
     dim = len(rows[0]["mu"])
     weights = np.zeros((len(folds), len(classes), dim))
@@ -82,6 +84,9 @@ def linear_logits(vector: Column, weights: np.ndarray, bias: np.ndarray) -> Colu
     @F.arrow_udf("array<array<double>>")
     def product(vectors: pa.Array) -> pa.Array:
         present = vectors.is_valid().to_numpy(zero_copy_only=False)
+        lengths = vectors.value_lengths().drop_null().to_numpy(zero_copy_only=False)
+        if (lengths != dim).any():
+            raise ValueError(f"vectors must have {dim} values, found {sorted(set(lengths.tolist()))[:5]}")
         x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         scores = pa.array((x @ flat_weights + flat_bias).reshape(-1))
         per_model = pa.ListArray.from_arrays(pa.array(np.arange(0, len(scores) + 1, classes), pa.int32()), scores)

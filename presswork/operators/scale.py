@@ -15,7 +15,6 @@ from presswork.session import materialise
 ROW_BITS = 33
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 16
 
 
 def _marked(df: DataFrame, order: tuple) -> DataFrame:
@@ -85,15 +84,39 @@ def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, keys: list[str], spread: list[str], how: str = "left",
-                max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join ``facts`` to a lookup table with unique ``keys``.
-
-    A table of checked size is broadcast. A larger one is copied to ``salts`` salt values
-    and the facts are spread over them by a hash of ``spread``, so that a key holding a
-    third of the facts is shared by ``salts`` tasks. Both ways give the same rows.
+                max_rows: int = BROADCAST_ROWS, weight: str | None = None, fits: bool | None = None) -> DataFrame:
+    """Join ``facts`` to a lookup table with unique ``keys``; ``how`` is left or inner.
+
+    A table of checked size is broadcast; ``fits`` passes on an earlier check of the same table. For a
+    larger one ``weight`` names its column of occurrence counts (not part of the result): the rows
+    of the highest counts, which carry most facts, are broadcast, and only facts not found among
+    them are shuffled against the rest. Without counts the table is copied to as many salts as
+    there are shuffle partitions. All ways give the same rows.
     """
-    if fits_broadcast(table, max_rows):
-        return facts.join(F.broadcast(table), keys, how)
+    values = table.drop(weight) if weight else table
+    if fits_broadcast(table, max_rows) if fits is None else fits:
+        return facts.join(F.broadcast(values), keys, how)
+    if weight:
+        return _head_tail_join(facts, table, keys, how, max_rows, weight)
+    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    salted_table = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(salted_table, [*keys, "_salt"], how).drop("_salt")
+
+
+def _head_tail_join(facts: DataFrame, table: DataFrame, keys: list[str], how: str, max_rows: int, weight: str) -> DataFrame:
+    # counts that are reached by at most max_rows rows: few distinct counts come first, so a count
+    # histogram cut off at max_rows entries is enough
+    top = table.groupBy(weight).agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc(weight)).limit(max_rows)
+    upto = Window.orderBy(F.desc(weight)).rowsBetween(Window.unboundedPreceding, 0)
+    cut = top.withColumn("_upto", F.sum("_rows").over(upto)).filter(F.col("_upto") <= max_rows).agg(F.min(weight)).first()[0]
+    in_head = F.col(weight) >= cut if cut is not None else F.lit(False)
+    columns = [c for c in table.columns if c not in (*keys, weight)]
+    head = table.filter(in_head).select(*keys, F.struct(F.lit(True).alias("_hit"), *columns).alias("_found"))
+    tail = table.filter(~in_head).select(*keys, F.struct(F.lit(True).alias("_hit"), *columns).alias("_found"))
+    tried = facts.join(F.broadcast(head), keys, "left")
+    found = tried.filter(F.col("_found").isNotNull())
+    rest = tried.filter(F.col("_found").isNull()).drop("_found").join(tail.hint("merge"), keys, how)
+    return found.unionByName(rest).select(*keys, *[c for c in facts.columns if c not in keys], *[F.col(f"_found.{c}").alias(c) for c in columns])
+
+

@@ -29,7 +29,11 @@ def confidence_long(wide: DataFrame, keys: list[str], classes: Sequence[str]) ->
 
 
 def compare_predictions(long: DataFrame, key: str, models: Sequence[str]) -> DataFrame:
-    """``(key, model, label)`` rows to one column per model and a flag of full agreement."""
-    wide = long.groupBy(key).pivot("model", list(models)).agg(F.first("label"))
+    """``(key, model, label)`` rows of separate jobs to one column per model and a flag of full agreement."""
+    return with_agreement(long.groupBy(key).pivot("model", list(models)).agg(F.first("label")), models)
+
+
+def with_agreement(wide: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Flag the rows in which all model columns agree."""
     agree = reduce(lambda a, b: a & b, [F.col(m) == F.col(models[0]) for m in models[1:]], F.lit(True))
     return wide.withColumn("agree", agree)

@@ -34,8 +34,8 @@ def _stepped(u: Column, low: Column, high: Column, step: int) -> Column:
     return (low + F.floor(u * steps) * step).cast("int")
 
 
-def search_space(trials: DataFrame, number: str = "number") -> DataFrame:
-    """A reproducible random draw of every parameter for each trial number.
+def search_space(trials: DataFrame, number: str = "number", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A reproducible random draw of every parameter for each trial number; ``keep`` names columns to carry along.
 
     The second layer lies between half of the first layer's size and that size.
     """
@@ -49,13 +49,13 @@ def search_space(trials: DataFrame, number: str = "number") -> DataFrame:
     log_low, log_high = math.log(LEARNING_RATE[0]), math.log(LEARNING_RATE[1])
     rate = F.exp(F.lit(log_low) + _draw(F.col(number), "learning_rate") * (log_high - log_low))
     first = trials.select(
-        number, stepped("lstm_units_1", LSTM_UNITS_1), stepped("dense_units", DENSE_UNITS),
+        number, *keep, stepped("lstm_units_1", LSTM_UNITS_1), stepped("dense_units", DENSE_UNITS),
         dropout.alias("dropout_rate"), rate.alias("learning_rate"), stepped("epochs", EPOCHS),
         stepped("batch_size", BATCH_SIZE),
     )
     half = F.floor(F.col("lstm_units_1") / 2)
     second = _stepped(_draw(F.col(number), "lstm_units_2"), half, F.col("lstm_units_1"), LSTM_UNITS_2_STEP)
-    return first.withColumn("lstm_units_2", second).select(number, *PARAMETERS)
+    return first.withColumn("lstm_units_2", second).select(number, *keep, *PARAMETERS)
 
 
 def halving_rung(log: DataFrame, rung: str, loss: str, number: str, eta: int = 3) -> DataFrame:
@@ -93,7 +93,5 @@ def trial_states(log: DataFrame, state: str = "state") -> DataFrame:
 
 
 def best_params_json(best: DataFrame) -> DataFrame:
-    """Parameters of the best trial as one JSON object."""
-    rate = F.col("learning_rate").cast("decimal(12,8)").alias("learning_rate")
-    columns = [rate if p == "learning_rate" else F.col(p) for p in PARAMETERS]
-    return best.select(F.to_json(F.struct(*columns)).alias("value"))
+    """Parameters of the best trial as one JSON object, the rate with all its digits."""
+    return best.select(F.to_json(F.struct(*PARAMETERS)).alias("value"))

@@ -18,12 +18,21 @@ from presswork.operators.scale import lookup_join, with_position
 from presswork.session import materialise
 
 
-def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per token: ``(key, sent, pos, token, next_token)``; null after a sentence's last token."""
+def _all_tokens(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """``token_table`` with one row of nulls for a text without tokens."""
     # the outer forms: the inner ones make the optimizer compute the words again in a size filter
-    per_sentence = df.select(key, F.posexplode_outer(sentence_words(F.col(text))).alias("sent", "_words"))
-    numbered = per_sentence.select(key, "sent", "_words", F.posexplode_outer("_words").alias("pos", "token"))
-    return numbered.filter(F.col("token").isNotNull()).select(key, "sent", "pos", "token", F.get("_words", F.col("pos") + 1).alias("next_token"))
+    per_sentence = df.select(key, *keep, F.posexplode_outer(sentence_words(F.col(text))).alias("sent", "_words"))
+    numbered = per_sentence.select(key, *keep, "sent", "_words", F.posexplode_outer("_words").alias("pos", "token"))
+    return numbered.select(key, *keep, "sent", "pos", "token", F.get("_words", F.col("pos") + 1).alias("next_token"))
+
+
+def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per token: ``(key, sent, pos, token, next_token)``; null after a sentence's last token.
+
+    Tokens keep the partitioning of ``df``: operators that need a document's tokens together
+    shuffle nothing if its rows were dealt by ``key`` before.
+    """
+    return _all_tokens(df, key, text).filter(F.col("token").isNotNull())
 
 
 def preprocess(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
@@ -43,22 +52,23 @@ def drop_tags(tagged: DataFrame, drop=DROP_TAGS, literals=DROP_LITERALS) -> Data
     return tagged.filter(is_kept(F.col("token"), drop, literals, F.col("tag")))
 
 
-def join_words(tokens: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Tokens back to one text per document in ``(sent, pos)`` order; nothing kept gives ``''``, a
-    null text stays null."""
-    texts = tokens.groupBy(key).agg(F.collect_list(F.struct("sent", "pos", F.lower("token").alias("w"))).alias("_w"))
-    joined = docs.select(key, F.col(text).isNotNull().alias("_given")).join(texts, key, "left")
-    words = F.coalesce(F.array_join(F.transform(F.array_sort("_w"), lambda s: s["w"]), " "), F.lit(""))
-    return joined.select(key, F.when(F.col("_given"), words).alias("processed_content"))
-
-
 def preprocess_with_tables(df: DataFrame, key: str, text: str, phrases: DataFrame | None = None,
                            lexicon: DataFrame | None = None, drop=DROP_TAGS) -> DataFrame:
-    """Full preprocessing with compound words and a tag lexicon."""
-    tokens = token_table(df, key, text)
+    """Full preprocessing with compound words and a tag lexicon.
+
+    The documents are dealt by key once, before they become tokens; merging and joining up then
+    work where the tokens are. A text of which nothing is kept gives ``''``, a null text stays null.
+    """
+    marked = df.select(key, text, F.col(text).isNotNull().alias("_given")).repartition(key)
+    tokens = _all_tokens(marked, key, text, "_given")
     if phrases is not None:
-        tokens = apply_phrases(tokens, phrases, key)
-    return join_words(drop_tags(tag_tokens(tokens, lexicon, key), drop), df, key, text)
+        tokens = apply_phrases(tokens, phrases, key, "_given")
+    tagged = tag_tokens(tokens, lexicon, key)
+    word = F.struct("sent", "pos", F.lower("token").alias("w"))
+    kept = F.when(is_kept(F.col("token"), drop, DROP_LITERALS, F.col("tag")), word)
+    texts = tagged.groupBy(key).agg(F.collect_list(kept).alias("_w"), F.max("_given").alias("_given"))
+    joined = F.array_join(F.transform(F.array_sort("_w"), lambda s: s["w"]), " ")
+    return texts.select(key, F.when(F.col("_given"), joined).alias("processed_content"))
 
 
 def preprocess_quality(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -114,15 +124,18 @@ def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 1.0,
     return joined.select("w1", "w2", "n12", "n1", "n2", score.alias("score")).filter(F.col("score") > threshold)
 
 
-def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str, *keep: str) -> DataFrame:
     """Merge listed pairs left to right without overlap into ``w1_w2`` tokens.
 
     In a run of consecutive listed pairs every second one starts a merge, counted from the run's
-    first token. One shuffle by document; each window covers one sentence.
+    first token. The windows cover one sentence each and need a document's tokens in one
+    partition: tokens of documents that were dealt by ``key`` are not shuffled again.
     """
-    listed = phrases.select(F.col("w1").alias("token"), F.col("w2").alias("next_token"), F.lit(True).alias("_pair"))
-    flagged = lookup_join(tokens, listed, ["token", "next_token"], spread=[key, "sent", "pos"])
-    by_doc = flagged.withColumn("_pair", F.coalesce("_pair", F.lit(False))).repartition(key)
+    weight = "n12" if "n12" in phrases.columns else None
+    listed = phrases.select(
+        F.col("w1").alias("token"), F.col("w2").alias("next_token"), F.lit(True).alias("_pair"), *[weight] * bool(weight))
+    flagged = lookup_join(tokens, listed, ["token", "next_token"], spread=[key, "sent", "pos"], weight=weight)
+    by_doc = flagged.withColumn("_pair", F.coalesce("_pair", F.lit(False)))
     order = Window.partitionBy(key, "sent").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     last_free = F.coalesce(F.max(F.when(~F.col("_pair"), F.col("pos"))).over(upto), F.lit(-1))
@@ -130,7 +143,7 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     merged = by_doc.withColumn("_starts", starts)
     merged = merged.withColumn("_taken", F.coalesce(F.lag("_starts").over(order), F.lit(False)))
     token = F.when(F.col("_starts"), F.concat_ws("_", "token", "next_token")).otherwise(F.col("token"))
-    return merged.filter(~F.col("_taken")).select(key, "sent", "pos", token.alias("token"))
+    return merged.filter(~F.col("_taken")).select(key, *keep, "sent", "pos", token.alias("token"))
 
 
 def _count_cutoff(counts: DataFrame, max_words: int) -> int:
@@ -144,15 +157,18 @@ def _count_cutoff(counts: DataFrame, max_words: int) -> int:
     return needed.filter(F.col("_before") < max_words).agg(F.coalesce(F.min("n"), F.lit(0)).alias("n")).first()["n"]
 
 
+def word_counts(df: DataFrame, words: str) -> DataFrame:
+    """``(token, n)`` over all word lists, counted where the words are exploded."""
+    tokens = df.select(F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def build_vocab(df: DataFrame, words: str, max_words: int | None = None, min_count: int = 1) -> DataFrame:
     """Word vocabulary ``(token, n, token_id)``: by count descending, then token; ids from 4.
 
     With a size limit only words that can make it are sorted, not the long tail of rare ones.
     """
-    counts = (
-        df.select(F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
-        .groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-    )
+    counts = word_counts(df, words).filter(F.col("n") >= min_count)
     if max_words is not None:
         counts = materialise(counts, "word-counts")
         counts = counts.filter(F.col("n") >= _count_cutoff(counts, max_words))
@@ -168,7 +184,7 @@ def encode_tokens(df: DataFrame, key: str, words: str, vocab: DataFrame) -> Data
     Only ``(pos, id)`` pairs are shuffled, already gathered per document on the map side.
     """
     tokens = df.select(key, F.posexplode_outer(words).alias("pos", "token"))
-    known = lookup_join(tokens, vocab.select("token", "token_id"), ["token"], spread=[key, "pos"])
+    known = lookup_join(tokens, vocab.select("token", "token_id", "n"), ["token"], spread=[key, "pos"], weight="n")
     pair = F.when(
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("i"))
     )

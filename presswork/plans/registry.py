@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+INPUT_PARTITIONS = "spark.presswork.inputPartitions"
 
 
 def query(name: str, sql: str | None = None):
@@ -22,12 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for work that is heavy per row. Input in fewer splits than cores is hashed over
-    the cores by key; large input already has more splits than cores and is left as it is."""
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of texts as its files are split. Only where the deployer sets ``INPUT_PARTITIONS``, for
+    files with a few large row groups that cannot be split, rows are dealt over so many tasks."""
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

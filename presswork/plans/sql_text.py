@@ -52,7 +52,7 @@ TOKENS = f"""
 sent_rows AS (
   SELECT doc_id, unnest(ss) AS ws, generate_subscripts(ss, 1) - 1 AS sent
   FROM (SELECT doc_id, {sent_toks('text')} AS ss FROM documents)),
-tokens AS (
+tokens AS MATERIALIZED (
   SELECT doc_id, sent, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos FROM sent_rows)
 """
 

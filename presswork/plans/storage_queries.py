@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from presswork.operators import evaluate, learners, tuning, words
+from presswork.operators import bayes, evaluate, learners, linear, tuning, words
 from presswork.plans import sql_text as s
 from presswork.plans.evaluation_queries import ONE_MODEL, ROUNDED, _pairs, _rounded, report_sql
 from presswork.plans.registry import query, table
 from presswork.plans.tuning_queries import LOG, SPACE, best_with_parameters, trial_log
-from presswork.plans.vector_queries import FEATURE_TABLE, TEST_SCORES, _ml_embeddings, _summed, feature_rows, test_set_predictions
-from presswork.session import scratch_path
+from presswork.plans.text_queries import kept_docs
+from presswork.plans.vector_queries import (
+    FEATURE_TABLE, LABELS, TEST_SCORES, _folded_embeddings, _nb_model, _summed, feature_rows, test_set_predictions,
+)
+from presswork.session import materialise, scratch_path
 from presswork.sources import readers, schemas, sinks
 
 
@@ -27,7 +32,7 @@ SELECT doc_id AS id, {s.processed('text')} AS processed_content, lang AS categor
 def sink_jsonl(spark, sf_dir):
     path = scratch_path(spark, "processed")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("category"))
-    sinks.write_jsonl(words.preprocess(docs, "id", "text", "category"), path, n_files=4)
+    sinks.write_jsonl(words.preprocess(docs, "id", "text", "category"), path)
     return readers.read_jsonl(spark, path, schemas.PROCESSED_ARTICLE)
 
 
@@ -38,7 +43,7 @@ FROM best JOIN space USING (number)""")
 def read_config(spark, sf_dir):
     path = scratch_path(spark, "config")
     sinks.write_config(tuning.best_params_json(best_with_parameters(spark, sf_dir)), path)
-    return readers.read_config(spark, path, schemas.BEST_PARAMETERS)
+    return readers.read_config(spark, path, schemas.BEST_PARAMETERS).withColumn("learning_rate", F.round("learning_rate", 8))
 
 
 REPORT = f"WITH {ONE_MODEL}, {report_sql()} SELECT label, {ROUNDED} FROM full_report"
@@ -55,10 +60,9 @@ def sink_report_csv(spark, sf_dir):
     return _report_roundtrip(spark, sf_dir)
 
 
-@query("scan_csv_report", sql=f"SELECT label, f1_score FROM ({REPORT}) WHERE support > 100")
+@query("scan_csv_report", sql=f"SELECT label, f1_score, support FROM ({REPORT})")
 def scan_csv_report(spark, sf_dir):
-    report = _report_roundtrip(spark, sf_dir)
-    return report.filter(F.col("support") > 100).select("label", "f1_score")
+    return _report_roundtrip(spark, sf_dir).select("label", "f1_score", "support")
 
 
 @query("sink_trials_csv", sql=f"""
@@ -69,18 +73,16 @@ FROM log JOIN space USING (number) WHERE state = 'COMPLETE'""")
 def sink_trials_csv(spark, sf_dir):
     path = scratch_path(spark, "trials")
     # parameters are a function of the trial number, so they are added without a join
-    done = tuning.complete_trials(trial_log(spark, sf_dir))
-    space = tuning.search_space(done.select("number")).withColumn("learning_rate", F.round("learning_rate", 8))
-    trials = done.join(space, "number").select(*schemas.TRIAL_LOG.fieldNames())
-    sinks.write_trials_csv(trials, path)
-    return readers.read_csv_table(spark, path, schemas.TRIAL_LOG)
+    trials = tuning.search_space(tuning.complete_trials(trial_log(spark, sf_dir)), keep=("value", "state"))
+    sinks.write_trials_csv(trials.select(*schemas.TRIAL_LOG.fieldNames()), path)
+    return readers.read_csv_table(spark, path, schemas.TRIAL_LOG).withColumn("learning_rate", F.round("learning_rate", 8))
 
 
-@query("feature_store_roundtrip", sql=f"SELECT * FROM ({FEATURE_TABLE}) WHERE split IN ('train', 'validation')")
+@query("feature_store_roundtrip", sql=FEATURE_TABLE)
 def feature_store_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "features")
     sinks.write_features(feature_rows(spark, sf_dir), path)
-    return _summed(readers.read_features(spark, path, "train", "validation"))
+    return _summed(readers.read_features(spark, path))
 
 
 @query("prediction_sink", sql=TEST_SCORES)
@@ -90,15 +92,35 @@ def prediction_sink(spark, sf_dir):
     return readers.read_predictions(spark, path)
 
 
-@query("model_roundtrip", sql=f"""
-SELECT {s.split_of('vec_id')} AS split, count(*) AS n_rows, true AS same FROM embeddings GROUP BY 1""")
+@query("model_roundtrip", sql="""
+SELECT kind, fold, count(*) AS n_rows, true AS same
+FROM (SELECT unnest(['centroid', 'logistic']) AS kind), (SELECT unnest(range(5))::int AS fold), embeddings GROUP BY ALL
+UNION ALL SELECT 'bayes', NULL, count(*), true FROM documents""")
 def model_roundtrip(spark, sf_dir):
-    rows = _ml_embeddings(spark, sf_dir)
+    """One logistic and one centroid model per fold and the word model: written, read, and scored again."""
     path = scratch_path(spark, "model")
-    model = learners.logistic_regression(max_iter=5).fit(rows.filter(F.col("split") == "train"))
-    learners.save_fold_models([model], path)
-    loaded = learners.load_fold_models(path, 1)[0]
-    both = model.transform(rows).select("vec_id", "split", F.col("prediction").alias("kept"), "features")
-    again = loaded.transform(both)
-    return again.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.col("kept") == F.col("prediction")).alias("same"))
+    folded = learners.as_vectors(_folded_embeddings(spark, sf_dir), "embedding", "label")
+    rows = materialise(folded.select("vec_id", "kfold", "label", "embedding", "features", "y"), "folded-vectors")
+    models = [m[0] for m in learners.cross_validate(rows, learners.logistic_regression(max_iter=5)).subModels]
+    learners.save_fold_models(models, f"{path}/logistic")
+    checks = []
+    for fold, (kept, loaded) in enumerate(zip(models, learners.load_fold_models(f"{path}/logistic"))):
+        first = kept.transform(rows).select("features", F.col("probability").alias("before"))
+        second = loaded.transform(first)
+        checks.append(second.select(F.lit("logistic").alias("kind"), F.lit(fold).alias("fold"), (F.col("before") == F.col("probability")).alias("same")))
+    centroids = linear.fit_kfold_centroids(rows, "label", "embedding")
+    sinks.write_fold_weights(centroids, f"{path}/centroid")
+    arrays = [linear.model_arrays(m, "label", LABELS, "fold") for m in (centroids, readers.read_fold_weights(spark, f"{path}/centroid"))]
+    before, after = (linear.linear_logits(F.col("embedding"), *a) for a in arrays)
+    both = rows.select(before.alias("b"), after.alias("a")).select(F.posexplode(F.arrays_zip("a", "b")).alias("fold", "x"))
+    checks.append(both.select(F.lit("centroid").alias("kind"), "fold", (F.col("x.a") == F.col("x.b")).alias("same")))
+    words_model = _nb_model(spark, sf_dir)
+    words_model.save(f"{path}/bayes")
+    texts = materialise(kept_docs(spark, sf_dir), "word-lists")
+    scores = [bayes.score(texts, ["doc_id"], "words", m) for m in (words_model, bayes.BayesModel.load(spark, f"{path}/bayes"))]
+    # sums may be added in another order
+    near = F.forall(F.zip_with("x.logits", "y.logits", lambda a, b: F.abs(a - b) <= 1e-9 * F.abs(a)), lambda t: t)
+    joined = scores[0].alias("x").join(scores[1].alias("y"), "doc_id")
+    checks.append(joined.select(F.lit("bayes").alias("kind"), F.lit(None).cast("int").alias("fold"), near.alias("same")))
+    every = reduce(lambda a, b: a.unionByName(b), checks)
+    return every.groupBy("kind", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and("same").alias("same"))

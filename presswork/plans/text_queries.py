@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from presswork.functions import labels, text as txt
 from presswork.operators import corpus, explore, words
 from presswork.plans import sql_text as s
-from presswork.plans.registry import query, spread_table, table
+from presswork.plans.registry import query, table, text_table
 
-SHORT_LENGTH = 64
-MAX_WORDS = 2000
+MAX_LENGTH = 256
 
 
 def _docs(spark, sf_dir, *columns):
-    return spread_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", *columns)
+    return text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", *columns)
 
 
 @query("strip_chars", sql=f"SELECT doc_id, {s.stripped('text')} AS stripped FROM documents")
@@ -40,13 +39,14 @@ PHRASES = f"""
 {s.TOKENS},
 pairs AS (
   SELECT token AS w1, lead(token) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS w2 FROM tokens),
-singles AS (SELECT token, count(*) AS n FROM tokens GROUP BY 1),
-pair_counts AS (SELECT w1, w2, count(*) AS n12 FROM pairs WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5),
+singles AS MATERIALIZED (SELECT token, count(*) AS n FROM tokens GROUP BY 1),
+total AS MATERIALIZED (SELECT sum(n)::double AS n FROM singles),
+pair_counts AS MATERIALIZED (SELECT w1, w2, count(*) AS n12 FROM pairs WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5),
 scored AS (
   SELECT w1, w2, n12, a.n AS n1, b.n AS n2,
-         (n12 - 5.0::double) * (SELECT count(*) FROM tokens)::double / (a.n * b.n) AS score
-  FROM pair_counts JOIN singles a ON w1 = a.token JOIN singles b ON w2 = b.token),
-phrases AS (SELECT * FROM scored WHERE score > 10)
+         (n12 - 5.0::double) * total.n / (a.n * b.n) AS score
+  FROM pair_counts JOIN singles a ON w1 = a.token JOIN singles b ON w2 = b.token CROSS JOIN total),
+phrases AS MATERIALIZED (SELECT * FROM scored WHERE score > 10)
 """
 
 
@@ -61,14 +61,14 @@ def learn_phrases(spark, sf_dir):
 
 @query("apply_phrases", sql=f"""
 WITH {PHRASES},
-nexts AS (
+nexts AS MATERIALIZED (
   SELECT *, lead(token) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS next_token FROM tokens),
-hits AS (
+hits AS MATERIALIZED (
   SELECT n.*, row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) AS k
   FROM nexts n JOIN phrases p ON n.token = p.w1 AND n.next_token = p.w2),
 runs AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, sent, pos - k ORDER BY pos) AS in_run FROM hits),
-starts AS (SELECT doc_id, sent, pos FROM runs WHERE in_run % 2 = 1)
+starts AS MATERIALIZED (SELECT doc_id, sent, pos FROM runs WHERE in_run % 2 = 1)
 SELECT n.doc_id, n.sent, n.pos,
        CASE WHEN a.pos IS NULL THEN n.token ELSE n.token || '_' || n.next_token END AS token
 FROM nexts n
@@ -76,7 +76,7 @@ LEFT JOIN starts a ON a.doc_id = n.doc_id AND a.sent = n.sent AND a.pos = n.pos
 LEFT JOIN starts b ON b.doc_id = n.doc_id AND b.sent = n.sent AND b.pos = n.pos - 1
 WHERE b.pos IS NULL""")
 def apply_phrases(spark, sf_dir):
-    tokens = words.token_table(_docs(spark, sf_dir), "doc_id", "text")
+    tokens = words.token_table(_docs(spark, sf_dir).repartition("doc_id"), "doc_id", "text")
     return words.apply_phrases(tokens, _phrases(spark, sf_dir), "doc_id")
 
 
@@ -124,12 +124,12 @@ def preprocess_text(spark, sf_dir):
 
 @query("preprocess_with_tables", sql=f"""
 WITH {PHRASES},
-nexts AS (
+nexts AS MATERIALIZED (
   SELECT *, lead(token) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS next_token FROM tokens),
-hits AS (
+hits AS MATERIALIZED (
   SELECT n.*, row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) AS k
   FROM nexts n JOIN phrases p ON n.token = p.w1 AND n.next_token = p.w2),
-starts AS (
+starts AS MATERIALIZED (
   SELECT doc_id, sent, pos FROM hits
   QUALIFY row_number() OVER (PARTITION BY doc_id, sent, pos - k ORDER BY pos) % 2 = 1),
 merged AS (
@@ -166,8 +166,7 @@ VOCAB = f"""
 {KEPT},
 counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(words) AS token FROM kept) GROUP BY 1),
 vocab AS (
-  SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 3)::int AS token_id FROM counts
-  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {MAX_WORDS}),
+  SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 3)::int AS token_id FROM counts),
 exploded AS (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM kept),
 coded AS (
   SELECT doc_id, list(coalesce(token_id, 3) ORDER BY pos) AS ids FROM exploded LEFT JOIN vocab USING (token) GROUP BY 1),
@@ -176,7 +175,7 @@ encoded AS (SELECT k.doc_id, coalesce(ids, []::int[]) AS ids FROM kept k LEFT JO
 
 
 def _vocab(spark, sf_dir):
-    return words.build_vocab(kept_docs(spark, sf_dir), "words", max_words=MAX_WORDS)
+    return words.build_vocab(kept_docs(spark, sf_dir), "words")
 
 
 def _encoded(spark, sf_dir):
@@ -199,28 +198,28 @@ def encode_tokens(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", _spaced(framed).alias("input_ids"))
 
 
-PAD = f"list_transform(range({SHORT_LENGTH}), lambda i: 1)"
-FIXED = f"([0] || ids[1:{SHORT_LENGTH - 2}] || [2] || {PAD})[1:{SHORT_LENGTH}]"
+PAD = f"list_transform(range({MAX_LENGTH}), lambda i: 1)"
+FIXED = f"([0] || ids[1:{MAX_LENGTH - 2}] || [2] || {PAD})[1:{MAX_LENGTH}]"
 
 
 @query("encode_fixed_len", sql=f"WITH {VOCAB} SELECT doc_id, array_to_string({FIXED}, ' ') AS input_ids FROM encoded")
 def encode_fixed_len(spark, sf_dir):
     return _encoded(spark, sf_dir).select(
-        "doc_id", _spaced(labels.fixed_length_ids(F.col("ids"), SHORT_LENGTH)).alias("input_ids"))
+        "doc_id", _spaced(labels.fixed_length_ids(F.col("ids"), MAX_LENGTH)).alias("input_ids"))
 
 
 @query("encode_hard_cut", sql=f"""
-WITH {VOCAB} SELECT doc_id, array_to_string(([0] || ids || [2] || {PAD})[1:{SHORT_LENGTH}], ' ') AS input_ids FROM encoded""")
+WITH {VOCAB} SELECT doc_id, array_to_string(([0] || ids || [2] || {PAD})[1:{MAX_LENGTH}], ' ') AS input_ids FROM encoded""")
 def encode_hard_cut(spark, sf_dir):
     return _encoded(spark, sf_dir).select(
-        "doc_id", _spaced(labels.hard_cut_ids(F.col("ids"), SHORT_LENGTH)).alias("input_ids"))
+        "doc_id", _spaced(labels.hard_cut_ids(F.col("ids"), MAX_LENGTH)).alias("input_ids"))
 
 
 @query("attention_mask", sql=f"""
 WITH {VOCAB} SELECT doc_id, array_to_string(list_transform({FIXED}, lambda x: CASE WHEN x = 1 THEN 0 ELSE 1 END), ' ') AS mask,
-       least(len(ids) + 2, {SHORT_LENGTH})::int AS n_visible FROM encoded""")
+       least(len(ids) + 2, {MAX_LENGTH})::int AS n_visible FROM encoded""")
 def attention_mask(spark, sf_dir):
-    mask = labels.attention_mask(labels.fixed_length_ids(F.col("ids"), SHORT_LENGTH))
+    mask = labels.attention_mask(labels.fixed_length_ids(F.col("ids"), MAX_LENGTH))
     return _encoded(spark, sf_dir).select("doc_id", mask.alias("m")).select(
         "doc_id", _spaced(F.col("m")).alias("mask"), F.aggregate("m", F.lit(0), lambda a, x: a + x).alias("n_visible"))
 

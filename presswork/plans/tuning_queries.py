@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from presswork.operators import tuning
 from presswork.plans import sql_text as s
 from presswork.plans.registry import query, table
+from presswork.sources import schemas
 
 STATES = {"F": "COMPLETE", "P": "PRUNED", "O": "FAIL"}
 
@@ -68,8 +69,7 @@ best AS (SELECT number, value FROM log WHERE state = 'COMPLETE' ORDER BY value D
 
 
 def best_with_parameters(spark, sf_dir):
-    best = tuning.best_trial(trial_log(spark, sf_dir)).select("number", "value")
-    return tuning.search_space(best).join(best, "number")
+    return tuning.search_space(tuning.best_trial(trial_log(spark, sf_dir)), keep=("value",))
 
 
 @query("best_trial", sql=f"""
@@ -80,16 +80,15 @@ def best_trial(spark, sf_dir):
     return best_with_parameters(spark, sf_dir).drop("learning_rate")
 
 
-BEST_JSON = f"""
+@query("best_params_json", sql=f"""
 WITH {LOG}, {BEST}, {SPACE}
-SELECT printf('{{"lstm_units_1":%d,"lstm_units_2":%d,"dense_units":%d,"dropout_rate":%.1f,"learning_rate":%.8f,"epochs":%d,"batch_size":%d}}',
-              lstm_units_1, lstm_units_2, dense_units, dropout_rate, learning_rate, epochs, batch_size) AS value
-FROM best JOIN space USING (number)"""
-
-
-@query("best_params_json", sql=BEST_JSON)
+SELECT lstm_units_1, lstm_units_2, dense_units, dropout_rate, round(learning_rate, 12) AS learning_rate, epochs, batch_size
+FROM best JOIN space USING (number)""")
 def best_params_json(spark, sf_dir):
-    return tuning.best_params_json(best_with_parameters(spark, sf_dir))
+    # parsed again: engines print the last digit of a double in different ways
+    text = tuning.best_params_json(best_with_parameters(spark, sf_dir))
+    parsed = text.select(F.from_json("value", schemas.BEST_PARAMETERS).alias("p")).select("p.*")
+    return parsed.withColumn("learning_rate", F.round("learning_rate", 12))
 
 
 @query("optimization_history", sql=f"""

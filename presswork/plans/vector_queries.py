@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -40,18 +39,25 @@ def _tfidf(spark, sf_dir, *columns):
     return features.tfidf(kept_docs(spark, sf_dir, *columns), "words", BUCKETS)
 
 
+def _long(tfidf):
+    return features.nonzero(features.store_sparse(tfidf, "features"), "doc_id", "features", "value")
+
+
 @query("tfidf_features", sql=f"""
 WITH {TFIDF} SELECT doc_id, bucket::int AS bucket, round(value, 6) AS value FROM weighted""")
 def tfidf_features(spark, sf_dir):
-    long = features.nonzero(_tfidf(spark, sf_dir), "doc_id", "features", "value")
-    return long.withColumn("value", F.round("value", 6))
+    return _long(_tfidf(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
-@query("ml_tfidf")
+@query("ml_tfidf", sql=f"""
+WITH {KEPT} SELECT doc_id, len(words)::double AS n_terms, {BUCKETS} AS dim, true AS weighted FROM kept""")
 def ml_tfidf(spark, sf_dir):
-    long = features.nonzero(
-        features.ml_tfidf(kept_docs(spark, sf_dir), "words", BUCKETS), "doc_id", "features", "value")
-    return long.withColumn("value", F.round("value", 6))
+    """Spark ML's own hash has no twin in SQL: its term counts must add up to the words, and its weights stay finite."""
+    rows = features.store_sparse(features.ml_tfidf(kept_docs(spark, sf_dir), "words", BUCKETS, keep_counts="tf"), "tf", "features")
+    total = F.aggregate("tf.values", F.lit(0.0), lambda a, x: a + x)
+    finite = F.forall("features.values", lambda x: (x >= 0) & ~F.isnan(x))
+    same = F.size("tf.indices") == F.size("features.indices")
+    return rows.select("doc_id", total.alias("n_terms"), F.col("features.size").alias("dim"), (finite & same).alias("weighted"))
 
 
 def feature_rows(spark, sf_dir):
@@ -59,14 +65,15 @@ def feature_rows(spark, sf_dir):
     rows = _tfidf(spark, sf_dir, "lang")
     return rows.select(
         "doc_id", corpus.split_of(F.col("doc_id")).alias("split"), F.col("lang").alias("category"),
-        label_encode(F.col("lang"), LANGS).alias("y"), vector_to_array("features").alias("features"))
+        label_encode(F.col("lang"), LANGS).alias("y"), "features")
 
 
 def _summed(rows):
+    """Rows with stored sparse ``features`` (size, indices, values)."""
     return rows.select(
-        "doc_id", "split", "category", "y", F.size("features").alias("dim"),
-        F.size(F.filter("features", lambda x: x != 0)).alias("n_nonzero"),
-        F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+        "doc_id", "split", "category", "y", F.col("features.size").alias("dim"),
+        F.size(F.filter("features.values", lambda x: x != 0)).alias("n_nonzero"),
+        F.round(F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 FEATURE_TABLE = f"""
@@ -79,7 +86,7 @@ FROM kept k LEFT JOIN weighted w USING (doc_id) GROUP BY k.doc_id, lang"""
 
 @query("feature_table", sql=FEATURE_TABLE)
 def feature_table(spark, sf_dir):
-    return _summed(feature_rows(spark, sf_dir))
+    return _summed(features.store_sparse(feature_rows(spark, sf_dir), "features"))
 
 
 @query("feature_shapes", sql=f"""
@@ -90,16 +97,6 @@ def feature_shapes(spark, sf_dir):
     return features.feature_shapes(rows, "split", "embedding")
 
 
-@query("embed_batch", sql=f"""
-WITH e AS (SELECT vec_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
-SELECT vec_id, j AS out_dim, round(sum(x * cos((i * (j + 1))::double)), 4) AS value
-FROM e, (SELECT unnest(range(8))::int AS j) GROUP BY ALL""")
-def embed_batch(spark, sf_dir):
-    encoded = features.embed_batch(F.col("embedding"), features.cosine_projection(DIM, 8), DIM)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", encoded.alias("v"))
-    return rows.select("vec_id", F.posexplode_outer("v").alias("out_dim", "value")).withColumn("value", F.round("value", 4))
-
-
 # --- centroid models -------------------------------------------------------------------------
 
 EMB = f"""
@@ -158,8 +155,9 @@ def _scored_embeddings(spark, sf_dir):
 
 @query("ensemble_mean_logits", sql=f"WITH {EMB} SELECT vec_id, class_ix, round(logit, 6) AS logit FROM mean_logits")
 def ensemble_mean_logits(spark, sf_dir):
-    long = linear.logits_long(_scored_embeddings(spark, sf_dir), "vec_id")
-    return linear.ensemble_mean(long, "vec_id").withColumn("logit", F.round("logit", 6))
+    # the mean over the models is already in the row
+    long = _scored_embeddings(spark, sf_dir).select("vec_id", F.posexplode_outer("logits").alias("class_ix", "logit"))
+    return long.withColumn("logit", F.round("logit", 6))
 
 
 @query("softmax_confidence", sql=f"WITH {EMB} SELECT vec_id, class_ix, round(p, 6) AS confidence FROM conf")
@@ -218,11 +216,8 @@ def compare_predictions(spark, sf_dir):
     scored = _scored_embeddings(spark, sf_dir)
     logits = {"ensemble": F.col("logits"), "first_fold": F.get("model_logits", F.lit(0)),
               "last_fold": F.get("model_logits", F.lit(4))}
-    named = F.array(*[
-        F.struct(F.lit(name).alias("model"), scoring.predicted_label(values, LABELS).alias("label"))
-        for name, values in logits.items()
-    ])
-    return scoring.compare_predictions(scored.select("vec_id", F.inline(named)), "vec_id", list(logits))
+    columns = [scoring.predicted_label(values, LABELS).alias(name) for name, values in logits.items()]
+    return scoring.with_agreement(scored.select("vec_id", *columns), list(logits))
 
 
 # --- naive Bayes on text ---------------------------------------------------------------------
@@ -304,12 +299,36 @@ def score_test_set(spark, sf_dir):
     return test_set_predictions(spark, sf_dir)
 
 
-@query("ml_naive_bayes", sql=f"SELECT doc_id, y_true, y_pred FROM ({TEST_SCORES})")
+NB_BUCKETS = 1 << 16
+
+HASHED_NB = f"""
+WITH {KEPT},
+words AS (
+  SELECT doc_id, lang, {s.hash8('token')} % {NB_BUCKETS} AS bucket, {s.split_of('doc_id')} AS split
+  FROM (SELECT doc_id, lang, unnest(words) AS token FROM kept)),
+bucket_counts AS (
+  SELECT bucket, {_each("count(*) FILTER (lang = '{c}') AS n_{c}")} FROM words WHERE split = 'train' GROUP BY 1),
+totals AS (SELECT {_each("coalesce(sum(n_{c}), 0)::double AS t_{c}")} FROM bucket_counts),
+sums AS (
+  SELECT doc_id, {_each("sum(ln((coalesce(n_{c}, 0) + 1.0::double) / (t_{c} + 65536.0))) AS s_{c}")}
+  FROM words LEFT JOIN bucket_counts USING (bucket), totals WHERE split = 'test' GROUP BY 1),
+priors AS (
+  SELECT {_each("ln((count(*) FILTER (lang = '{c}') + 1.0::double) / (count(*) + 4.0::double)) AS prior_{c}")}
+  FROM kept WHERE {s.split_of('doc_id')} = 'train'),
+hashed_long AS (
+  SELECT k.doc_id, lang, unnest([{_each("'{c}'")}]) AS label, unnest([{_each("coalesce(s_{c}, 0) + prior_{c}")}]) AS logit
+  FROM kept k LEFT JOIN sums USING (doc_id), priors WHERE {s.split_of('k.doc_id')} = 'test')
+SELECT doc_id, lang AS y_true, label AS y_pred FROM hashed_long
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY logit DESC, label) = 1"""
+
+
+@query("ml_naive_bayes", sql=HASHED_NB)
 def ml_naive_bayes(spark, sf_dir):
     coded = _split_docs(spark, sf_dir).withColumn("y", label_encode(F.col("lang"), LANGS).cast("double"))
-    docs = materialise(coded, "word-lists")  # read by the vectorizer, the classifier and the scoring
-    vectorizer, model = learners.text_bayes(docs.filter(F.col("split") == "train"), "words", "y")
-    scored = model.transform(vectorizer.transform(docs.filter(F.col("split") == "test")))
+    counts = features.hashed_counts(coded, "words", NB_BUCKETS, "features").drop("words")
+    docs = materialise(counts, "word-counts")  # read by the classifier and the scoring
+    model = learners.text_bayes(docs.filter(F.col("split") == "train"), "y")
+    scored = model.transform(docs.filter(F.col("split") == "test"))
     return scored.select(
         "doc_id", F.col("lang").alias("y_true"), label_decode(F.col("prediction").cast("int"), LANGS).alias("y_pred"))
 
@@ -341,47 +360,60 @@ def _ml_embeddings(spark, sf_dir):
     return learners.as_vectors(rows, "embedding", "label").select("vec_id", "split", "features", "y")
 
 
-def _fit_and_report(spark, sf_dir, estimator):
+def _fit_and_report(spark, sf_dir, estimator, settled):
     rows = _ml_embeddings(spark, sf_dir)
-    model = estimator.fit(rows.filter(F.col("split") == "train"))
-    return learners.accuracy_by(model.transform(rows), "split")
+    train = materialise(rows.filter(F.col("split") == "train"), "train-vectors")  # read in every iteration
+    model = estimator.fit(train)
+    checked = learners.with_recomputed(model.transform(rows), model)
+    return learners.agreement_by(checked, "split").withColumn("settled", F.lit(settled(model, train)))
+
+
+PER_SPLIT = f"SELECT {s.split_of('vec_id')} AS split, count(*) AS n_rows, true AS same, true AS settled FROM embeddings GROUP BY 1"
 
 
-@query("train_logreg")
+@query("train_logreg", sql=PER_SPLIT)
 def train_logreg(spark, sf_dir):
-    return _fit_and_report(spark, sf_dir, learners.logistic_regression())
+    """Predictions must equal the largest class score computed from the coefficients, and the penalised gradient must vanish."""
+    return _fit_and_report(spark, sf_dir, learners.logistic_regression(max_iter=300, tol=1e-7),
+                           lambda model, train: learners.gradient_size(model, train) < 1e-4)
 
 
-@query("train_mlp")
+@query("train_mlp", sql=PER_SPLIT)
 def train_mlp(spark, sf_dir):
-    return _fit_and_report(spark, sf_dir, learners.perceptron(DIM, [32], len(LABELS)))
+    """Predictions must equal a forward pass from the weights, and the loss must beat class shares alone."""
+    return _fit_and_report(spark, sf_dir, learners.perceptron(DIM, [32], len(LABELS)), learners.beats_class_shares)
 
 
-@query("kfold_logreg")
+@query("kfold_logreg", sql=f"""
+WITH src AS (SELECT vec_id, label FROM embeddings), {s.kfold('src', 'label', 'vec_id')}
+SELECT kfold, count(*) AS n_rows, true AS same, true AS settled FROM folded GROUP BY 1""")
 def kfold_logreg(spark, sf_dir):
     rows = learners.as_vectors(_folded_embeddings(spark, sf_dir), "embedding", "label")
     # stored once: every fold and every iteration reads it again
     rows = materialise(rows.select("vec_id", "kfold", "features", "y"), "folded-vectors")
-    validated = learners.cross_validate(rows, learners.logistic_regression(max_iter=10))
+    validated = learners.cross_validate(rows, learners.logistic_regression(max_iter=300, tol=1e-7))
     return reduce(
         lambda a, b: a.unionByName(b),
         [
-            learners.accuracy_by(models[0].transform(rows.filter(F.col("kfold") == fold)), "kfold")
+            learners.agreement_by(
+                learners.with_recomputed(models[0].transform(rows.filter(F.col("kfold") == fold)), models[0]), "kfold")
+            .withColumn("settled", F.lit(learners.gradient_size(models[0], rows.filter(F.col("kfold") != fold)) < 1e-4))
             for fold, models in enumerate(validated.subModels)
         ],
     )
 
 
-@query("tune_logreg")
+@query("tune_logreg", sql=f"""
+SELECT {s.split_of('doc_id')} AS split, count(*) AS n_rows, true AS same, true AS best FROM documents GROUP BY 1""")
 def tune_logreg(spark, sf_dir):
+    """Every trial's accuracy is compared again with the winner's, from recomputed predictions."""
     docs = materialise(
-        feature_rows(spark, sf_dir).select(
-            "doc_id", "split", F.col("y").cast("double").alias("y"), array_to_vector("features").alias("features")),
-        "text-features")
+        feature_rows(spark, sf_dir).select("doc_id", "split", F.col("y").cast("double").alias("y"), "features"), "text-features")
     estimator = learners.logistic_regression(max_iter=10)
     grid = ParamGridBuilder().addGrid(estimator.regParam, [0.001, 0.01, 0.1]).build()
     train, validation = (docs.filter(F.col("split") == name) for name in ("train", "validation"))
     results = learners.tune(train, validation, estimator, grid)
-    number, _, best = max(results, key=lambda r: (r[1], -r[0]))
-    reg = grid[number][estimator.regParam]
-    return learners.accuracy_by(best.transform(docs), "split").withColumn("best_reg", F.lit(reg))
+    number, value, best = max(results, key=lambda r: (r[1], -r[0]))
+    again = [learners.accuracy(learners.with_recomputed(model.transform(validation), model)) for _, _, model in results]
+    report = learners.agreement_by(learners.with_recomputed(best.transform(docs), best), "split")
+    return report.withColumn("best", F.lit(abs(again[number] - value) < 1e-9 and max(again) <= again[number] + 1e-9))

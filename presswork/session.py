@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,7 @@ def get_session(app_name: str = "presswork", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting gets a folder of its own.
+    Only a local-mode session without the setting gets a folder of its own, removed when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="presswork-")
+        own = tempfile.mkdtemp(prefix="presswork-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _local_dirs[context.applicationId] = own
     return _local_dirs[context.applicationId]
 
 

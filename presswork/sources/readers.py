@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswork.operators.features import sparse_schema
 from presswork.sources.schemas import RAW_ARTICLE
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, bad: str | None = None) -> DataFrame:
+    """JSON lines; ``bad`` names a column for the text of lines that do not parse (null for the others)."""
+    if bad is None:
+        return spark.read.schema(schema).json(path)
+    wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    return spark.read.schema(wide).option("columnNameOfCorruptRecord", bad).json(path)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Raw article records, one per line; ``publish`` may be ``ISODate("...")``, an object with
-    ``$date``, or a plain timestamp. Lines that are not a record are dropped."""
-    line = F.regexp_replace("value", r'ISODate\("([^"]*)"\)', '"$1"')
-    parsed = spark.read.text(path).select(F.from_json(line, RAW_ARTICLE).alias("a")).select("a.*")
-    stamp = F.coalesce(F.get_json_object("publish", "$['$date']"), F.col("publish"))
-    return parsed.filter(F.col("id").isNotNull()).withColumn("publish", F.try_to_timestamp(stamp))
+def parse_articles(spark: SparkSession, path: str, record_per_file: bool = False) -> DataFrame:
+    """Raw article records next to their source text: ``(value, a)``, ``a`` null where there is no record.
+
+    One record per line, or one in each file on as many lines as it likes. ``publish`` may be
+    ``ISODate("...")``, an object with ``$date``, or a plain timestamp.
+    """
+    lines = spark.read.text(path, wholetext=record_per_file)
+    parsed = lines.select("value", F.from_json(F.regexp_replace("value", r'ISODate\("([^"]*)"\)', '"$1"'), RAW_ARTICLE).alias("a"))
+    stamp = F.coalesce(F.get_json_object("a.publish", "$['$date']"), F.col("a.publish"))
+    dated = F.col("a").withField("publish", F.try_to_timestamp(stamp))
+    return parsed.select("value", F.when(F.col("a.id").isNotNull(), dated).alias("a"))
+
+
+def read_articles(spark: SparkSession, path: str, record_per_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The articles, and the texts ``(value)`` that are no record, for a table of rejects."""
+    parsed = parse_articles(spark, path, record_per_file)
+    blank = F.trim("value") == ""
+    return (parsed.filter(F.col("a").isNotNull()).select("a.*"),
+            parsed.filter(F.col("a").isNull() & ~blank).select("value"))
 
 
 def read_config(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -33,8 +51,13 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_features(spark: SparkSession, path: str, *splits: str) -> DataFrame:
-    """Feature store, optionally only some splits (partition pruning, other files are not listed)."""
-    store = spark.read.parquet(path)
+    """Feature store, optionally only some splits (partition pruning, other files are not listed).
+
+    Sparse vectors come as the structs they are stored as, see ``features.sparse_schema``.
+    """
+    stored = spark.read.parquet(path).schema
+    vectors = [f.name for f in stored.fields if isinstance(f.dataType, VectorUDT)]
+    store = spark.read.schema(sparse_schema(stored, *vectors)).parquet(path)
     return store.filter(F.col("split").isin(*splits)) if splits else store
 
 

@@ -91,10 +91,15 @@ def test_bayes_brute_force(spark):
 def test_bayes_agrees_with_spark_ml(spark):
     docs = spark.createDataFrame(DOCS[:5], "id long, label string, words array<string>")
     docs = docs.withColumn("y", label_encode(F.col("label"), CLASSES).cast("double"))
-    vectorizer, model = learners.text_bayes(docs, "words", "y")
-    ml = {r["id"]: r["rawPrediction"].toArray() for r in model.transform(vectorizer.transform(docs)).collect()}
-    ours = bayes.score(docs, ["id"], "words", bayes.fit(docs, "label", "words", CLASSES)).collect()
-    assert all(np.allclose(ml[r["id"]], r["logits"]) for r in ours)
+    counts = features.hashed_counts(docs, "words", 4096, "features")
+    ml = {r["id"]: r["rawPrediction"].toArray() for r in learners.text_bayes(counts, "y").transform(counts).collect()}
+    ours = {r["id"]: r["logits"] for r in bayes.score(docs, ["id"], "words", bayes.fit(docs, "label", "words", CLASSES)).collect()}
+    # the smoothing mass differs (buckets instead of words), by the same factor for each class and word count
+    known = len({w for d in DOCS[:5] if d[1] in CLASSES for w in d[2] or []})
+    totals = [sum(len(d[2] or []) for d in DOCS[:5] if d[1] == c) for c in CLASSES]
+    for d in DOCS[:5]:
+        shift = [len(d[2] or []) * math.log((t + known) / (t + 4096)) for t in totals]
+        assert np.allclose(ml[d[0]], np.array(ours[d[0]]) + shift)
 
 
 @pytest.mark.parametrize("buckets", [10, 16, 256])
@@ -115,17 +120,11 @@ def test_tfidf_brute_force(spark, buckets):
         assert np.allclose(got[i], want)
 
 
-def test_embed_batch_runs_the_given_encoder(vectors):
-    encoder = features.cosine_projection(6, 4)
-    got = vectors.select("id", features.embed_batch(F.col("v"), encoder, 6).alias("e")).orderBy("id").collect()
-    assert np.allclose([r["e"] for r in got], encoder()(X), atol=1e-5)
-
-
 def test_learners_separate_easy_classes(spark):
     rows = [(i, float(i % 3), [float(i % 3 == k) * 5 + 0.01 * i for k in range(3)], i % 5) for i in range(90)]
     df = learners.as_vectors(spark.createDataFrame(rows, "id long, label double, v array<double>, kfold int"), "v", "label").cache()
     perceptron = learners.perceptron(3, [4], 3, max_iter=60).fit(df)
-    assert learners.accuracy_by(perceptron.transform(df)).first()["accuracy"] > 0.9
+    assert learners.accuracy(perceptron.transform(df), "prediction") > 0.9
     validated = learners.cross_validate(df, learners.logistic_regression(max_iter=10))
     assert len(validated.subModels) == 5 and validated.avgMetrics[0] > 0.9
 

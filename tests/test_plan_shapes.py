@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from presswork.operators import bayes, features, linear, words
 from presswork.functions.text import kept_words
+from presswork.plans import QUERIES
 
 
 def plan(df):
@@ -45,7 +46,23 @@ def test_bayes_scoring_shuffles_partial_sums_only(docs):
 
 
 def test_words_are_computed_once_per_row(docs):
-    physical = plan(words.build_vocab(docs.select(kept_words(F.col("text")).alias("words")), "words"))
-    assert physical is not None
-    counted = docs.select(F.explode_outer(kept_words(F.col("text"))).alias("token")).filter("token is not null").groupBy("token").count()
+    kept = docs.select(kept_words(F.col("text")).alias("words"))
+    counted = words.word_counts(kept, "words")
     assert plan(counted).split("== Physical Plan ==")[1].count("regexp_replace") <= 2
+
+
+@pytest.mark.parametrize("name", ["strip_chars", "split_sentences", "tokenize_words", "preprocess_text", "preprocess_quality",
+                                  "clean_html", "scrub_links_emails_numbers", "fold_category", "assemble_content"])
+def test_registered_text_queries_move_no_text(spark, name):
+    assert "Exchange" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_compound_words_move_documents_once(spark):
+    physical = plan(QUERIES["apply_phrases"](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
+    assert physical.count("Exchange hashpartitioning") == 1
+    assert "REPARTITION_BY_COL" in physical
+
+
+def test_ensemble_mean_is_narrow(spark):
+    assert "Exchange" not in plan(QUERIES["ensemble_mean_logits"](spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in plan(QUERIES["compare_predictions"](spark, "/root/testdata/sf0.001"))

@@ -62,6 +62,11 @@ def test_lookup_join_gives_the_same_rows_above_the_broadcast_limit(spark, labell
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
     assert "_salt" in large._jdf.queryExecution().toString()
+    counted = table.withColumn("_n", F.length("label"))
+    for rows in (1, 2, 1000):
+        headed = scale.lookup_join(labelled, counted, ["label"], ["id"], how, max_rows=rows, weight="_n", fits=False)
+        assert headed.columns == small.columns
+        assert sorted(map(tuple, headed.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
 
 
 def test_broadcast_needs_few_bytes_too(spark):
@@ -70,24 +75,21 @@ def test_broadcast_needs_few_bytes_too(spark):
     assert not scale.fits_broadcast(table, max_bytes=1000)
 
 
-def published_folds(labels, k):
-    """Folds by the published algorithm: deal class-sorted rows out in turn, then fill in row order."""
-    order, codes = {}, []
-    for label in labels:
-        codes.append(order.setdefault(label, len(order)))
-    codes = np.array(codes)
-    dealt = np.sort(codes)
-    allocation = np.array([np.bincount(dealt[i::k], minlength=len(order)) for i in range(k)])
-    folds = np.empty(len(labels), int)
-    for c in range(len(order)):
-        folds[codes == c] = np.arange(k).repeat(allocation[:, c])
-    return folds
+def dealt_folds(labels, k):
+    """Rows sorted by class (in order of first appearance) are dealt to the folds like cards; what a fold
+    was dealt of a class it gets as consecutive rows of that class."""
+    classes = list(dict.fromkeys(labels))
+    share = {(c, fold): 0 for c in classes for fold in range(k)}
+    for card, label in enumerate(sorted(labels, key=classes.index)):
+        share[label, card % k] += 1
+    hands = {c: iter([fold for fold in range(k) for _ in range(share[c, fold])]) for c in classes}
+    return [next(hands[label]) for label in labels]
 
 
 @pytest.mark.parametrize("k", [2, 5, 7])
-def test_kfold_matches_published_algorithm(labelled, k):
+def test_kfold_deals_class_sorted_rows(labelled, k):
     rows = shaping.stratified_kfold(labelled, "label", "id", k).orderBy("id").collect()
-    assert [r["kfold"] for r in rows] == list(published_folds([r["label"] for r in rows], k))
+    assert [r["kfold"] for r in rows] == list(dealt_folds([r["label"] for r in rows], k))
 
 
 def test_kfold_of_tiny_classes_and_missing_labels(spark):
@@ -95,7 +97,7 @@ def test_kfold_of_tiny_classes_and_missing_labels(spark):
     rows = [(i, label, "text") for i, label in enumerate(labels)] + [(99, None, "text")]
     df = spark.createDataFrame(rows, "id long, label string, text string")
     got = shaping.stratified_kfold(df, "label", "id", 5).orderBy("id").collect()
-    assert [r["kfold"] for r in got] == [*published_folds(labels, 5), None]
+    assert [r["kfold"] for r in got] == [*dealt_folds(labels, 5), None]
 
 
 def test_kfold_does_not_move_the_rows(spark, labelled, tmp_path):

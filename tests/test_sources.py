@@ -18,18 +18,33 @@ def data_files(path):
 
 
 def test_raw_articles(spark, tmp_path):
-    record = {"source": "s", "title": "T", "sapo": None, "body": "<p>X&yacute;</p>", "id": 5, "tags": [],
-              "keywords": ["k1", "k2"], "cates": ["Pháp luật", "Khác"]}
+    record = {"source": "north-wire", "title": "Bees", "sapo": None, "body": "<p>Caf&eacute;</p>", "id": 5, "tags": [],
+              "keywords": ["k1", "k2"], "cates": ["Nhà đất", "Khác"]}
     lines = [
-        json.dumps(record, ensure_ascii=False)[:-1] + ', "publish": ISODate("2018-02-04T22:15:07Z")}',
-        json.dumps({**record, "id": 6, "cates": [], "publish": {"$date": "2018-02-04T22:15:07Z"}}),
+        json.dumps(record, ensure_ascii=False)[:-1] + ', "publish": ISODate("2031-09-05T06:07:08Z")}',
+        json.dumps({**record, "id": 6, "cates": [], "publish": {"$date": "2031-09-05T06:07:08Z"}}),
         "not a record",
     ]
     (tmp_path / "raw.json").write_text("\n".join(lines), encoding="utf-8")
-    raw = readers.read_articles(spark, str(tmp_path / "raw.json")).orderBy("id")
-    assert [r["publish"] for r in raw.collect()] == [datetime.datetime(2018, 2, 4, 22, 15, 7)] * 2
+    raw, rejects = readers.read_articles(spark, str(tmp_path / "raw.json"))
+    raw = raw.orderBy("id")
+    assert [r["value"] for r in rejects.collect()] == ["not a record"]
+    assert [r["publish"] for r in raw.collect()] == [datetime.datetime(2031, 9, 5, 6, 7, 8)] * 2
     articles = corpus.assemble_articles(raw).orderBy("id").collect()
-    assert [tuple(r) for r in articles] == [(5, "T Xý k1 k2", "Phap luat"), (6, "T Xý k1 k2", None)]
+    assert [tuple(r) for r in articles] == [(5, "Bees Café k1 k2", "Nha dat"), (6, "Bees Café k1 k2", None)]
+
+
+def test_article_on_several_lines(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{\n "id": 9,\n "title": "Two lines",\n "publish": ISODate("2031-09-05T06:07:08Z")\n}')
+    (tmp_path / "two.json").write_text("{")
+    raw, rejects = readers.read_articles(spark, str(tmp_path), record_per_file=True)
+    assert [(r["id"], r["title"]) for r in raw.collect()] == [(9, "Two lines")] and rejects.count() == 1
+
+
+def test_jsonl_keeps_bad_lines(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"id": 1}\n{"id": \n')
+    rows = readers.read_jsonl(spark, str(tmp_path / "x.json"), schemas.PROCESSED_ARTICLE, bad="_bad").collect()
+    assert sorted((r["id"], r["_bad"]) for r in rows if r["id"]) == [(1, None)] and [r["_bad"] for r in rows if r["_bad"]] == ['{"id": ']
 
 
 def test_jsonl_file_count_and_existing_path(spark, tmp_path):

@@ -134,7 +134,11 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize("html, want", [
-    ("<p>Xử l&yacute; ph&ograve;ng &amp; T&uacute;</p>", "Xử lý phòng & Tú"),
+    ("<h1>Caf&eacute; &amp; th&eacute; ngon</h1>", "Café & thé ngon"),
+    ("it&apos;s &#000000233; &#x000000E9;", "it's é é"),
+    ("a <b>c <!-- x --> d <!-- e <script>f", "a c d f"),
+    ("x <!-- y <script z", "x <!-- y <script z"),
+    ("<SCRIPT>x</style >y<style>z", "y z"),
     ("a<script>var t='</p>';</script><style>p{}</style><!-- x -->b", "a b"),
     ("1 &lt; 2 &amp;lt; 3", "1 < 2 &lt; 3"),
     ("&#233;&#xE9;&#8364;&#x1F600;&#0;", "éé€😀&#0;"),
@@ -169,3 +173,12 @@ def test_long_junk_runs_take_linear_time(spark, junk):
         txt.processed_text(F.col("t")), F.size(txt.sentence_words(F.col("t"))), txt.trim_spaces(F.col("t")),
         txt.scrub_links_emails_numbers(F.col("t"))).collect()
     assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("junk", ["<" * 300_000, "<!--" * 75_000, "<script>" * 40_000, "&" * 300_000, "</script " * 35_000, "&#1" * 100_000,
+                                  "<!--" * 75_000 + "-->", "<style>" * 40_000 + "</style>"])
+def test_html_junk_takes_linear_time(spark, junk):
+    frame = spark.createDataFrame([(junk,)], "h string")
+    start = time.time()
+    frame.select(txt.clean_html(F.col("h"))).collect()
+    assert time.time() - start < 20
