@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,6 +17,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 Maker = Callable[[], Callable[[list[str]], list[list]]]
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once per application.
+
+    Workers unpickle the operators' functions by module name and need not have the package installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = os.path.join(tempfile.mkdtemp(prefix="presswork-code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
 def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_text: bool = False) -> DataFrame:
     """Append columns computed from whole texts; the other columns of ``df`` pass through as they are.
 
@@ -21,6 +45,7 @@ def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_tex
     Columns of ``df`` that bear an added name give way, and with ``drop_text`` the text stays behind. No shuffle; an Arrow batch is bounded by
     rows and by bytes, and a text is never cut.
     """
+    ship_code(df.sparkSession)
     new = T.StructType.fromDDL(added)
     df = df.select([quoted(c) for c in df.columns if c == text or c not in new.names])
     keep = [i for i, c in enumerate(df.columns) if c not in new.names and not (drop_text and c == text)]

@@ -167,6 +167,7 @@ def word_offsets(text: str) -> np.ndarray:
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """Spans of hit passages in code points of the original text: (key, spans, items), hit documents only."""
+    # add_hits has sent the code that the function below needs
     marked = add_hits(docs.select(key, text), benchmark, text, **settings).where("size(hit_ranges) > 0")
     spans = F.udf(lambda t, rs: [[int(o[r["first"]][0]), int(o[r["past"] - 1][1])] for o in [word_offsets(t)] for r in rs],
                   "array<array<int>>")

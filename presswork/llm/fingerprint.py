@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from presswork.llm.common import append_from_text, shuffle_partitions
+from presswork.llm.common import append_from_text, shuffle_partitions, ship_code
 
 BUCKETS = 256
 GAP = 4
@@ -84,6 +84,7 @@ def with_next(docs: DataFrame, key: str, text: str, fields: str, make) -> DataFr
     range is sent to the range before as well. So each text is shuffled once, and a task holds two of
     them besides a batch. ``make()`` gives a function from two texts to the values of ``fields``.
     """
+    ship_code(docs.sparkSession)
     narrow = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     n = shuffle_partitions(docs)
     quantiles = [i / n for i in range(1, n)]

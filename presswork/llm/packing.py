@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from presswork.llm.common import ship_code
 from presswork.operators.scale import with_position
 from presswork.session import materialise
 
@@ -110,6 +111,7 @@ def encoder(vocabulary: str) -> Encoder:
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID,
                  vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32[, ids]); ``ids`` are little-endian 32-bit ids."""
+    ship_code(docs.sparkSession)
     src = docs.select(key, text)
     fields = "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     schema = T.StructType([src.schema[key], *T.StructType.fromDDL(fields).fields])
@@ -246,6 +248,7 @@ def plan_runs(patterns: list[tuple[list[tuple[int, int]], int]], histogram: dict
 
 def pack(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored rows (key, piece, length, ...); no row is longer than ``limit``."""
+    ship_code(pieces.sparkSession)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan_runs(plan(histogram, limit), histogram)
     numbered = with_position(pieces, "length", key, "piece", name="_number")

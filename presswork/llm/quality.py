@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import append_from_text, filter_rows
+from presswork.llm.common import append_from_text, filter_rows, ship_code
 from presswork.session import materialise
 
 STATISTICS = (
@@ -143,6 +143,7 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
 
 def fit(rows: DataFrame, shrink_pooled: float = SHRINK_POOLED, shrink_diagonal: float = SHRINK_DIAGONAL) -> QuadraticModel:
     """Fit on rows (label, statistics); they are stored, as they are read for the moments and for the curve."""
+    ship_code(rows.sparkSession)
     rows = materialise(rows, "labelled")
     d = len(STATISTICS)
 
@@ -196,6 +197,7 @@ def add_scores(docs: DataFrame, model: QuadraticModel, text: str = "text", name:
 
 def score_statistics(rows: DataFrame, model: QuadraticModel, name: str = "score") -> DataFrame:
     """Add the score to rows that carry ``statistics``, which are dropped."""
+    ship_code(rows.sparkSession)
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import append_from_text
+from presswork.llm.common import append_from_text, ship_code
 from presswork.session import materialise
 
 WORDS = 4
@@ -175,6 +175,7 @@ def search(members: np.ndarray, queries: np.ndarray, mask: np.uint64, radius: in
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, members: int = MEMBERS, chunk: int = CHUNK,
           sample: int = SAMPLE) -> DataFrame:
     """Rows (a, b) that connect all fingerprints within ``radius``; ``distinct`` is a stored table with column ``fp``."""
+    ship_code(distinct.sparkSession)
     total = distinct.count()
     if total < 2:
         return distinct.sparkSession.createDataFrame([], "a long, b long")

@@ -26,6 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswork.llm.common import ship_code
 from presswork.session import materialise
 
 RULES = (
@@ -138,6 +139,7 @@ def _probe(share: Broadcast) -> Callable[..., Column]:
 def add_listed(rows: DataFrame, entries: DataFrame | tuple[str, ...], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``listed`` to narrow rows with columns ``host`` and ``path``."""
     spark = rows.sparkSession
+    ship_code(spark)
     rows = rows.withColumn("listed", F.lit(False))
     for number, block in enumerate(list_blocks(entries, block_bytes)):
         if number:
