@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.operators.scale import fits_broadcast, lookup_join
+from presswork.functions.scores import mean_of_models
+from presswork.operators.scale import BROADCAST_ROWS, fits_broadcast, lookup_join
 from presswork.session import materialise
 
 
@@ -80,3 +81,56 @@ def score(df: DataFrame, key: list[str], words: str, model: BayesModel) -> DataF
     sums = [F.sum(F.get("theta", F.lit(i))).alias(f"s{i}") for i in range(len(model.classes))]
     logits = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(prior) for i, prior in enumerate(model.priors)]
     return scored.groupBy(*key).agg(*sums).select(*key, F.array(*logits).alias("logits"))
+
+
+@dataclass
+class FoldedBayesModel:
+    """One model per fold from one count: ``table`` has ``(token, theta, n)``, theta an array (folds) of arrays (classes).
+
+    A word that a fold's training rows lack has zeros there, so it counts for nothing.
+    """
+
+    classes: tuple
+    table: DataFrame
+    priors: list[list[float]]
+    fits: bool | None = None
+
+
+def fit_kfold(df: DataFrame, label: str, words: str, classes: Sequence[str], fold: str = "kfold", folds: int = 5,
+              smoothing: float = 1.0) -> FoldedBayesModel:
+    """The model of a fold learns from all other folds: counts are total less held-out counts, in one pass over the text."""
+    known = df.filter(F.col(label).isin(*classes) & F.col(fold).between(0, folds - 1))
+    tokens = known.select(label, fold, F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
+    cells = [(f, i) for f in range(folds) for i in range(len(classes))]
+    held = tokens.groupBy("token").agg(*[
+        F.count(F.when((F.col(fold) == f) & (F.col(label) == classes[i]), 1)).alias(f"h{f}_{i}") for f, i in cells])
+    totals = {i: sum(F.col(f"h{f}_{i}") for f in range(folds)) for i in range(len(classes))}
+    counts = materialise(held.select("token", *[(totals[i] - F.col(f"h{f}_{i}")).alias(f"n{f}_{i}") for f, i in cells]), "fold-counts")
+    seen = [sum(F.col(f"n{f}_{i}") for i in range(len(classes))) for f in range(folds)]
+    sums = counts.agg(*[F.coalesce(F.sum(f"n{f}_{i}"), F.lit(0)).alias(f"n{f}_{i}") for f, i in cells],
+                      *[F.count_if(seen[f] > 0).alias(f"v{f}") for f in range(folds)]).first()
+    docs = {(r[label], r[fold]): r["n"] for r in known.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n")).collect()}
+    priors = []
+    for f in range(folds):
+        own = [sum(n for (c, g), n in docs.items() if c == cls and g != f) for cls in classes]
+        priors.append([math.log((n + smoothing) / (sum(own) + smoothing * len(classes))) for n in own])
+    theta = F.array(*[
+        F.array(*[
+            F.when(seen[f] > 0, F.log((F.col(f"n{f}_{i}") + smoothing) / F.lit(sums[f"n{f}_{i}"] + smoothing * sums[f"v{f}"]))).otherwise(0.0)
+            for i in range(len(classes))])
+        for f in range(folds)])
+    table = counts.select("token", theta.alias("theta"), seen[0].alias("n"))
+    # two levels of arrays are wider than the general size check counts, so the row limit is lowered alike
+    return FoldedBayesModel(tuple(classes), table, priors, fits_broadcast(table, BROADCAST_ROWS // folds))
+
+
+def score_kfold(df: DataFrame, key: list[str], words: str, model: FoldedBayesModel) -> DataFrame:
+    """``(key, model_logits, logits)``: logits of every fold's model, and their mean over the models."""
+    tokens = df.select(*key, F.explode_outer(words).alias("token"))
+    folds, classes = len(model.priors), len(model.classes)
+    scored = lookup_join(tokens, model.table, ["token"], spread=key, weight="n", fits=model.fits, max_rows=BROADCAST_ROWS // folds)
+    sums = [F.sum(F.get(F.get("theta", F.lit(f)), F.lit(i))).alias(f"s{f}_{i}") for f in range(folds) for i in range(classes)]
+    logits = F.array(*[
+        F.array(*[F.coalesce(f"s{f}_{i}", F.lit(0.0)) + F.lit(model.priors[f][i]) for i in range(classes)]) for f in range(folds)])
+    summed = scored.groupBy(*key).agg(*sums).select(*key, logits.alias("model_logits"))
+    return summed.withColumn("logits", mean_of_models(F.col("model_logits")))

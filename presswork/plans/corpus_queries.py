@@ -27,7 +27,7 @@ def assemble_content(spark, sf_dir):
     )
 
 
-@query("clean_html", sql=r"""
+CLEAN_HTML_SQL = r"""
 WITH bare AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
     '(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t
@@ -36,7 +36,10 @@ decoded AS (
   SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t,
     '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&') AS t
   FROM bare)
-SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS body FROM decoded""")
+SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS body FROM decoded"""
+
+
+@query("clean_html", sql=CLEAN_HTML_SQL)
 def clean_html(spark, sf_dir):
     return text_table(spark, sf_dir, "pages", "page_id").select("page_id", txt.clean_html(F.col("html")).alias("body"))
 

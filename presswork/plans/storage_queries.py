@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from presswork.operators import bayes, evaluate, learners, linear, tuning, words
+from presswork.operators import bayes, corpus, evaluate, learners, linear, tuning, words
 from presswork.plans import sql_text as s
+from presswork.plans.corpus_queries import CLEAN_HTML_SQL
 from presswork.plans.evaluation_queries import ONE_MODEL, ROUNDED, _pairs, _rounded, report_sql
 from presswork.plans.registry import query, table
 from presswork.plans.tuning_queries import LOG, SPACE, best_with_parameters, trial_log
@@ -36,6 +37,50 @@ def sink_jsonl(spark, sf_dir):
     return readers.read_jsonl(spark, path, schemas.PROCESSED_ARTICLE)
 
 
+# Records as they arrive: a page as body, a document as title, lead, keywords and category, and every
+# fiftieth line broken off.
+BROKEN = 50
+
+
+def _raw_lines(spark, sf_dir):
+    lines = F.split("text", "\n")
+    joined = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "documents"), F.col("page_id") == F.col("doc_id"))
+    record = F.to_json(F.struct(
+        "source", F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(1)).alias("sapo"), F.col("html").alias("body"),
+        F.col("doc_id").alias("id"), F.lit("2031-09-05T06:07:08Z").alias("publish"), F.array("lang", "source").alias("keywords"),
+        F.array("lang").alias("cates")))
+    dated = F.replace(record, F.lit('"publish":"2031-09-05T06:07:08Z"'), F.lit('"publish":ISODate("2031-09-05T06:07:08Z")'))
+    return joined.select(F.when(F.col("doc_id") % BROKEN == 7, F.substring(dated, 1, 40)).otherwise(dated).alias("value"))
+
+
+def _raw_articles(spark, sf_dir):
+    path = scratch_path(spark, "raw-articles")
+    _raw_lines(spark, sf_dir).write.text(path)
+    return readers.read_articles(spark, path)
+
+
+@query("assemble_articles", sql=f"""
+WITH cleaned AS ({CLEAN_HTML_SQL})
+SELECT doc_id AS id, concat_ws(' ', string_split(text, chr(10))[1], string_split(text, chr(10))[2], body, lang, source) AS content,
+       lang AS category
+FROM documents JOIN cleaned ON page_id = doc_id WHERE doc_id % {BROKEN} <> 7""")
+def assemble_articles(spark, sf_dir):
+    articles, _ = _raw_articles(spark, sf_dir)
+    return corpus.assemble_articles(articles)
+
+
+@query("article_rejects", sql=f"""
+SELECT count(*) FILTER (doc_id % {BROKEN} <> 7) AS n_articles, count(*) FILTER (doc_id % {BROKEN} = 7) AS n_rejects,
+       count(*) FILTER (doc_id % {BROKEN} <> 7) AS n_dated
+FROM documents JOIN pages ON page_id = doc_id""")
+def article_rejects(spark, sf_dir):
+    articles, rejects = _raw_articles(spark, sf_dir)
+    dated = articles.select(F.lit(0).alias("r"), F.col("publish").isNotNull().alias("d"))
+    both = dated.unionByName(rejects.select(F.lit(1).alias("r"), F.lit(False).alias("d")))
+    return both.agg(F.count_if(F.col("r") == 0).alias("n_articles"), F.count_if(F.col("r") == 1).alias("n_rejects"),
+                    F.count_if("d").alias("n_dated"))
+
+
 @query("read_config", sql=f"""
 WITH {LOG}, best AS (SELECT number FROM log WHERE state = 'COMPLETE' ORDER BY value DESC, number LIMIT 1), {SPACE}
 SELECT lstm_units_1, lstm_units_2, dense_units, dropout_rate, round(learning_rate, 8) AS learning_rate, epochs, batch_size

@@ -122,7 +122,7 @@ def preprocess_text(spark, sf_dir):
     return words.preprocess(docs, "doc_id", "text", "category")
 
 
-@query("preprocess_with_tables", sql=f"""
+PROCESSED_WITH_TABLES = f"""
 WITH {PHRASES},
 nexts AS MATERIALIZED (
   SELECT *, lead(token) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS next_token FROM tokens),
@@ -141,12 +141,25 @@ merged AS (
   WHERE b.pos IS NULL),
 {LEXICON.replace('FROM tokens t', 'FROM merged t')}
 SELECT d.doc_id, coalesce(string_agg(lower(x.token), ' ' ORDER BY sent, pos), '') AS processed_content
-FROM documents d LEFT JOIN dropped x ON x.doc_id = d.doc_id GROUP BY d.doc_id""")
+FROM documents d LEFT JOIN dropped x ON x.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("preprocess_with_tables", sql=PROCESSED_WITH_TABLES)
 def preprocess_with_tables(spark, sf_dir):
     return words.preprocess_with_tables(
         _docs(spark, sf_dir), "doc_id", "text", _phrases(spark, sf_dir), _lexicon(spark, sf_dir))
 
 
+@query("vocab_of_processed", sql=f"""
+SELECT token, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, token) + 3)::int AS token_id
+FROM (SELECT unnest(string_split(processed_content, ' ')) AS token FROM ({PROCESSED_WITH_TABLES})) WHERE token <> '' GROUP BY 1""")
+def vocab_of_processed(spark, sf_dir):
+    """Vocabulary over texts with compound words joined and tagged words dropped, as models are fed."""
+    processed = preprocess_with_tables(spark, sf_dir)
+    listed = processed.select(F.filter(F.split("processed_content", " "), lambda w: w != "").alias("words"))
+    return words.build_vocab(listed, "words")
+
+
 @query("preprocess_quality", sql=rf"""
 WITH l AS (SELECT doc_id, {s.sent_toks('text')} AS ss FROM documents),
 k AS (

@@ -333,6 +333,60 @@ def ml_naive_bayes(spark, sf_dir):
         "doc_id", F.col("lang").alias("y_true"), label_decode(F.col("prediction").cast("int"), LANGS).alias("y_pred"))
 
 
+KFOLD_NB = f"""
+{KEPT},
+{s.kfold('kept', 'lang', 'doc_id')},
+fold_words AS MATERIALIZED (
+  SELECT token, kfold, {_each("count(*) FILTER (lang = '{c}') AS n_{c}")}
+  FROM (SELECT kfold, lang, unnest(words) AS token FROM folded) GROUP BY ALL),
+all_words AS MATERIALIZED (SELECT token, {_each("sum(n_{c}) AS n_{c}")} FROM fold_words GROUP BY 1),
+rest AS MATERIALIZED (
+  SELECT a.token, f.fold, {_each("a.n_{c} - coalesce(w.n_{c}, 0) AS n_{c}")}
+  FROM all_words a CROSS JOIN (SELECT unnest(range(5))::int AS fold) f LEFT JOIN fold_words w ON w.token = a.token AND w.kfold = f.fold
+  WHERE {_each("a.n_{c} - coalesce(w.n_{c}, 0)", " + ")} > 0),
+fold_totals AS (SELECT fold, count(*)::double AS v, {_each("sum(n_{c})::double AS t_{c}")} FROM rest GROUP BY 1),
+theta AS MATERIALIZED (
+  SELECT token, fold, {_each("ln((n_{c} + 1.0::double) / (t_{c} + v)) AS theta_{c}")} FROM rest JOIN fold_totals USING (fold)),
+priors AS (
+  SELECT f.fold, {_each("ln((count(*) FILTER (lang = '{c}' AND kfold <> f.fold) + 1.0::double) / (count(*) FILTER (kfold <> f.fold) + 4.0::double)) AS prior_{c}")}
+  FROM folded CROSS JOIN (SELECT unnest(range(5))::int AS fold) f GROUP BY 1),
+fold_sums AS (
+  SELECT doc_id, fold, {_each("sum(theta_{c}) AS s_{c}")}
+  FROM (SELECT doc_id, unnest(words) AS token FROM folded) JOIN theta USING (token) GROUP BY ALL),
+fold_logits AS (
+  SELECT doc_id, lang, kfold, p.fold, {_each("coalesce(s_{c}, 0) + prior_{c} AS l_{c}")}
+  FROM folded CROSS JOIN priors p LEFT JOIN fold_sums x USING (doc_id, fold))
+"""
+BEST_OF = "CASE " + " ".join(
+    f"WHEN l_{c} >= greatest({', '.join(f'l_{o}' for o in LANGS)}) THEN '{c}'" for c in LANGS) + " END"
+
+
+def _kfold_bayes(spark, sf_dir):
+    docs = kept_docs(spark, sf_dir, "lang")
+    # folds are made from keys and labels; the stored word lists are read for fitting and for scoring
+    folded = materialise(shaping.stratified_kfold(docs, "lang", "doc_id"), "folded-words")
+    return bayes.score_kfold(folded, ["doc_id", "lang", "kfold"], "words", bayes.fit_kfold(folded, "lang", "words", LANGS))
+
+
+@query("kfold_bayes", sql=f"""
+WITH {KFOLD_NB} SELECT kfold, count(*) AS n_rows, round(avg(({BEST_OF} = lang)::int), 6) AS accuracy
+FROM fold_logits WHERE fold = kfold GROUP BY 1""")
+def kfold_bayes(spark, sf_dir):
+    """Accuracy of each fold's model on the rows it has not seen."""
+    own = scoring.predicted_label(F.get("model_logits", F.col("kfold")), LANGS)
+    hit = _kfold_bayes(spark, sf_dir).select("kfold", (own == F.col("lang")).cast("int").alias("hit"))
+    return hit.groupBy("kfold").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("hit"), 6).alias("accuracy"))
+
+
+@query("ensemble_bayes", sql=f"""
+WITH {KFOLD_NB}, mean_rows AS (SELECT doc_id, {_each("avg(l_{c}) AS l_{c}")} FROM fold_logits GROUP BY 1)
+SELECT doc_id, {BEST_OF} AS y_pred, {_each("round(l_{c}, 4) AS logit_{c}")} FROM mean_rows""")
+def ensemble_bayes(spark, sf_dir):
+    return _kfold_bayes(spark, sf_dir).select(
+        "doc_id", scoring.predicted_label(F.col("logits"), LANGS).alias("y_pred"),
+        *[F.round(F.get("logits", F.lit(i)), 4).alias(f"logit_{c}") for i, c in enumerate(LANGS)])
+
+
 @query("stream_score", sql=f"""
 WITH {NB}, talks AS (SELECT conv_id, turn, {s.kept('text')} AS words FROM conversations),
 {nb_scored('talks', 'conv_id', 'turn')}
