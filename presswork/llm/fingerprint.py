@@ -1,10 +1,10 @@
 """Document fingerprints: quartile digests of hashed byte triplets.
 
 Every triplet of bytes at distances 0, ``GAP`` and 2 ``GAP`` is hashed to one of ``BUCKETS`` buckets. Each
-bucket is then coded by the quartile its count falls into (two bits), and the digest also carries the
-text's length on a logarithmic scale. Two digests differ by at most ``BUCKETS * 3 / 2`` more than
-chance would let two unrelated texts differ, so the difference is cut at chance level and the likeness
-lies between 0 and 1; it is 1 for equal digests only through equal codes and equal length class.
+bucket is coded by the quartile its count falls into (two bits), and the digest also carries the
+text's length on a logarithmic scale. The difference of two digests adds up the distances of their
+codes and length classes, but is bounded by the level that independent codes reach by chance; the
+likeness is 1 at no difference and 0 at the bound.
 
 A null text counts as empty. A text of fewer than 2 ``GAP`` + 1 bytes has no triplets and is coded by all of
 its bytes instead. Equal texts have equal digests. Other columns are not read.
