@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.text import stable_uniform
 from presswork.operators.scale import lookup_join, prefix_scan, with_position
+from presswork.session import materialise
 
 # Bounds of the search space as (low, high, step).
 LSTM_UNITS_1 = (64, 512, 32)
@@ -74,6 +77,25 @@ def halving_rung(log: DataFrame, rung: str, loss: str, number: str, eta: int = 3
     )
 
 
+def successive_halving(reports: DataFrame, rungs: Sequence, rung: str, loss: str, number: str, eta: int = 3) -> DataFrame:
+    """Reports ``(number, rung, loss)`` of the trials that reach each rung, with ``survives``.
+
+    Every trial enters the first rung; only survivors of a rung carry on to the next. One pass per
+    rung, over as many trials as are left.
+    """
+    entered, done = None, []
+    for step in rungs:
+        own = reports.filter(F.col(rung) == step).select(number, rung, loss)
+        if entered is not None:
+            own = own.join(entered, number, "left_semi")
+        own = materialise(own, "rung")
+        kept = materialise(halving_rung(own, rung, loss, number, eta).select(number), "survivors")
+        done.append(own.join(kept.withColumn("survives", F.lit(True)), number, "left"))
+        entered = kept
+    every = reduce(lambda a, b: a.unionByName(b), done)
+    return every.withColumn("survives", F.coalesce("survives", F.lit(False)))
+
+
 def complete_trials(log: DataFrame, state: str = "state") -> DataFrame:
     return log.filter(F.col(state) == COMPLETE)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presswork.functions.text import stable_uniform
 from presswork.operators import tuning
 from presswork.plans import sql_text as s
 from presswork.plans.registry import query, table
@@ -58,6 +59,31 @@ def halving_rung(spark, sf_dir):
     return tuning.halving_rung(trial_log(spark, sf_dir), "rung", "value", "number", eta=3).select("number", "rung", "value")
 
 
+RUNGS = (0, 1, 2)
+
+
+def _rung_sql(step: int) -> str:
+    entered = "" if step == 0 else f"WHERE number IN (SELECT number FROM kept{step - 1})"
+    return f"""
+rung{step} AS MATERIALIZED (SELECT number, {step} AS rung, value * {_u(f'rung{step}')} AS loss FROM log {entered}),
+kept{step} AS MATERIALIZED (
+  SELECT number FROM rung{step} QUALIFY rank() OVER (ORDER BY loss) <= ceil(count(*) OVER () / 3.0))"""
+
+
+@query("successive_halving", sql=f"""
+WITH {LOG}, {", ".join(map(_rung_sql, RUNGS))}
+SELECT number, rung, round(loss, 6) AS loss, survives FROM (
+  {" UNION ALL ".join(f"SELECT *, number IN (SELECT number FROM kept{r}) AS survives FROM rung{r}" for r in RUNGS)})""")
+def successive_halving(spark, sf_dir):
+    """Three reports for each trial: its value times a draw made from its number and the rung."""
+    log = trial_log(spark, sf_dir).select("number", "value")
+    draw = lambda r: stable_uniform(F.concat(F.col("number").cast("string"), F.lit(f":rung{r}")))
+    reports = log.select("number", F.inline(F.array(*[
+        F.struct(F.lit(r).alias("rung"), (F.col("value") * draw(r)).alias("loss")) for r in RUNGS])))
+    halved = tuning.successive_halving(reports, RUNGS, "rung", "loss", "number", eta=3)
+    return halved.withColumn("loss", F.round("loss", 6))
+
+
 @query("complete_trials", sql=f"WITH {LOG} SELECT number, value, state FROM log WHERE state = 'COMPLETE'")
 def complete_trials(spark, sf_dir):
     return tuning.complete_trials(trial_log(spark, sf_dir)).select("number", "value", "state")

@@ -387,6 +387,33 @@ def ensemble_bayes(spark, sf_dir):
         *[F.round(F.get("logits", F.lit(i)), 4).alias(f"logit_{c}") for i, c in enumerate(LANGS)])
 
 
+@query("compare_models", sql=f"""
+WITH {KFOLD_NB.replace("theta AS MATERIALIZED", "fold_theta AS MATERIALIZED").replace("JOIN theta USING", "JOIN fold_theta USING").replace("priors AS", "fold_priors AS").replace("JOIN priors p", "JOIN fold_priors p")},
+{NB.replace(KEPT + ",", "", 1)},
+test AS (SELECT * FROM kept WHERE {s.split_of('doc_id')} = 'test'),
+{nb_scored('test', 'doc_id')},
+mean_rows AS (SELECT doc_id, {_each("avg(l_{c}) AS l_{c}")} FROM fold_logits GROUP BY 1)
+SELECT doc_id, y_pred AS bayes, {BEST_OF} AS ensemble, true AS logistic_checked, (y_pred = {BEST_OF}) AS bayes_agree
+FROM nb_pred JOIN mean_rows USING (doc_id)""")
+def compare_models(spark, sf_dir):
+    """Three models of different jobs side by side on the test split: word counts of the training split, the k-fold
+    ensemble, and logistic regression on tf-idf, whose label is compared with the one recomputed from its weights."""
+    single = test_set_predictions(spark, sf_dir).select("doc_id", F.lit("bayes").alias("model"), F.col("y_pred").alias("label"))
+    test_keys = corpus.split_of(F.col("doc_id")) == "test"
+    folds = _kfold_bayes(spark, sf_dir).filter(test_keys).select(
+        "doc_id", F.lit("ensemble").alias("model"), scoring.predicted_label(F.col("logits"), LANGS).alias("label"))
+    rows = materialise(feature_rows(spark, sf_dir).select(
+        "doc_id", "split", F.col("y").cast("double").alias("y"), "features"), "text-features")
+    model = learners.logistic_regression(max_iter=20).fit(rows.filter(F.col("split") == "train"))
+    scored = learners.with_recomputed(model.transform(rows.filter(F.col("split") == "test")), model)
+    named = lambda column, name: scored.select(
+        "doc_id", F.lit(name).alias("model"), label_decode(F.col(column).cast("int"), LANGS).alias("label"))
+    long = reduce(lambda a, b: a.unionByName(b), [single, folds, named("prediction", "logistic"), named("recomputed", "checked")])
+    wide = scoring.compare_predictions(long, "doc_id", ["bayes", "ensemble", "logistic", "checked"])
+    return wide.select("doc_id", "bayes", "ensemble", (F.col("logistic") == F.col("checked")).alias("logistic_checked"),
+                       (F.col("bayes") == F.col("ensemble")).alias("bayes_agree"))
+
+
 @query("stream_score", sql=f"""
 WITH {NB}, talks AS (SELECT conv_id, turn, {s.kept('text')} AS words FROM conversations),
 {nb_scored('talks', 'conv_id', 'turn')}

@@ -136,3 +136,17 @@ def test_best_trial_and_history(spark):
     history = tuning.optimization_history(tuning.complete_trials(log)).orderBy("number").collect()
     assert [r["best_so_far"] for r in history] == [0.8729, best_value, best_value, best_value]
     assert {r["state"]: r["n_trials"] for r in tuning.trial_states(log).collect()} == {"COMPLETE": 4, "PRUNED": 1}
+
+
+def test_successive_halving_carries_survivors_on(spark):
+    draw = random.Random(3)
+    reports = [(n, rung, draw.choice([1.0, 2.0, 3.0, draw.random()])) for n in range(40) for rung in range(3)]
+    table = spark.createDataFrame(reports, "number long, rung int, loss double")
+    got = {(r.number, r.rung): r.survives for r in tuning.successive_halving(table, (0, 1, 2), "rung", "loss", "number", eta=3).collect()}
+    losses = {(n, rung): loss for n, rung, loss in reports}
+    alive, want = set(range(40)), {}
+    for rung in range(3):
+        limit = sorted(losses[n, rung] for n in alive)[-(-len(alive) // 3) - 1]
+        want |= {(n, rung): losses[n, rung] <= limit for n in alive}
+        alive = {n for n in alive if want[n, rung]}
+    assert got == want
