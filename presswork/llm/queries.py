@@ -119,3 +119,26 @@ SELECT page_id, host, path, rule, CASE
     WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM judged
 """
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op6_benchmark_decontamination"] = f"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+items AS (
+  SELECT item_id, words, least({decontaminate.WINDOW}, len(words)) AS size
+  FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+item_windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM items)),
+doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(words[i:i + size - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM docs CROSS JOIN (SELECT DISTINCT size FROM items))),
+hits AS MATERIALIZED (SELECT doc_id, i, size, item_id FROM doc_windows JOIN item_windows USING (size, w)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY 1),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::varchar AS id FROM hits) GROUP BY 1)
+SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
