@@ -387,8 +387,15 @@ def ensemble_bayes(spark, sf_dir):
         *[F.round(F.get("logits", F.lit(i)), 4).alias(f"logit_{c}") for i, c in enumerate(LANGS)])
 
 
+def _renamed(sql: str, *names: str) -> str:
+    """The SQL with its tables ``names`` called ``fold_...``, to stand next to the single model's."""
+    for name in names:
+        sql = sql.replace(f"\n{name} AS", f"\nfold_{name} AS").replace(f"JOIN {name} ", f"JOIN fold_{name} ")
+    return sql
+
+
 @query("compare_models", sql=f"""
-WITH {KFOLD_NB.replace("theta AS MATERIALIZED", "fold_theta AS MATERIALIZED").replace("JOIN theta USING", "JOIN fold_theta USING").replace("priors AS", "fold_priors AS").replace("JOIN priors p", "JOIN fold_priors p")},
+WITH {_renamed(KFOLD_NB, "theta", "priors")},
 {NB.replace(KEPT + ",", "", 1)},
 test AS (SELECT * FROM kept WHERE {s.split_of('doc_id')} = 'test'),
 {nb_scored('test', 'doc_id')},
