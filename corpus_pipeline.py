@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import decontaminate, packing, quality, secret_scan, simhash
+from presswork.llm import decontaminate, packing, quality, secret_scan, similar, simhash
 from presswork.session import materialise
 
 ORACLE_SQL = None  # no stage is expressible in SQL; the stages are tested against brute force
@@ -32,6 +32,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs)
 
 
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 of its five-word shingles stays, and of what is left one of each
+    group of SimHash near-duplicates. Similarity comes first, so no link leads over a document that is gone."""
+    return near_duplicate_stage(spark, similar.keep_one(docs), sf_dir)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -50,7 +56,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_classifier", quality_stage),
-    ("simhash_near_duplicates", near_duplicate_stage),
+    ("simhash_near_duplicates", copies_stage),
     ("benchmark_decontamination", decontamination_stage),
     ("secret_scan", secret_stage),
     ("best_fit_packing", packing_stage),

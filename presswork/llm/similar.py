@@ -1,0 +1,165 @@
+"""Similar documents: exact Jaccard similarity of word shingle sets, with MinHash bands as candidates.
+
+A document's set holds the XXH64 values of its shingles of ``WORDS`` words (of all its words, where it has
+fewer). Two documents are linked if the similarity of their sets is at least ``SIMILARITY``; every link is
+confirmed on the whole sets. Candidates are sets that agree in one of ``BANDS`` bands of ``ROWS`` minima, so a
+pair at 0.8 is missed with a chance of 3 in 100,000, one above it more rarely.
+
+Equal sets are one node. A bucket's members first meet its smallest and largest node; what that links is
+contracted, and then all members of a bucket that are still in different components meet. So no
+candidate goes unconfirmed unless links join the two anyway, and a large group of near copies does not
+meet pairwise.
+
+Null and empty texts have the empty set and are linked with each other. Null keys never name a component
+unless all its keys are null. An empty table gives an empty result. Other columns are not read.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from presswork.llm.common import append_from_text, filter_rows, quoted
+from presswork.llm.simhash import SEED, components
+from presswork.session import materialise
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 20
+ROWS = 4
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(tokens)
+    edges = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    n = max(1, len(tokens) - words + 1)
+    starts, ends = [0, *edges[:n - 1].tolist()], (edges[min(words, len(tokens)) - 1:] - 1).tolist()
+    hashed = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends)]
+    return np.unique(np.array(hashed, np.uint64))
+
+
+class Bands:
+    def __init__(self, bands: int = BANDS, rows: int = ROWS):
+        rng = np.random.default_rng(SEED)
+        self.rows = rows
+        self.factors = rng.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.shifts = rng.integers(0, 2**63, bands * rows, np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> list[int]:
+        if not len(hashes):
+            return []
+        least = np.full(len(self.factors), np.iinfo(np.uint64).max)
+        for a in range(0, len(hashes), 1024):
+            mixed = hashes[a:a + 1024, None] * self.factors + self.shifts
+            mixed ^= mixed >> np.uint64(32)
+            least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(0))
+        parts = least.reshape(-1, self.rows)
+        digests = np.array([xxhash.xxh64_intdigest(p.tobytes(), SEED) for p in parts], np.uint64)
+        return digests.view(np.int64).tolist()
+
+
+def _sketched(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Stored rows (key, mark, set_id, bands). ``mark`` tells texts of one key apart."""
+
+    def make():
+        bands = Bands()
+
+        def work(texts: list[str]) -> list[list]:
+            sets = [shingles(t, words) for t in texts]
+            return [[xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], [bands(s) for s in sets]]
+
+        return work
+
+    rows = docs.select(quoted(key).alias("_key"), quoted(text).alias("_text")).withColumn("_mark", F.xxhash64("_text"))
+    return materialise(append_from_text(rows, "_text", "set_id binary, bands array<long>", make, drop_text=True), "sketches")
+
+
+def _sets(docs: DataFrame, key: str, text: str, words: int, needed: DataFrame) -> DataFrame:
+    """Stored rows (node, hashes) of the sets in ``needed`` (node, set_id, first)."""
+
+    def make():
+        def work(texts: list[str]) -> list[list]:
+            sets = [shingles(t, words) for t in texts]
+            return [[xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], [s.view(np.int64) for s in sets]]
+
+        return work
+
+    rows = docs.select(quoted(key).alias("_key"), quoted(text).alias("_text"))
+    keys = needed.select(F.col("first").alias("_first")).distinct()
+    rows = rows.join(keys, F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    hashed = append_from_text(rows, "_text", "set_id binary, hashes array<long>", make, drop_text=True)
+    return materialise(hashed.join(needed, "set_id").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("hashes").alias("_y")), "b")
+    common = F.size(F.array_intersect("_x", "_y"))
+    return both.where(common / (F.size("_x") + F.size("_y") - common) >= similarity).select("a", "b")
+
+
+def links(docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(node, root) of all linked nodes; ``nodes`` is a stored table (node, set_id, first, bands)."""
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    held = spread.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = materialise(spread.join(held, ["band", "value"]), "buckets")  # members of buckets with company
+    needed = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "set_id", "first")
+    sets = _sets(docs, key, text, words, needed)
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    ends = met.select(F.explode(F.array(pair("low", "node"), pair("node", "high"))).alias("e")).select("e.a", "e.b")
+    first = materialise(confirmed(ends.where("a < b").distinct(), sets, similarity), "links")
+    roots = materialise(components(first), "roots")
+    placed = met.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("band", "value").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h")
+    apart = materialise(placed.join(mixed.select("band", "value"), ["band", "value"], "left_semi"), "apart")
+    left, right = apart.withColumnsRenamed({"node": "a", "root": "ra"}), apart.withColumnsRenamed({"node": "b", "root": "rb"})
+    rest = left.join(right, ["band", "value"]).where("a < b and ra <> rb").select("a", "b").distinct()
+    return components(first.unionByName(confirmed(rest, sets, similarity)))
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
+                      similarity: float = SIMILARITY) -> DataFrame:
+    """Per row: key as ``_key``, ``_mark`` of its text, and ``component_id``, the smallest key that links reach."""
+    marked = _sketched(docs, key, text, words)
+    nodes = materialise(marked.groupBy("set_id").agg(F.min("_key").alias("first"), F.any_value("bands").alias("bands")).withColumn(
+        "node", F.monotonically_increasing_id()), "nodes")
+    roots = links(docs, nodes, key, text, words, similarity)
+    placed = nodes.select("node", "set_id", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialise(placed.select("set_id", "first", "root"), "placed")
+    names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.select("_key", "_mark", "set_id").join(placed.join(names, "root").select("set_id", "root", "component_id"), "set_id").select(
+        "_key", "_mark", "root", "component_id")
+
+
+def drop_copies(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: the smallest key stays, of several texts with
+    that key the one with the smallest mark, of equal rows one. Rows without a key cannot be named and stay.
+
+    ``found`` has ``_key``, ``_mark``, ``root`` and ``component_id``. A key's other texts are judged by their own components.
+    """
+    keyed = found.where("_key is not null").groupBy("root", "_key", "_mark", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    stays = keyed.where("_key = component_id").groupBy("root").agg(F.min("_mark").alias("_least"))
+    judged = materialise(keyed.join(stays, "root", "left"), "judged")
+    gone = judged.where("_key <> component_id or _mark <> _least").select("_key", "_mark")
+    gone, repeated = materialise(gone, "gone"), not judged.where("n > 1").isEmpty()
+
+    def keep(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+        rows = rows.withColumns({"_key": F.col(names[key]), "_mark": F.xxhash64(names[text])})
+        left = rows.join(gone, ["_key", "_mark"], "left_anti")
+        if not repeated:
+            return left
+        return left.where("_key is not null").dropDuplicates(["_key", "_mark"]).unionByName(left.where("_key is null"))
+
+    return filter_rows(docs, keep)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """One document of each component of similar ones."""
+    return drop_copies(docs, similar_documents(docs, key, text, **settings), key, text)

@@ -1,0 +1,52 @@
+"""Similar documents against brute force over all pairs."""
+
+import corpus_pipeline
+from presswork.llm import similar
+
+
+def jaccard_roots(docs, words=5, least=0.8):
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets, root = {k: grams(t) for k, t in docs.items()}, {k: k for k in docs}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    order = sorted(docs)
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            union = len(sets[a] | sets[b])
+            if not union or len(sets[a] & sets[b]) / union >= least:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in docs}
+
+
+def test_copies_stage_drops_every_edited_copy(spark):
+    folder = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = {r.doc_id: r.text for r in source.collect()}
+    roots = jaccard_roots(docs)
+    assert {r._key: r.component_id for r in similar.similar_documents(source).collect()} == roots
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_duplicates"]
+    kept = {r.doc_id for r in stage(spark, source, folder).collect()}
+    groups = {}
+    for k in docs:
+        groups.setdefault(roots[k], set()).add(k)
+    assert all(len(kept & g) <= 1 for g in groups.values()) and any(len(g) > 1 for g in groups.values())
+
+
+def test_similar_group_of_many_edits_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = {n: " ".join([*base[:n], f"edit{n}", *base[n + 1:]]) for n in range(60)}
+    texts |= {100 + n: " ".join(f"v{n}x{i}" for i in range(40)) for n in range(20)}
+    got = {r._key: r.component_id for r in similar.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == jaccard_roots(texts)
+    long = " ".join(base)
+    rows = [(1, long), (2, long + " end"), (2, "another text of its own with words"), (2, "another text of its own with words"), (None, long)]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, long), rows[2], (None, long)], key=str)
