@@ -1,10 +1,11 @@
 """Secret scans: fixed forms of credentials, and runs that a text vocabulary encodes badly.
 
 The base forms are assignments, access keys and long hexadecimal runs. The method adds kind ``token``:
-a run of at least ``MIN_RUN`` key characters with letters and digits whose characters per token under
-a tiktoken vocabulary fall below ``MAX_RATIO``, which marks random strings. Left out are digests and
-identifiers that are known as such (a UUID, or a run that follows a digest's name or a data URI), and
-runs that touch a base find.
+a run of key characters that has a window of whole tokens, at least ``MIN_RUN`` characters long, whose
+characters per token under a tiktoken vocabulary fall below ``MAX_RATIO``, which marks random strings.
+Plain words beside a random part thus do not hide it; the span goes on from its windows to the next "/" or
+"=" or the run's end. Left out are digests and identifiers that are known as such (a UUID, or what follows
+a digest's name or a data URI), windows without letters and digits, and characters of a base find.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Repeated rows give equal
 answers; other columns pass through or are not read.
@@ -31,10 +32,10 @@ _ASSIGN = re.compile(
 # Whole runs either way: a shorter quantifier would only find what is dropped for its length.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_KNOWN_BEFORE = re.compile(
-    r"(md5|sha-?[0-9]+|sha[0-9]*sum|crc32|digest|checksum|commit|etag|integrity|base64|uuid|guid|doi|isbn)[\"'=:,\s(-]*$",
-    re.ASCII | re.IGNORECASE)
+_UUID = re.compile(r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
+_KNOWN = r"(md5|sha-?[0-9]+|sha[0-9]*sum|crc32|digest|checksum|commit|etag|integrity|base64|uuid|guid|doi|isbn)"
+_KNOWN_BEFORE = re.compile(_KNOWN + r"[\"'=:,\s(/-]*$", re.ASCII | re.IGNORECASE)
+_KNOWN_AT = re.compile(r"[/=_-]*" + _KNOWN + "[/=_-]", re.ASCII | re.IGNORECASE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,15 +55,37 @@ class Scanner:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_run)
-        self.max_ratio = max_ratio
-
-    def is_random(self, text: str, start: int, end: int) -> bool:
-        run = text[start:end]
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            return False
-        if _UUID.fullmatch(run) or _KNOWN_BEFORE.search(text[max(0, start - 32):start]):
-            return False
-        return len(run) / len(self.encoding.encode_ordinary(run)) < self.max_ratio
+        self.min_run, self.max_ratio = min_run, max_ratio
+
+    def random_parts(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Spans of the random parts of a run."""
+        if _KNOWN_BEFORE.search(text[max(0, start - 32):start]) or _KNOWN_AT.match(text, start, end):
+            return []
+        parts: list[tuple[int, int]] = []
+        ends = [start]  # of the run's tokens
+        for token in self.encoding.encode_ordinary(text[start:end]):
+            ends.append(ends[-1] + len(self.encoding.decode_single_token_bytes(token)))
+        last = 0
+        for first in range(len(ends) - 1):
+            while last < len(ends) and ends[last] - ends[first] < self.min_run:
+                last += 1
+            if last == len(ends):
+                break
+            a, b = ends[first], ends[last]
+            if parts and b <= parts[-1][1] or b - a >= self.max_ratio * (last - first) or not any(map(str.isalnum, text[a:b])):
+                continue
+            a = max(a, parts[-1][1] if parts else start)  # so each character is passed once
+            while a > (parts[-1][1] if parts else start) and text[a - 1] not in "/=":
+                a -= 1
+            while b < end and text[b] not in "/=":
+                b += 1
+            while b < end and text[b] == "=":
+                b += 1
+            if parts and a <= parts[-1][1]:
+                parts[-1] = (parts[-1][0], max(b, parts[-1][1]))
+            else:
+                parts.append((a, b))
+        return [(a, b) for a, b in parts if not _KNOWN_BEFORE.search(text[max(0, a - 32):a])]
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The base spans, and all spans."""
@@ -77,8 +100,15 @@ class Scanner:
         for m in self.run.finditer(text):
             while i < len(reach) and reach[i][1] <= m.start():
                 i += 1
-            if (i == len(reach) or reach[i][0] >= m.end()) and self.is_random(text, m.start(), m.end()):
-                found.append((m.start(), 3, m.end()))
+            known, k = [u.span() for u in _UUID.finditer(text, m.start(), m.end())], i
+            while k < len(reach) and reach[k][0] < m.end():
+                known.append(reach[k])
+                k += 1
+            at = m.start()
+            for b, e in [*sorted(known), (m.end(), m.end())]:
+                if b - at >= self.min_run:
+                    found += [(x, 3, y) for x, y in self.random_parts(text, at, b)]
+                at = max(at, e)
         return base, sorted(found)
 
 
