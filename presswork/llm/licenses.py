@@ -6,13 +6,17 @@ text where that is shorter. Two bounds prune the work without changing the resul
 and b the coefficient is at most 2 min(a, b) / (a + b), and a window cannot score more than the
 number of its places whose bigram occurs in the template.
 
-Null and empty texts find nothing; repeated rows give the same answer each; equal scores keep the
-earliest window. Other columns are not read.
+Every window that reaches the threshold counts. Of overlapping windows the one with most bigrams in common stays,
+then the better score, then the earlier one, so look-alikes (CC BY in CC BY-NC, GPL 2 and 3) are told apart and
+a full header goes before the notice inside it. A name may have several wordings, written ``name#2``.
+
+Null and empty texts find nothing; repeated rows give the same answer each. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from dataclasses import dataclass
 
@@ -58,6 +62,31 @@ TEMPLATES = {
                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
                  "binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+_GPL = TEMPLATES["gpl-3.0"]
+_LESSER = _GPL.replace("General Public", "Lesser General Public").replace("This program", "This library")
+TEMPLATES |= {
+    "gpl-2.0": _GPL.replace("version 3", "version 2"),
+    "lgpl-2.1": _LESSER.replace("version 3", "version 2.1"),
+    "lgpl-3.0": _LESSER,
+    "agpl-3.0": _GPL.replace("General Public", "Affero General Public"),
+    "mit-notice#2": "Licensed under the MIT License.",
+    "apache-2.0-notice#2": "Licensed under the Apache License 2.0.",
+    "apache-2.0-notice#3": "Released under the Apache License 2.0.",
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License 2.0.",
+    "isc-notice": "Licensed under the ISC License.",
+    "bsd-notice": "Licensed under the BSD 3-Clause License.",
+    "bsd-notice#2": "Licensed under the BSD License.",
+    "cc0-1.0": "Licensed under CC0 1.0.",
+}
+for _name, _words in {"gpl-2.0": "General Public License, version 2", "lgpl-2.1": "Lesser General Public License, version 2.1",
+                      "lgpl-3.0": "Lesser General Public License, version 3", "agpl-3.0": "Affero General Public License, version 3"}.items():
+    TEMPLATES[f"{_name}-notice"] = f"This work is licensed under the GNU {_words}."
+for _kind, _words in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial",
+                      "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+                      "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _version, _scope in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES.setdefault(f"cc-{_kind}-{_version}", f"This work is licensed under a Creative Commons {_words} {_version} {_scope} License.")
+        TEMPLATES.setdefault(f"cc-{_kind}-{_version}-notice", f"Licensed under CC {_kind.upper()} {_version}.")
 THRESHOLD = 0.8
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -93,7 +122,7 @@ class Scanner:
             self.bags.append((name, sum(bag.values()), bag))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, score, start, end) of the best window of each template that reaches the threshold."""
+        """(template, score, start, end) of the windows at or above the threshold that overlap no better one, in template order."""
         low = text.translate(_LOWER)
         words = [self.ids.get("license" if w == "licence" else w, 0) for w in _WORD.findall(low)]
         size = len(words) - 1
@@ -105,7 +134,7 @@ class Scanner:
         places = np.flatnonzero(masks)
         if not len(places):
             return []
-        spans, found = None, []
+        able = []
         for k, (name, m, bag) in enumerate(self.bags):
             a = min(m, size)
             if 2 * a < self.threshold * (a + m):  # size bound
@@ -114,20 +143,28 @@ class Scanner:
             own = places[(masks[places] >> np.uint64(k)) & np.uint64(1) == 1]
             if len(own) < need:
                 continue
-            best = self._best(codes, own, a, need, bag)
-            if best is not None:
-                spans = spans or [x.span() for x in _WORD.finditer(low)]
-                found.append((name, 2 * best[0] / (a + m), spans[best[1]][0], spans[best[1] + a][1]))
-        return found
+            able += [(-common, -2 * common / (a + m), at, k, a) for common, at in self._windows(codes, own, a, need, bag)]
+        if not able:
+            return []
+        taken: list[tuple[int, int]] = []  # first and last word of the windows that stay, in order
+        stay = []
+        for common, score, at, k, a in sorted(able):
+            i = bisect(taken, (at, at + a))
+            if (i and taken[i - 1][1] >= at) or (i < len(taken) and taken[i][0] <= at + a):
+                continue
+            taken.insert(i, (at, at + a))
+            stay.append((k, at, -score, at + a))
+        spans = [x.span() for x in _WORD.finditer(low)]
+        return [(self.bags[k][0].partition("#")[0], score, spans[at][0], spans[last][1]) for k, at, score, last in sorted(stay)]
 
     @staticmethod
-    def _best(codes: np.ndarray, own: np.ndarray, a: int, need: float, bag: Counter) -> tuple[int, int] | None:
-        """Largest bag intersection over the windows of ``a`` bigrams, and its first place."""
+    def _windows(codes: np.ndarray, own: np.ndarray, a: int, need: float, bag: Counter) -> list[tuple[int, int]]:
+        """(bag intersection, place) of the windows of ``a`` bigrams that have at least ``need`` in common."""
         hits = np.zeros(len(codes) + 1, np.int64)
         hits[own + 1] = 1
         hits = hits.cumsum()
         able = np.flatnonzero(hits[a:] - hits[:-a] >= need)
-        best, at, last = 0, -1, -2
+        found, last = [], -2
         counts: Counter = Counter()
         common = 0
         for i in able.tolist():
@@ -141,14 +178,14 @@ class Scanner:
                 counts[new] += 1
                 common += counts[new] <= bag[new]
             last = i
-            if common > best:
-                best, at = common, i
-        return (best, at) if best >= need else None
+            if common >= need:
+                found.append((common, i))
+        return found
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: ``licenses`` (names in template order), ``best_license``, ``best_score``
+    """One row per document: ``licenses`` (distinct names in template order), ``best_license``, ``best_score``
     (null without a find) and ``spans``: name, score and code point offsets of each find."""
     templates = TEMPLATES if templates is None else templates
 
@@ -160,7 +197,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
             for t in texts:
                 found = scanner.scan(t)
                 top = max(found, key=lambda f: f[1], default=None)
-                out[0].append([f[0] for f in found])
+                out[0].append(list(dict.fromkeys(f[0] for f in found)))
                 out[1].append(top and top[0])
                 out[2].append(top and top[1])
                 out[3].append([{"license": n, "score": s, "start": b, "end": e} for n, s, b, e in found])
