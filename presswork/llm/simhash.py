@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import append_from_text, ship_code
+from presswork.llm.common import append_from_text, filter_rows, ship_code
 from presswork.session import materialise
 
 WORDS = 4
@@ -260,13 +260,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` less all but one document of each component: the smallest key stays.
 
-    Of several rows with that key one stays. Rows without a key cannot be named and stay.
+    Of several rows with that key in the component one stays; a key's other texts are judged by their own
+    components. Rows without a key cannot be named and stay.
     """
     found = near_duplicates(docs, key, text, **settings)
-    dropped = materialise(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
+    known = found.where(F.col(key).isNotNull())
+    mixed = materialise(known.groupBy(key).agg(F.min("fp").alias("l"), F.max("fp").alias("h")).where("l < h").select(key), "mixed")
+    dropped = materialise(found.where(F.col(key) != F.col("component_id")).select(key).unionByName(mixed).distinct(), "dropped")
     left = docs.join(dropped, key, "left_anti").select(docs.columns)
-    repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-    if repeated.isEmpty():
+    if not known.groupBy(key).count().where("count > 1").isEmpty():
+        left = left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
+    if mixed.isEmpty():
         return left
-    known = left.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return known.unionByName(left.where(F.col(key).isNull()))
+    # keys with unlike texts: a row stays by its own fingerprint
+    stays = materialise(known.where(F.col(key) == F.col("component_id")).join(mixed, key, "left_semi").groupBy(
+        F.col(key).alias("_key")).agg(F.min("fp").alias("_fp")), "stays")
+
+    def keep(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+        marked = with_fingerprints(rows, names[text], settings.get("words", WORDS))
+        chosen = (F.col(names[key]) == F.col("_key")) & (F.col("fp") == F.col("_fp"))
+        return marked.join(stays, chosen, "left_semi").dropDuplicates([names[key]])
+
+    return left.unionByName(filter_rows(docs.join(mixed, key, "left_semi").select(docs.columns), keep))
