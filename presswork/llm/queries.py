@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm import (
-    decontaminate, fingerprint, licenses, packing, pii, quality, secret_scan, sharding, simhash, urls,
+    alignment, decontaminate, embedding, fingerprint, licenses, packing, pii, quality, ranked_search, secret_scan, sharding, simhash, urls,
 )
 from presswork.session import materialise
 
@@ -95,6 +95,21 @@ def op10_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+@query
+def op11_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 _LISTED = ", ".join(f"'{h}'" for h in urls.BLOCKED_HOSTS)
 ORACLES["op9_url_filter"] = f"""
 WITH parts AS (
@@ -142,3 +157,34 @@ SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+# exact: at this scale the operator's index misses no pair, which its tests hold on planted ones
+ORACLES["op11_embedding_near_duplicates"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {embedding.THRESHOLD}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0)::bigint AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)
+JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1) USING (vec_id)
+"""
+
+ORACLES["op12_ranked_search"] = f"""
+WITH words AS (SELECT doc_id, unnest(coalesce({_WORDS}, [])) AS w FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, w, count(*)::bigint AS tf FROM words GROUP BY 1, 2),
+lengths AS (SELECT doc_id, sum(tf)::bigint AS n FROM tf GROUP BY 1),
+corpus AS (SELECT count(*)::bigint AS n_docs, sum(n)::bigint AS n_terms FROM lengths),
+asked AS (SELECT item_id, w, count(*)::bigint AS times FROM (SELECT item_id, unnest(coalesce({_WORDS}, [])) AS w FROM benchmark) GROUP BY 1, 2),
+weights AS (
+  SELECT w, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::bigint AS weight
+  FROM (SELECT w, count(*)::bigint AS df FROM tf GROUP BY 1), corpus),
+scored AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint AS score
+  FROM asked JOIN weights USING (w) JOIN tf USING (w) JOIN lengths USING (doc_id), corpus GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {ranked_search.TOP}
+"""
