@@ -13,14 +13,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import decontaminate, packing, quality, secret_scan, similar, simhash
-from presswork.session import materialise
+from presswork.llm import decontaminate, packing, quality, secret_scan, simhash
+from presswork.session import discard, materialise
 
 ORACLE_SQL = None  # no stage is expressible in SQL; the stages are tested against brute force
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from all labelled documents it is given."""
+    """Documents that the classifier rejects go. It learns from all labelled documents it is given; where these are not of
+    both classes it can judge nothing and all documents stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     # the statistics are made twice rather than joined back, so that texts are not shuffled
     model = quality.fit(quality.labelled(quality.with_statistics(docs.select("doc_id", "text"), drop_text=True), labels))
@@ -28,14 +29,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return simhash.keep_one(docs)
-
-
-def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles stays, and of what is left one of each
-    group of SimHash near-duplicates. Similarity comes first, so no link leads over a document that is gone."""
-    return near_duplicate_stage(spark, similar.keep_one(docs), sf_dir)
+    """One document of each group of near-duplicates stays, the one with the smallest id: shingles of four words,
+    fingerprints that differ in four bits at most."""
+    return simhash.keep_one(docs, words=simhash.WORDS, radius=simhash.RADIUS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +46,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents are encoded and packed into sequences."""
-    return packing.pack_documents(docs)
+    """All documents are encoded and packed into sequences: one row per piece, with its place and its ids."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
     ("quality_classifier", quality_stage),
-    ("simhash_near_duplicates", copies_stage),
+    ("simhash_near_duplicates", near_duplicate_stage),
     ("benchmark_decontamination", decontamination_stage),
     ("secret_scan", secret_stage),
     ("best_fit_packing", packing_stage),
@@ -66,5 +62,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        docs = materialise(stage(spark, before, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
