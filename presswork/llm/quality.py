@@ -207,5 +207,8 @@ def score_statistics(rows: DataFrame, model: QuadraticModel, name: str = "score"
 
 
 def accepted(docs: DataFrame, model: QuadraticModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The documents whose score reaches ``threshold``, with their own columns."""
+    """The documents whose score reaches ``threshold``, with their own columns; all of them where the model has seen one class
+    or none."""
+    if model.constant is not None:
+        return docs
     return filter_rows(docs, lambda rows, names: add_scores(rows, model, names[text]).where(F.col("score") >= threshold))

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.common import append_from_text, filter_rows, ship_code
-from presswork.session import materialise
+from presswork.operators.scale import fits_broadcast
+from presswork.session import discard, materialise
 
 WORDS = 4
 RADIUS = 4
@@ -43,6 +44,7 @@ SAMPLE = 20_000  # fingerprints that shape the upper levels of the trees
 MEMBERS = 4096  # aimed at in a shard
 CHUNK = 8192
 LEAF = 96
+DROPPED_ROWS = 2_000_000  # keys that may be sent to every task
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -216,7 +218,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, membe
         found = search(fps[~is_query], fps[is_query], masks[int(frame["block"].iloc[0])], radius, block_radius)
         return pd.DataFrame(found.view(np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return grouped.groupBy("block", "shard", "mc", "qc").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+    found = materialise(grouped.groupBy("block", "shard", "mc", "qc").applyInPandas(compare, "a long, b long").where("a <> b").distinct(), "links")
+    discard(dealt)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,7 +240,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "u").select(
             F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")
         ).select("e.*").where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        superseded, edges = edges, materialise(small, "edges")
+        discard(superseded)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
@@ -249,9 +254,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """Per row: key, ``fp`` and ``component_id``, the smallest key that links reach."""
     marked = materialise(with_fingerprints(docs.select(key, text), text, words, drop_text=True), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
-    roots = components(links(distinct, radius, **search_settings))
+    linked = links(distinct, radius, **search_settings)
+    roots = components(linked)
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = materialise(placed, "placed")
+    discard(distinct, linked)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = placed.join(names, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select(key, "fp", "component_id")
@@ -261,13 +268,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     """The rows of ``docs`` less all but one document of each component: the smallest key stays.
 
     Of several rows with that key in the component one stays; a key's other texts are judged by their own
-    components. Rows without a key cannot be named and stay.
+    components. Rows without a key cannot be named and stay. Texts are not shuffled while the dropped keys fit
+    ``DROPPED_ROWS``.
     """
     found = near_duplicates(docs, key, text, **settings)
     known = found.where(F.col(key).isNotNull())
     mixed = materialise(known.groupBy(key).agg(F.min("fp").alias("l"), F.max("fp").alias("h")).where("l < h").select(key), "mixed")
     dropped = materialise(found.where(F.col(key) != F.col("component_id")).select(key).unionByName(mixed).distinct(), "dropped")
-    left = docs.join(dropped, key, "left_anti").select(docs.columns)
+    # a list of measured size goes to where the documents are; beyond it rows are dealt by key
+    listed = F.broadcast(dropped) if fits_broadcast(dropped, DROPPED_ROWS) else dropped
+    left = docs.join(listed, key, "left_anti").select(docs.columns)
     if not known.groupBy(key).count().where("count > 1").isEmpty():
         left = left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
     if mixed.isEmpty():
