@@ -5,17 +5,22 @@ digits separate words, all others belong to words. A pattern is a window of cons
 (or a whole shorter item) between single blanks; a document, joined the same way, is scanned once and
 every match ends at a known word, whose place in the original text is known too.
 
-The automaton is broadcast as its items, whose bytes are measured first. Items beyond ``BLOCK_BYTES``
-go to further automata, one stored scan each, so a task never holds more than one.
-
-Null and empty texts have no words and no hits; items without words take no part; repeated item ids
-count once. With an empty benchmark nothing is hit. Repeated documents are judged alike; other columns
-pass through or are not read.
+The items are broadcast in blocks of at most ``BLOCK_BYTES``, which are brought over one after another; a
+longer item is a block of its own. A worker builds a block's automaton once and keeps the last one. An
+automaton takes about 450 bytes for a byte of its items (measured), so a worker needs some 230 MB for it. Further
+blocks are further scans, each stored before the next begins.
+
+Null and empty texts have no words and no hits, very long ones are scanned whole; items without words
+take no part; repeated item ids count once. Words of an item without an id are hit as well, but it
+cannot be listed. With an empty benchmark nothing is hit, and an empty table gives an empty result. Repeated
+documents are judged alike; other columns pass through or are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +30,7 @@ from presswork.llm.common import append_from_text, filter_rows, quoted
 from presswork.session import materialise
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 512 << 10
 
 _SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -34,7 +39,7 @@ def normal_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower().translate(_SEPARATORS)
 
 
-def automaton(items: list[tuple[str, str]], window: int = WINDOW):
+def automaton(items: list[tuple[str | None, str]], window: int = WINDOW):
     """Automaton over (item id, text); a match gives (item numbers, words in the window)."""
     import ahocorasick
 
@@ -75,18 +80,30 @@ def hits(machine, data: bytes) -> tuple[list[tuple[int, int]], set[int]]:
     return [(a, b) for a, b in merged], numbers
 
 
-def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """Items as (id, text) in blocks of bounded bytes, brought over one at a time. A longer item is a block of its own."""
-    out: list[list[tuple[str, str]]] = []
-    size = block_bytes
-    rows = benchmark.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string"), text)
-    for item, body in rows.toLocalIterator():
-        if size + len(body) > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((item, body))
-        size += len(body)
-    return out
+def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
+           block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
+    """Items as (id, text) in blocks of bounded bytes, brought over one at a time; at least one block."""
+    block: list[tuple[str | None, str]] = []
+    size = 0
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("string"), text, F.octet_length(text).alias("size"))
+    for item, body, length in rows.toLocalIterator():
+        if block and size + length > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((item, body))
+        size += length
+    yield block
+
+
+_built: dict[str, object] = {}
+
+
+def built_automaton(name: str, items: list[tuple[str | None, str]], window: int):
+    """The automaton of the block of that name: built once in a worker, in place of the one before."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = automaton(items, window)
+    return _built[name]
 
 
 _COLUMNS = "n_words long, hit_ranges array<struct<first: int, past: int>>, items array<string>"
@@ -95,14 +112,22 @@ _COLUMNS = "n_words long, hit_ranges array<struct<first: int, past: int>>, items
 def add_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
              window: int = WINDOW, block_bytes: int = BLOCK_BYTES, drop_text: bool = False) -> DataFrame:
     """Add ``n_words``, ``hit_ranges`` (merged ranges of hit words) and ``items`` (ids, sorted as strings)."""
-    found = blocks(benchmark, item_key, item_text, block_bytes)
     spark = docs.sparkSession
-    docs = docs.select([quoted(c) for c in docs.columns if c == text or c not in ("n_words", "hit_ranges", "items")])
-    for number, block in enumerate(found or [[]]):
+    columns = [c for c in docs.columns if c == text or c not in ("n_words", "hit_ranges", "items")]
+    docs = docs.select([quoted(c) for c in columns])
+    share = None
+    listed = blocks(benchmark, item_key, item_text, block_bytes)
+    block, following = next(listed), next(listed, None)
+    while block is not None:
+        if share:  # a further block: what the ones before have found is stored first
+            found = materialise(docs, "hits")
+            share.unpersist()
+            docs = found.withColumnsRenamed({"hit_ranges": "_ranges", "items": "_items"})
+        name, again = uuid.uuid4().hex, share is not None
         share = spark.sparkContext.broadcast(block)
 
-        def make(share=share):
-            machine = automaton(share.value, window)
+        def make(share=share, name=name):
+            machine = built_automaton(name, share.value, window)
             names = [item for item, _ in share.value]
 
             def work(texts: list[str]) -> list[list]:
@@ -113,22 +138,16 @@ def add_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key
                     ranges, numbers = hits(machine, data) if machine and n else ([], set())
                     out[0].append(n)
                     out[1].append([{"first": a, "past": b} for a, b in ranges])
-                    out[2].append(sorted({names[i] for i in numbers}))
+                    out[2].append(sorted({names[i] for i in numbers if names[i] is not None}))
                 return out
 
             return work
 
-        last = number == len(found or [[]]) - 1
-        before = docs.columns
-        if number:
-            docs = docs.withColumnsRenamed({"hit_ranges": "_ranges", "items": "_items"})
-        docs = append_from_text(docs, text, _COLUMNS, make, drop_text and last)
-        if number:
+        docs = append_from_text(docs, text, _COLUMNS, make, drop_text and following is None)
+        block, following = following, next(listed, None)
+        if again:
             docs = docs.withColumn("hit_ranges", _merge_ranges(F.concat("_ranges", "hit_ranges"))).withColumn(
-                "items", F.array_sort(F.array_union("_items", "items")))
-            docs = docs.select([quoted(c) for c in before if c in docs.columns])
-        if not last:
-            docs = materialise(docs, "hits")
+                "items", F.array_sort(F.array_union("_items", "items"))).drop("_ranges", "_items")
     return docs
 
 

@@ -87,7 +87,9 @@ def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"))
+    # a deployment's own list, a table whose first column holds hosts or hosts with paths; else the short default
+    path = spark.conf.get("spark.presswork.blocklist", None)
+    return urls.judge_urls(table(spark, sf_dir, "pages"), entries=spark.read.parquet(path) if path else None)
 
 
 @query

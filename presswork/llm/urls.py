@@ -1,29 +1,35 @@
 """URL filters: rules on host and path, then a blocklist held as a sorted array of digests.
 
-The blocklist's entries (hosts, or hosts with paths) are hashed to 64 bits with xxhash and sorted; a task
-maps the array of digests into memory from a file of its own, probes it with a vectorised binary
-search, and confirms a hit against the stored full string, so a collision never blocks. A URL is probed
-by its host, every parent domain of it, and host and path together.
+The blocklist's entries (hosts, or hosts with paths) are hashed to 64 bits with xxhash and sorted by
+Spark. The sorted digests, the places of the strings and the strings themselves make one file, which goes
+to every executor once; all workers of an executor map that file, probe the digests with a vectorised
+binary search, and confirm a hit against the stored full string, so a collision never blocks. A URL is
+probed by its host, every parent domain of it, and host and path together.
 
-The list is broadcast in blocks of at most ``BLOCK_BYTES``, which are measured as they are brought over. Each
-block is one pass, stored before the next, over narrow rows (key, host, path), so a task holds one
-block at a time; a list of ordinary size is one block and one pass without shuffle.
+A file has about ``BLOCK_BYTES`` at most, as the size of the list is measured and its digests cut into ranges that
+hold equal shares. Each block is one pass, stored before the next, over narrow rows (key, host, path); a list of
+ordinary size is one block and one pass without shuffle. The list of the caller is used; ``BLOCKED_HOSTS`` is a short
+default.
 
 A null URL or one without "://" has an empty host and path; it fits no rule and no entry and is
-allowed. Repeated rows are judged alike; an empty list blocks nothing. Other columns are not read.
+allowed. Very long URLs are judged whole. Repeated rows are judged alike, and repeated and null entries count for
+nothing; an empty list blocks nothing, an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
-
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm.common import ship_code
@@ -35,6 +41,7 @@ RULES = (
 BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
 BLOCK_BYTES = 64 << 20
+SEED = 42  # of Spark's xxhash64
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,30 +71,39 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return made
 
 
+def digest_of(entry: bytes) -> int:
+    """The hash that Spark gives the same string."""
+    return xxhash.xxh64_intdigest(entry, SEED)
+
+
+def file_of(entries: pa.Table) -> bytes:
+    """Digests, ends of the strings and the strings, from rows (digest, entry) sorted by digest."""
+    table = entries.combine_chunks()
+    strings = table["entry"].cast(pa.large_binary()).combine_chunks()
+    digests = table["digest"].to_numpy().astype(np.int64)
+    ends = pc.binary_length(strings).to_numpy().astype(np.int64).cumsum() if len(digests) else np.zeros(0, np.int64)
+    return digests.tobytes() + ends.tobytes() + b"".join(strings.to_pylist()) + b"\0"
+
+
 class DigestArray:
-    """Entries sorted by their 64-bit digest; digests, offsets and strings are mapped from a file without a name."""
-
-    def __init__(self, entries: list[str]):
-        data = sorted({(xxhash.xxh64_intdigest(b), b) for b in (e.encode() for e in entries)})
-        ends = np.cumsum([len(b) for _, b in data], dtype=np.uint64) if data else np.zeros(0, np.uint64)
-        self.size = len(data)
-        with tempfile.TemporaryFile() as f:
-            f.write(np.array([d for d, _ in data], np.uint64).tobytes() + ends.tobytes() + b"".join(b for _, b in data) + b"\0")
-            f.flush()
-            self.digests = np.memmap(f, np.uint64, "r", 0, (self.size,)) if data else np.zeros(0, np.uint64)
-            self.ends = np.memmap(f, np.uint64, "r", 8 * self.size, (self.size,)) if data else ends
-            self.strings = np.memmap(f, np.uint8, "r", 16 * self.size) if data else np.zeros(0, np.uint8)
+    """A mapped file of ``size`` entries."""
+
+    def __init__(self, path: str, size: int):
+        self.size = size
+        self.digests = np.memmap(path, np.int64, "r", 0, (size,)) if size else np.zeros(0, np.int64)
+        self.ends = np.memmap(path, np.int64, "r", 8 * size, (size,)) if size else np.zeros(0, np.int64)
+        self.strings = np.memmap(path, np.uint8, "r", 16 * size)
 
     def string(self, i: int) -> bytes:
         return self.strings[int(self.ends[i - 1]) if i else 0:int(self.ends[i])].tobytes()
 
     def contains(self, probes: list[str]) -> np.ndarray:
         raw = [p.encode() for p in probes]
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
-        at = np.searchsorted(self.digests, digests)
         found = np.zeros(len(raw), bool)
         if not self.size:
             return found
+        digests = np.fromiter(map(digest_of, raw), np.uint64, len(raw)).view(np.int64)
+        at = np.searchsorted(self.digests, digests)
         near = np.flatnonzero(self.digests[np.minimum(at, self.size - 1)] == digests)
         for i in near.tolist():
             j = int(at[i])
@@ -103,28 +119,58 @@ def probes_of(host: str, path: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels))] + [host + path]
 
 
-def list_blocks(entries: DataFrame | tuple[str, ...], block_bytes: int = BLOCK_BYTES) -> Iterator[list[str]]:
-    """The entries of a one-column table, or of a tuple, brought over in blocks of bounded bytes."""
-    block: list[str] = []
-    size = 0
-    if isinstance(entries, DataFrame):
-        column = entries.columns[0]
-        entries = (r[0] for r in entries.where(F.col(column).isNotNull()).toLocalIterator())
-    for entry in entries:
-        if block and size + len(entry) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append(entry)
-        size += len(entry)
-    yield block
+def list_blocks(entries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[bytes, int]]:
+    """(file, entries in it) of the one-column table's distinct entries, a range of digests at a time."""
+    entry = F.col(entries.columns[0])
+    listed = entries.where(entry.isNotNull()).select(entry.alias("entry")).distinct().withColumn("digest", F.xxhash64("entry"))
+    size = listed.agg(F.sum(F.octet_length("entry") + 16)).first()[0]
+    if not size:
+        return
+    stored = materialise(listed, "listed-entries")
+    blocks = -(-int(size) // block_bytes)
+    # digests are spread evenly, so ranges of equal width hold equal shares
+    bounds = [-(1 << 63) + (1 << 64) * i // blocks for i in range(blocks + 1)]
+    for low, high in zip(bounds, bounds[1:]):
+        rows = stored.where(F.col("digest").between(low, high - 1)).orderBy("digest", "entry").toArrow()
+        if rows.num_rows:
+            yield file_of(rows), rows.num_rows
+
+
+_mapped: dict[str, DigestArray] = {}
+
+
+def mapped(name: str, size: int) -> DigestArray:
+    """The array of a shipped file, mapped once in a worker."""
+    if name not in _mapped:
+        _mapped.clear()
+        _mapped[name] = DigestArray(SparkFiles.get(name), size)
+    return _mapped[name]
+
+
+_lists: list[tempfile.TemporaryDirectory] = []
+
+
+def _ship(spark: SparkSession, data: bytes) -> str:
+    """Send a file to all executors, those that come later too; its name there.
+
+    The driver serves it to them from a folder that lives as long as the process.
+    """
+    if not _lists:
+        _lists.append(tempfile.TemporaryDirectory(prefix="presswork-lists-"))
+    name = f"digests-{uuid.uuid4().hex}"
+    path = os.path.join(_lists[0].name, name)
+    with open(path, "wb") as f:
+        f.write(data)
+    spark.sparkContext.addFile(path)
+    return name
 
 
-def _probe(share: Broadcast) -> Callable[..., Column]:
-    """Function of host and path: whether the broadcast block lists one of their probes."""
+def _probe(name: str, size: int) -> Callable[..., Column]:
+    """Function of host and path: whether the shipped block lists one of their probes."""
 
     @F.pandas_udf("boolean")
     def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        array = DigestArray(share.value)
+        array = mapped(name, size)
         for host, path in batches:
             # a batch asks for each distinct host and path once
             code, pairs = pd.factorize(pd.MultiIndex.from_arrays([host, path]))
@@ -136,21 +182,23 @@ def _probe(share: Broadcast) -> Callable[..., Column]:
     return probe
 
 
-def add_listed(rows: DataFrame, entries: DataFrame | tuple[str, ...], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def add_listed(rows: DataFrame, entries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``listed`` to narrow rows with columns ``host`` and ``path``."""
     spark = rows.sparkSession
     ship_code(spark)
     rows = rows.withColumn("listed", F.lit(False))
-    for number, block in enumerate(list_blocks(entries, block_bytes)):
+    for number, (data, size) in enumerate(list_blocks(entries, block_bytes)):
         if number:
             rows = materialise(rows, "listed")
-        rows = rows.withColumn("listed", F.col("listed") | _probe(spark.sparkContext.broadcast(block))("host", "path"))
+        rows = rows.withColumn("listed", F.col("listed") | _probe(_ship(spark, data), size)("host", "path"))
     return rows
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES,
-               entries: DataFrame | tuple[str, ...] = BLOCKED_HOSTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: key, ``host``, ``path``, ``rule``, ``verdict``, ``listed`` (found in the blocklist)."""
+               entries: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: key, ``host``, ``path``, ``rule``, ``verdict``, ``listed`` (found in the blocklist, a table of one column)."""
+    if entries is None:
+        entries = pages.sparkSession.createDataFrame([(h,) for h in BLOCKED_HOSTS], "entry string")
     parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = add_listed(parts, entries, block_bytes).withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("listed"), "block").otherwise("allow")

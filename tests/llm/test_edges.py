@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,7 +160,8 @@ def test_likeness_is_bounded(a, b):
 @pytest.mark.parametrize("block_bytes", [1 << 20, 8])
 def test_decontamination(docs, none, benchmark, block_bytes):
     rows = {r.doc_id: r for r in decontaminate.add_hits(docs, benchmark, block_bytes=block_bytes).collect()}
-    assert [(h.first, h.past) for h in rows[1].hit_ranges] == [(2, 13)] and rows[1]["items"] == ["1"]
+    # the word of the item without an id is hit, too
+    assert [(h.first, h.past) for h in rows[1].hit_ranges] == [(0, 1), (2, 13)] and rows[1]["items"] == ["1"]
     assert rows[2].n_words == rows[3].n_words == 0 and rows[5].hit_ranges == []
     assert decontaminate.add_hits(none, benchmark, block_bytes=block_bytes).isEmpty()
     left = decontaminate.clean_documents(docs, benchmark, block_bytes=block_bytes)
@@ -171,7 +173,8 @@ def test_decontamination_offsets(spark, benchmark):
     text = "É-alpha, Gamma--DELTA epsilon zeta eta theta iota kappa lambda mu ü"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     spans = decontaminate.hit_spans(docs, benchmark).first().spans
-    assert [text[b:e] for b, e in spans] == ["Gamma--DELTA epsilon zeta eta theta iota kappa lambda mu"]
+    # the item without an id holds "alpha"; passages that touch are one span
+    assert [text[b:e] for b, e in spans] == ["alpha, Gamma--DELTA epsilon zeta eta theta iota kappa lambda mu"]
 
 
 def test_pii(docs, none):
@@ -271,13 +274,36 @@ def test_urls(spark):
     listed = spark.createDataFrame([("u.net/fr/",), ("z.org",), (None,), ("z.org",)], "entry string")
     for size in (1 << 20, 1):
         assert {r.page_id for r in urls.judge_urls(pages, entries=listed, block_bytes=size).collect() if r.listed} == {10}
-    assert not urls.DigestArray([]).contains(["a"]).any()
+    long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "z.org/" + "p" * 100_000)], "page_id long, url string")
+    assert urls.judge_urls(long, entries=listed).first().verdict == "block"
 
 
-def test_digest_collisions_are_confirmed(monkeypatch):
-    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda b: len(b))
-    array = urls.DigestArray(["aa", "bb", "ccc"])
+def digest_array(tmp_path, entries):
+    rows = sorted({(int(np.uint64(urls.digest_of(e.encode())).astype(np.int64)), e) for e in entries})
+    path = tmp_path / "digests"
+    path.write_bytes(urls.file_of(pa.table({"digest": pa.array([d for d, _ in rows], pa.int64()), "entry": pa.array([e for _, e in rows], pa.string())})))
+    return urls.DigestArray(str(path), len(rows))
+
+
+def test_digest_collisions_are_confirmed(monkeypatch, tmp_path):
+    monkeypatch.setattr(urls, "digest_of", lambda b: len(b))
+    array = digest_array(tmp_path, ["aa", "bb", "ccc"])
     assert array.contains(["aa", "bb", "cc", "ccc", "ddd", "a"]).tolist() == [True, True, False, True, False, False]
+    assert not digest_array(tmp_path, []).contains(["a"]).any()
+
+
+def test_digests_are_those_of_spark(spark, tmp_path):
+    names = [f"host{n}.example.org" for n in range(500)] + ["é.org", ""]
+    table = spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "entry string")
+    assert {r.d for r in table.where("entry is not null").selectExpr("xxhash64(entry) as d").collect()} == {
+        int(np.uint64(urls.digest_of(n.encode())).astype(np.int64)) for n in names}
+    blocks = list(urls.list_blocks(table, 2000))
+    assert len(blocks) > 5 and sum(size for _, size in blocks) == len(names)
+    found = []
+    for data, size in blocks:
+        (tmp_path / "block").write_bytes(data)
+        found.append(urls.DigestArray(str(tmp_path / "block"), size).contains([*names, "other.org"]))
+    assert np.sum(found, 0).tolist() == [1] * len(names) + [0]
 
 
 def test_sharding(spark, docs, none, tmp_path):
