@@ -6,11 +6,15 @@ text where that is shorter. Two bounds prune the work without changing the resul
 and b the coefficient is at most 2 min(a, b) / (a + b), and a window cannot score more than the
 number of its places whose bigram occurs in the template.
 
+Templates are headers, one-line notices, SPDX tags and the opening passages of licence bodies. Each bigram has a bit
+for every template that holds it, in as many 64-bit words as the templates need, so their number is not limited.
+
 Every window that reaches the threshold counts. Of overlapping windows the one with most bigrams in common stays,
 then the better score, then the earlier one, so look-alikes (CC BY in CC BY-NC, GPL 2 and 3) are told apart and
 a full header goes before the notice inside it. A name may have several wordings, written ``name#2``.
 
-Null and empty texts find nothing; repeated rows give the same answer each. Other columns are not read.
+Null and empty texts find nothing, an empty table gives an empty result; very long texts are scanned whole. Of windows
+that tie the first template stays. Repeated rows give the same answer each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -87,6 +91,42 @@ for _kind, _words in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "b
     for _version, _scope in (("4.0", "International"), ("3.0", "Unported")):
         TEMPLATES.setdefault(f"cc-{_kind}-{_version}", f"This work is licensed under a Creative Commons {_words} {_version} {_scope} License.")
         TEMPLATES.setdefault(f"cc-{_kind}-{_version}-notice", f"Licensed under CC {_kind.upper()} {_version}.")
+# opening passages of licence texts
+_FSF = ("Copyright (C) {years} Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies "
+        "of this license document, but changing it is not allowed.")
+for _name, _title in {
+    "gpl-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "agpl-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "lgpl-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+}.items():
+    _years = {"gpl-2.0": "1989, 1991", "lgpl-2.1": "1991, 1999"}.get(_name, "2007")
+    TEMPLATES[f"{_name}#title"] = _title
+    TEMPLATES[f"{_name}#opening"] = f"{_title} {_FSF.format(years=_years)}"
+TEMPLATES |= {
+    "apache-2.0#title": "Apache License Version 2.0, January 2004",
+    "apache-2.0#opening": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND "
+                          "DISTRIBUTION 1. Definitions.",
+    "mpl-2.0#opening": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, "
+                       "contributes to the creation of, or owns Covered Software.",
+    "mpl-2.0#title": "Mozilla Public License Version 2.0",
+    "bsd#distributed": "distributed under the terms of the BSD license",
+    "bsd#style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "mit#distributed": "distributed under the terms of the MIT license",
+    "apache-2.0#distributed": "distributed under the terms of the Apache License 2.0",
+    "gpl-3.0#distributed": "distributed under the terms of the GNU General Public License version 3",
+    "gpl-2.0#distributed": "distributed under the terms of the GNU General Public License version 2",
+}
+for _kind, _words in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial",
+                      "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+                      "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items():
+    TEMPLATES[f"cc-{_kind}-4.0#opening"] = (
+        f"Creative Commons {_words} 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be "
+        f"bound by the terms and conditions of this Creative Commons {_words} 4.0 International Public License (\"Public License\").")
+for _tag in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1",
+             "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only",
+             "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"):
+    _name = re.sub("-(only|or-later|[23]-clause)$", "", _tag.lower())
+    TEMPLATES[f"{_name}#spdx-{_tag}"] = f"SPDX-License-Identifier: {_tag}"
 THRESHOLD = 0.8
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -109,16 +149,15 @@ class Scanner:
     threshold: float = THRESHOLD
 
     def __post_init__(self):
-        if len(self.templates) > 64:
-            raise ValueError("at most 64 templates fit one bit mask; scan in several calls")
         words = {name: [w for w, _, _ in normalise(body)] for name, body in self.templates.items()}
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
         self.width = len(self.ids) + 1
-        self.masks = np.zeros(self.width * self.width, np.uint64)
+        # one row of masks for every 64 templates
+        self.masks = np.zeros((-(-len(words) // 64), self.width * self.width), np.uint64)
         self.bags = []
         for k, (name, ws) in enumerate(words.items()):
             bag = Counter(self.ids[a] * self.width + self.ids[b] for a, b in zip(ws, ws[1:]))
-            self.masks[list(bag)] |= np.uint64(1 << k)
+            self.masks[k // 64, list(bag)] |= np.uint64(1 << k % 64)
             self.bags.append((name, sum(bag.values()), bag))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
@@ -130,19 +169,23 @@ class Scanner:
             return []
         ids = np.array(words, np.int64)
         codes = ids[:-1] * self.width + ids[1:]
-        masks = self.masks[codes]
-        places = np.flatnonzero(masks)
+        masks = self.masks[:, codes]
+        places = np.flatnonzero(masks.any(0))
         if not len(places):
             return []
+        masks = masks[:, places]
+        # how many places each template has: a template with too few is not looked at
+        bits = (masks[:, None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1)
+        own_places = bits.sum(2).ravel()
         able = []
         for k, (name, m, bag) in enumerate(self.bags):
             a = min(m, size)
             if 2 * a < self.threshold * (a + m):  # size bound
                 continue
             need = self.threshold * (a + m) / 2
-            own = places[(masks[places] >> np.uint64(k)) & np.uint64(1) == 1]
-            if len(own) < need:
+            if own_places[k] < need:
                 continue
+            own = places[bits[k // 64, k % 64] == 1]
             able += [(-common, -2 * common / (a + m), at, k, a) for common, at in self._windows(codes, own, a, need, bag)]
         if not able:
             return []
