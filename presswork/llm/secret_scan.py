@@ -4,11 +4,12 @@ The base forms are assignments, access keys and long hexadecimal runs. The metho
 a run of key characters that has a window of whole tokens, at least ``MIN_RUN`` characters long, whose
 characters per token under a tiktoken vocabulary fall below ``MAX_RATIO``, which marks random strings.
 Plain words beside a random part thus do not hide it; the span goes on from its windows to the next "/" or
-"=" or the run's end. Left out are digests and identifiers that are known as such (a UUID, or what follows
-a digest's name or a data URI), windows without letters and digits, and characters of a base find.
+"=" or the run's end. Left out is what has the form of a known digest or identifier: a UUID; a run behind the name
+of a digest that is as long as this digest is in hexadecimal or base64; a DOI; numbers with dots or dashes
+between them (addresses, dates, versions); windows without letters and digits; and characters of a base find.
 
-Null and empty texts have no spans. Offsets are code points, end exclusive. Repeated rows give equal
-answers; other columns pass through or are not read.
+Null and empty texts have no spans, an empty table gives an empty result; very long texts are scanned whole. Offsets
+are code points, end exclusive. Repeated rows give equal answers; other columns pass through or are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +34,28 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _UUID = re.compile(r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
-_KNOWN = r"(md5|sha-?[0-9]+|sha[0-9]*sum|crc32|digest|checksum|commit|etag|integrity|base64|uuid|guid|doi|isbn)"
-_KNOWN_BEFORE = re.compile(_KNOWN + r"[\"'=:,\s(/-]*$", re.ASCII | re.IGNORECASE)
-_KNOWN_AT = re.compile(r"[/=_-]*" + _KNOWN + "[/=_-]", re.ASCII | re.IGNORECASE)
+# Bytes of a digest by its name.
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha-1": 20, "sha224": 28, "sha-224": 28, "sha256": 32, "sha-256": 32, "sha384": 48, "sha-384": 48,
+                "sha512": 64, "sha-512": 64, "sha3-256": 32, "sha3-512": 64, "blake2b": 64, "blake2s": 32, "blake3": 32, "commit": 20}
+ANY_DIGEST = ("digest", "checksum", "integrity", "etag", "hash")
+_NAME = "|".join(sorted(map(re.escape, [*DIGEST_BYTES, *ANY_DIGEST]), key=len, reverse=True))
+# a whole word, and at most a few signs between it and the run
+_NAMED_BEFORE = re.compile(rf"(?<![A-Za-z0-9])({_NAME})(?:sum)?[\"'=:,\s(/-]{{1,4}}$", re.ASCII | re.IGNORECASE)
+_NAMED_AT = re.compile(rf"({_NAME})[-_=:/]", re.ASCII | re.IGNORECASE)
+_HEX_DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_BASE64_DIGEST = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_DOI = re.compile(r"10\.[0-9]{4,9}/\S+")
+_NUMBERS = re.compile(r"[0-9._/=+-]*")
+
+
+def is_digest(name: str, run: str) -> bool:
+    """Whether a run has the form of the digest of that name."""
+    own = DIGEST_BYTES.get(name.lower())
+    sizes = [own] if own else sorted(set(DIGEST_BYTES.values()))
+    if _HEX_DIGEST.fullmatch(run):
+        return any(len(run) == 2 * n for n in sizes)
+    return bool(_BASE64_DIGEST.fullmatch(run)) and any(
+        len(run) == -(-n // 3) * 4 and run.endswith("=" * (-n % 3)) or len(run) == -(-8 * n // 6) and "=" not in run for n in sizes)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,12 +74,12 @@ class Scanner:
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_run)
+        self.run = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % min_run)
         self.min_run, self.max_ratio = min_run, max_ratio
 
     def random_parts(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
         """Spans of the random parts of a run."""
-        if _KNOWN_BEFORE.search(text[max(0, start - 32):start]) or _KNOWN_AT.match(text, start, end):
+        if self.known(text, start, end):
             return []
         parts: list[tuple[int, int]] = []
         ends = [start]  # of the run's tokens
@@ -72,7 +92,8 @@ class Scanner:
             if last == len(ends):
                 break
             a, b = ends[first], ends[last]
-            if parts and b <= parts[-1][1] or b - a >= self.max_ratio * (last - first) or not any(map(str.isalnum, text[a:b])):
+            if parts and b <= parts[-1][1] or b - a >= self.max_ratio * (last - first) or not any(map(str.isalnum, text[a:b])) \
+                    or _NUMBERS.fullmatch(text, a, b):
                 continue
             a = max(a, parts[-1][1] if parts else start)  # so each character is passed once
             while a > (parts[-1][1] if parts else start) and text[a - 1] not in "/=":
@@ -85,7 +106,21 @@ class Scanner:
                 parts[-1] = (parts[-1][0], max(b, parts[-1][1]))
             else:
                 parts.append((a, b))
-        return [(a, b) for a, b in parts if not _KNOWN_BEFORE.search(text[max(0, a - 32):a])]
+        return [(a, b) for a, b in parts if not self.known(text, a, b)]
+
+    @staticmethod
+    def known(text: str, start: int, end: int) -> bool:
+        """Whether a run, or what follows a digest's name inside it, is a digest or a DOI."""
+        stop = end
+        while stop > start and text[stop - 1] == ".":  # the end of a sentence
+            stop -= 1
+        if _DOI.match(text, start, stop):
+            return True
+        before = _NAMED_BEFORE.search(text[max(0, start - 16):start])
+        if before and is_digest(before[1], text[start:stop]):
+            return True
+        at = _NAMED_AT.match(text, start, stop)
+        return bool(at) and is_digest(at[1], text[at.end():stop])
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The base spans, and all spans."""
