@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+BATCH_ROWS = 2000  # rows whose results a task holds at once
+
 Maker = Callable[[], Callable[[list[str]], list[list]]]
 
 
@@ -55,7 +57,7 @@ def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             made = [pa.array(v, f.type) for v, f in zip(work(texts), new_arrow, strict=True)]
             kept = [batch.column(i).cast(arrow.field(n).type) for n, i in enumerate(keep)]
