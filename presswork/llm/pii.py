@@ -1,18 +1,21 @@
 """PII by bootstrapped contextual extraction, in built-in expressions and joins only.
 
 Base finds are e-mail addresses, IP addresses, card numbers that pass the Luhn check and telephone
-numbers. They seed the bootstrap: the words before a find are its lexical pattern, tokens with digits
-or "@" elsewhere are instances of the patterns they stand in. On the graph of distinct (pattern,
-instance) edges each round scores a pattern by the mean belief in its instances and an instance by
-the chance that one of its patterns is right; seeds keep belief 1. After the rounds, tokens whose
-pattern holds enough different seeds and scores high enough are added as kind ``found``.
+numbers. They seed the bootstrap. A find's lexical patterns are the word before it, the two words before it and
+the two words behind it; tokens with digits or "@" elsewhere are instances of the patterns they stand in. On the graph
+of distinct (pattern, instance) edges rounds go to and fro. A pattern's evidence is the belief in its instances,
+summed, and its score their mean; with evidence of ``MIN_SEEDS`` and a score of ``MIN_SCORE`` it is trusted. A seed
+has belief 1; another instance the chance that one of the trusted patterns it stands in is right, leaving out the
+pattern under judgement. What earlier rounds have come to believe is thus evidence for patterns that hold no seed.
+After the rounds, tokens in a trusted pattern are added as kind ``found``.
 
 Edges and scores are grouped sums with partial aggregation, so a pattern that a third of the rows
-share is no hot task, and joins are left to the optimiser, which splits large keys. Patterns run
+share is no hot task, and joins are left to the optimiser, which splits large keys. Regular expressions run
 over long junk in linear time: a run is entered at its first character only and not given back.
 
-A null text counts as empty, with no spans. Offsets are code points, end exclusive. Repeated rows get
-equal spans; their edges count once. Other columns are not read.
+A null text counts as empty, with no spans; very long texts are read whole. Offsets are code points, end exclusive.
+Repeated rows get equal spans; their edges count once. Patterns of equal score are trusted alike. An empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from presswork.functions.binding import let
 from presswork.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "found")
-ROUNDS = 3
+ROUNDS = 4
 MIN_SEEDS = 3
 MIN_SCORE = 0.6
-CONTEXT = 48  # characters before a find in which its pattern is looked for; a pattern is at most so long
+CONTEXT = 48  # characters before and behind a find in which its patterns are looked for
 
 # \G lets a find begin where the last one ended, inside a run whose first part was taken.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -38,15 +41,28 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?<![^\s\"'<>(),;|])[^\s\"'<>(),;|0-9@]*+[0-9@][^\s\"'<>(),;|]*+"
 _IP_VALID = r"^0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?){3}$"
 
-SPAN = "struct<start: int, kind: int, end: int, body: string, pattern: string>"
+SPAN = "struct<start: int, kind: int, end: int, body: string, patterns: array<string>>"
 BLOCK = 512
 
 
-def pattern_of(gap: Column) -> Column:
-    """The last two words of the text between a find and the one before it, lower-cased and with digits
-    masked; empty where there are fewer."""
-    near = F.substring(gap, -CONTEXT, CONTEXT)
-    return F.regexp_replace(F.lower(F.regexp_extract(near, r"(?<!\S)(\S+\s+\S+)\s*[\"'(<]?$", 1)), "[0-9]", "0")
+_BEFORE = r"(?:(?<!\S)(\S+)\s+)?(?<!\S)(\S+)\s*[\"'(<]?$"
+_BEHIND = r"^[\"')>.,;:!?]*\s+(\S+\s+\S+)"
+
+
+def patterns_of(before: Column, behind: Column) -> Column:
+    """The patterns of a find from the text on either side of it up to its neighbours: one word before, two words
+    before, two words behind, lower-cased and with digits masked. A pattern without its words is left out."""
+
+    def plain(part: Column) -> Column:
+        return F.regexp_replace(F.lower(part), "[0-9]", "0")
+
+    near = F.substring(before, -CONTEXT, CONTEXT)
+    first, last = (F.regexp_extract(near, _BEFORE, i) for i in (1, 2))
+    after = F.regexp_extract(F.substring(behind, 1, CONTEXT), _BEHIND, 1)
+    given = F.array(F.when(last != "", F.concat(F.lit("1 "), plain(last))),
+                    F.when(first != "", F.concat(F.lit("2 "), plain(first), F.lit(" "), plain(last))),
+                    F.when(after != "", F.concat(F.lit("r "), plain(after))))
+    return F.filter(given, lambda p: p.isNotNull())
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
@@ -58,14 +74,15 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(
-        m.alias("m"), F.char_length(g).alias("g"), pattern_of(g).alias("p")))
+    sides = F.zip_with(F.slice(gaps, 1, F.size(found)), F.slice(gaps, 2, F.size(found)), lambda g, h: F.struct(
+        F.char_length(g).alias("g"), patterns_of(g, h).alias("p")))
+    parts = F.zip_with(found, sides, lambda m, s: F.struct(m.alias("m"), s["g"].alias("g"), s["p"].alias("p")))
     spans = f"array<{SPAN}>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
         end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("body"), x["p"].alias("pattern"))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("body"), x["p"].alias("patterns"))
         return F.struct(end.alias("at"), F.array_append(acc["done"], span).alias("done"))
 
     def block(acc: Column, xs: Column) -> Column:
@@ -121,7 +138,7 @@ def _finds(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    """Stored rows (_row, start, kind, end, body, pattern): base finds, and tokens that touch none of them."""
+    """Stored rows (_row, start, kind, end, body, patterns): base finds, and tokens that touch none of them."""
     spans = rows.select("_row", F.explode(F.concat("base", "tokens")).alias("s")).select("_row", "s.*")
     # two running aggregates: a frame that looks ahead would be summed anew for every row
     onward = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,26 +147,27 @@ def _places(rows: DataFrame) -> DataFrame:
     before, after = F.max(base_end).over(onward), F.min(base_start).over(backward)
     marked = spans.withColumn("_before", before).withColumn("_after", after)
     free = (F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_after", F.col("end")) >= F.col("end"))
-    return materialise(marked.where((F.col("kind") < 4) | free).where("pattern <> ''").drop("_before", "_after"), "places")
+    return materialise(marked.where((F.col("kind") < 4) | free).where("size(patterns) > 0").drop("_before", "_after"), "places")
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, seeds, score) from distinct rows (pattern, instance, seed)."""
-    # a row's belief goes from pattern to instance and back in each round
-    beliefs = edges.withColumn("belief", F.col("seed").cast("double"))
-    scores = None
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """(pattern, evidence, score) of the patterns trusted in the end, from distinct rows (pattern, instance, seed)."""
+    told = edges.withColumn("belief", F.col("seed").cast("double"))
     for number in range(rounds):
-        scores = beliefs.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.avg("belief").alias("score"))
+        scores = told.groupBy("pattern").agg(F.sum("belief").alias("evidence"), F.avg("belief").alias("score"))
+        # sums in another order may differ in the last bits
+        near = 1e-9
+        trusted = materialise(scores.where((F.col("evidence") >= min_seeds - near) & (F.col("score") >= min_score - near)), "trusted")
         if number == rounds - 1:
-            break
-        # a pattern without seeds tells nothing, so only instances that a seeded pattern reaches change
-        told = scores.where("seeds > 0").select("pattern", "score")
-        doubt = edges.join(told, "pattern").groupBy("instance").agg(
-            F.sum(F.log(1 - F.least("score", F.lit(0.999)))).alias("doubt"))
-        beliefs = materialise(edges.join(doubt, "instance", "left").select(
+            return trusted
+        # doubt: log of the chance that a pattern, or all of an instance's patterns, are wrong
+        doubts = trusted.select("pattern", F.log(1 - F.least("score", F.lit(0.999))).alias("own"))
+        total = edges.join(doubts, "pattern").groupBy("instance").agg(F.sum("own").alias("doubt"))
+        told = edges.join(total, "instance", "left").join(doubts, "pattern", "left").select(
             "pattern", "instance", "seed",
-            F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("belief")), "beliefs")
-    return scores
+            F.when(F.col("seed"), 1.0).otherwise(
+                F.greatest(1 - F.exp(F.coalesce("doubt", F.lit(0.0)) - F.coalesce("own", F.lit(0.0))), F.lit(0.0))).alias("belief"))
+    return told
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
@@ -157,11 +175,13 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: i
     """Per row: key, counts of the base kinds, ``n_found``, ``base`` and ``found`` spans (arrays), in code points."""
     rows = _finds(docs, key, text)
     places = _places(rows)
-    edges = materialise(places.groupBy("pattern", F.col("body").alias("instance")).agg(
+    standing = places.select("_row", "start", "kind", "end", "body", F.explode("patterns").alias("pattern"))
+    edges = materialise(standing.groupBy("pattern", F.col("body").alias("instance")).agg(
         F.max(F.col("kind") < 4).alias("seed")), "graph")
-    good = score_patterns(edges, rounds).where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score))
-    found = places.where("kind = 4").join(materialise(good.select("pattern"), "patterns"), "pattern").groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "body", "pattern"))).alias("found"))
+    good = score_patterns(edges, rounds, min_seeds, min_score).select("pattern")
+    spans = standing.where("kind = 4").join(good, "pattern").select("_row", "start", "kind", "end", "body").distinct()
+    found = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
+        "start", "kind", "end", "body", F.array().cast("array<string>").alias("patterns")))).alias("found"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     none = F.array().cast(f"array<{SPAN}>")
     return rows.join(found, "_row", "left").select(

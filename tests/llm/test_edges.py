@@ -213,6 +213,7 @@ def test_pii_bootstrap_finds_unseen_identifiers(spark):
     docs = spark.createDataFrame(seeds + new, "doc_id long, text string")
     rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     assert [s.body for s in rows[100].found] == ["QX-77812-B"] and not rows[101].found
+    assert "Python" not in pii.find_pii(docs)._jdf.queryExecution().toString()
 
 
 def test_simhash(docs, none):
