@@ -46,6 +46,7 @@ VOCABULARY_B = "piece_bpe_32k.model"
 CACHE_WORDS = 300_000
 BLOCK_CHARS = 1 << 20
 HEAD_PAIRS = 1 << 20
+BATCH_ROWS = 2000  # texts whose links a task holds at once
 
 Document = tuple[int, int, int, str, np.ndarray]
 
@@ -249,7 +250,7 @@ def with_links(docs: DataFrame, text: str = "text", vocabulary_a: str = VOCABULA
         return work
 
     return append_from_text(docs, text, "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-                            "link_a array<int>, link_b array<int>, link_n array<int>", make, drop_text)
+                            "link_a array<int>, link_b array<int>, link_n array<int>", make, drop_text, rows=BATCH_ROWS)
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:

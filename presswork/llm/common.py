@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BATCH_ROWS = 2000  # rows whose results a task holds at once
-
 Maker = Callable[[], Callable[[list[str]], list[list]]]
 
 
@@ -39,13 +37,21 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_text: bool = False) -> DataFrame:
+def in_steps(batch: pa.RecordBatch, rows: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows."""
+    step = rows or max(1, batch.num_rows)
+    for at in range(0, max(1, batch.num_rows), step):
+        yield batch.slice(at, step)
+
+
+def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_text: bool = False,
+                     rows: int | None = None) -> DataFrame:
     """Append columns computed from whole texts; the other columns of ``df`` pass through as they are.
 
     ``make()`` runs once in each task and returns a function from a list of texts to one list of
     values per column of the DDL string ``added``. A null text is handed over as an empty one.
     Columns of ``df`` that bear an added name give way, and with ``drop_text`` the text stays behind. No shuffle; an Arrow batch is bounded by
-    rows and by bytes, and a text is never cut.
+    rows and by bytes, results are held for ``rows`` of it at once where given, and a text is never cut.
     """
     ship_code(df.sparkSession)
     new = T.StructType.fromDDL(added)
@@ -57,7 +63,7 @@ def append_from_text(df: DataFrame, text: str, added: str, make: Maker, drop_tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
+        for batch in (b for whole in batches for b in in_steps(whole, rows)):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             made = [pa.array(v, f.type) for v, f in zip(work(texts), new_arrow, strict=True)]
             kept = [batch.column(i).cast(arrow.field(n).type) for n, i in enumerate(keep)]

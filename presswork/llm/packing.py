@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from presswork.llm.common import ship_code
+from presswork.llm.common import in_steps, ship_code
 from presswork.operators.scale import with_position
 from presswork.session import materialise
 
@@ -37,6 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 4096
 END_ID = 1
 CACHE_WORDS = 1_000_000
+ID_ROWS = 1000
 
 
 class Words(dict):
@@ -120,7 +121,8 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
 
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
+        # ids are held for few texts at once
+        for batch in (b for whole in batches for b in in_steps(whole, ID_ROWS if with_ids else None)):
             cols: list[list] = [[] for _ in range(6)]
             for row, ids in enumerate(enc.encode([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end
@@ -247,8 +249,14 @@ def plan_runs(patterns: list[tuple[list[tuple[int, int]], int]], histogram: dict
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to stored rows (key, piece, length, ...); no row is longer than ``limit``."""
+    """Add ``sequence_id`` and ``offset`` to stored rows (key, piece, length, ...); no row is longer than ``limit``.
+
+    Ids stay out of the sort that numbers the pieces and are joined to the places.
+    """
     ship_code(pieces.sparkSession)
+    if "ids" in pieces.columns:
+        placed = pack(pieces.drop("ids"), key, limit)
+        return placed.join(pieces.select("_piece", "ids"), "_piece").drop("_piece")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan_runs(plan(histogram, limit), histogram)
     numbered = with_position(pieces, "length", key, "piece", name="_number")
@@ -267,8 +275,10 @@ def pack(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFram
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID,
                    vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """Encode, cut and place all documents. The pieces are stored once, so nothing is encoded twice."""
-    pieces = materialise(token_pieces(docs, key, text, limit, end_id, vocabulary, with_ids), "pieces")
-    return pack(pieces, key, limit)
+    pieces = token_pieces(docs, key, text, limit, end_id, vocabulary, with_ids)
+    if with_ids:
+        pieces = pieces.withColumn("_piece", F.monotonically_increasing_id())
+    return pack(materialise(pieces, "pieces"), key, limit)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
