@@ -6,6 +6,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions.binding import let
 from presswork.functions.labels import first_max
-from presswork.functions.scores import cross_entropy, softmax
+from presswork.functions.scores import cross_entropy
 
 SEED = 411
 
@@ -82,16 +83,29 @@ def agreement_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def gradient_size(model: LogisticRegressionModel, train: DataFrame) -> float:
     """Largest entry of the gradient of mean log loss plus ridge penalty, as a plain aggregate over ``train``."""
-    classes = model.numClasses
-    wrong = train.select(vector_to_array("features").alias("x"), softmax(class_scores(model)).alias("p"), "y").select(
-        F.concat(F.array(F.lit(1.0)), F.col("x")).alias("x"),
-        F.transform("p", lambda p, i: p - (i == F.col("y").cast("int")).cast("double")).alias("r"))
-    # classes times width numbers per row, summed where they are made
-    long = wrong.select("x", F.posexplode("r").alias("c", "r")).select("c", "r", F.posexplode("x").alias("i", "x"))
-    sums = long.groupBy("c", "i").agg(F.avg(F.col("r") * F.col("x")).alias("g")).collect()
-    gradient = np.zeros((classes, model.numFeatures + 1))
-    for row in sums:
-        gradient[row["c"], row["i"]] = row["g"]
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    shape = (len(bias), weights.shape[1] + 1)
+    size = shape[0] * shape[1]
+
+    def sums(batches):
+        total, n = np.zeros(shape), 0
+        for batch in batches:
+            x, y = np.stack(batch["x"]), batch["y"].to_numpy(int)
+            scores = x @ weights.T + bias
+            p = np.exp(scores - scores.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(y)), y] -= 1
+            total[:, 0] += p.sum(0)
+            total[:, 1:] += p.T @ x
+            n += len(y)
+        yield pd.DataFrame({"i": np.arange(size + 1), "v": np.append(total.ravel(), n)})
+
+    # one matrix per task, summed by place: what comes to the driver is one matrix
+    rows = train.select(vector_to_array("features").alias("x"), "y").mapInPandas(sums, "i int, v double")
+    flat = np.zeros(size + 1)
+    for row in rows.groupBy("i").agg(F.sum("v").alias("v")).collect():
+        flat[row["i"]] = row["v"]
+    gradient = flat[:-1].reshape(shape) / max(flat[-1], 1)
     gradient[:, 1:] += model.getRegParam() * model.coefficientMatrix.toArray()
     return float(np.abs(gradient).max())
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from presswork.functions.text import (
     rule_tag,
     sentence_words,
 )
-from presswork.operators.scale import lookup_join, with_position
+from presswork.operators.scale import fits_broadcast, lookup_join, with_position
 from presswork.session import materialise
 
 
@@ -56,13 +59,15 @@ def preprocess_with_tables(df: DataFrame, key: str, text: str, phrases: DataFram
                            lexicon: DataFrame | None = None, drop=DROP_TAGS) -> DataFrame:
     """Full preprocessing with compound words and a tag lexicon.
 
-    The documents are dealt by key once, before they become tokens; merging and joining up then
-    work where the tokens are. A text of which nothing is kept gives ``''``, a null text stays null.
+    Compound words are merged inside the rows. The documents are dealt by key once, before they become tokens;
+    joining up then works where the tokens are. A text of which nothing is kept gives ``''``, a null text stays null.
     """
-    marked = df.select(key, text, F.col(text).isNotNull().alias("_given")).repartition(key)
-    tokens = _all_tokens(marked, key, text, "_given")
+    marked = df.select(key, sentence_words(F.col(text)).alias("_sentences"))
     if phrases is not None:
-        tokens = apply_phrases(tokens, phrases, key, "_given")
+        marked = apply_phrases(marked, key, "_sentences", phrases, "_sentences")
+    given = marked.withColumn("_given", F.col("_sentences").isNotNull()).repartition(key)
+    tokens = given.select(key, "_given", F.posexplode_outer("_sentences").alias("sent", "_words")).select(
+        key, "_given", "sent", F.posexplode_outer("_words").alias("pos", "token"))
     tagged = tag_tokens(tokens, lexicon, key)
     word = F.struct("sent", "pos", F.lower("token").alias("w"))
     kept = F.when(is_kept(F.col("token"), drop, DROP_LITERALS, F.col("tag")), word)
@@ -124,8 +129,55 @@ def learn_phrases(tokens: DataFrame, min_count: int = 5, threshold: float = 1.0,
     return joined.select("w1", "w2", "n12", "n1", "n2", score.alias("score")).filter(F.col("score") > threshold)
 
 
-def apply_phrases(tokens: DataFrame, phrases: DataFrame, key: str, *keep: str) -> DataFrame:
-    """Merge listed pairs left to right without overlap into ``w1_w2`` tokens.
+def _merged_in_rows(df: DataFrame, sentences: str, phrases: DataFrame, name: str) -> DataFrame:
+    pairs: dict[str, set[str]] = {}
+    for w1, w2 in phrases.select("w1", "w2").toLocalIterator():  # of checked size
+        pairs.setdefault(w1, set()).add(w2)
+    share = df.sparkSession.sparkContext.broadcast(pairs)
+
+    @F.pandas_udf("array<array<string>>")
+    def merge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        listed = share.value.get
+        nothing: frozenset[str] = frozenset()
+
+        def sentence(tokens: list[str]) -> list[str]:
+            out, i, last = [], 0, len(tokens) - 1
+            while i <= last:
+                if i < last and tokens[i + 1] in listed(tokens[i], nothing):
+                    out.append(f"{tokens[i]}_{tokens[i + 1]}")
+                    i += 2
+                else:
+                    out.append(tokens[i])
+                    i += 1
+            return out
+
+        for batch in batches:
+            yield pd.Series([None if text is None else [sentence(tokens.tolist()) for tokens in text] for text in batch])
+
+    return df.withColumn(name, merge(F.col(sentences)))
+
+
+def apply_phrases(df: DataFrame, key: str, sentences: str, phrases: DataFrame, name: str = "merged", fits: bool | None = None) -> DataFrame:
+    """Merge listed pairs left to right without overlap into ``w1_w2`` tokens, in an array (sentences) of arrays (tokens).
+
+    Phrases of checked size are sent to where the rows are: nothing is exploded or shuffled. Beyond that the
+    tokens are joined to the phrases and gathered again by ``key``, which must then be unique.
+    """
+    if fits_broadcast(phrases.select("w1", "w2")) if fits is None else fits:
+        return _merged_in_rows(df, sentences, phrases, name)
+    numbered = df.select(key, F.posexplode_outer(sentences).alias("sent", "_words")).select(
+        key, "sent", "_words", F.posexplode_outer("_words").alias("pos", "token")).select(
+        key, "sent", "pos", "token", F.get("_words", F.col("pos") + 1).alias("next_token"))
+    tokens = merge_tokens(numbered.filter(F.col("token").isNotNull()), phrases, key)
+    by_sentence = tokens.groupBy(key, "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    words = by_sentence.select(key, F.struct("sent", F.transform("_t", lambda t: t["token"]).alias("w")).alias("_s"))
+    whole = words.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["w"]).alias("_m"))
+    none = F.when(F.col(sentences).isNotNull(), F.array().cast("array<array<string>>"))
+    return df.join(whole, key, "left").withColumn(name, F.coalesce("_m", none)).drop("_m")
+
+
+def merge_tokens(tokens: DataFrame, phrases: DataFrame, key: str, *keep: str) -> DataFrame:
+    """``apply_phrases`` on a token table.
 
     In a run of consecutive listed pairs every second one starts a merge, counted from the run's
     first token. The windows cover one sentence each and need a document's tokens in one

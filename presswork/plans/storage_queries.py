@@ -37,44 +37,44 @@ def sink_jsonl(spark, sf_dir):
     return readers.read_jsonl(spark, path, schemas.PROCESSED_ARTICLE)
 
 
-# Records as they arrive: a page as body, a document as title, lead, keywords and category, and every
-# fiftieth line broken off.
-BROKEN = 50
+# Records as they arrive: a page as body, a document's first line as title and the rest of its text as lead, with keywords
+# and category. For the table of rejects a broken copy of every record stands next to it.
+_FIRST = "string_split(text, chr(10))[1]"
+_REST = "CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) END"
 
 
 def _raw_lines(spark, sf_dir):
-    lines = F.split("text", "\n")
     joined = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "documents"), F.col("page_id") == F.col("doc_id"))
+    first = F.substring_index("text", "\n", 1)
+    rest = F.when(F.contains("text", F.lit("\n")), F.substring(F.col("text"), F.char_length(first) + 2, F.char_length("text")))
     record = F.to_json(F.struct(
-        "source", F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(1)).alias("sapo"), F.col("html").alias("body"),
+        "source", first.alias("title"), rest.alias("sapo"), F.col("html").alias("body"),
         F.col("doc_id").alias("id"), F.lit("2031-09-05T06:07:08Z").alias("publish"), F.array("lang", "source").alias("keywords"),
         F.array("lang").alias("cates")))
     dated = F.replace(record, F.lit('"publish":"2031-09-05T06:07:08Z"'), F.lit('"publish":ISODate("2031-09-05T06:07:08Z")'))
-    return joined.select(F.when(F.col("doc_id") % BROKEN == 7, F.substring(dated, 1, 40)).otherwise(dated).alias("value"))
+    return joined.select(dated.alias("value"))
 
 
-def _raw_articles(spark, sf_dir):
+def _read_again(spark, lines):
     path = scratch_path(spark, "raw-articles")
-    _raw_lines(spark, sf_dir).write.text(path)
+    lines.write.text(path)
     return readers.read_articles(spark, path)
 
 
 @query("assemble_articles", sql=f"""
 WITH cleaned AS ({CLEAN_HTML_SQL})
-SELECT doc_id AS id, concat_ws(' ', string_split(text, chr(10))[1], string_split(text, chr(10))[2], body, lang, source) AS content,
-       lang AS category
-FROM documents JOIN cleaned ON page_id = doc_id WHERE doc_id % {BROKEN} <> 7""")
+SELECT doc_id AS id, concat_ws(' ', {_FIRST}, {_REST}, body, lang, source) AS content, lang AS category
+FROM documents JOIN cleaned ON page_id = doc_id""")
 def assemble_articles(spark, sf_dir):
-    articles, _ = _raw_articles(spark, sf_dir)
+    articles, _ = _read_again(spark, _raw_lines(spark, sf_dir))
     return corpus.assemble_articles(articles)
 
 
-@query("article_rejects", sql=f"""
-SELECT count(*) FILTER (doc_id % {BROKEN} <> 7) AS n_articles, count(*) FILTER (doc_id % {BROKEN} = 7) AS n_rejects,
-       count(*) FILTER (doc_id % {BROKEN} <> 7) AS n_dated
-FROM documents JOIN pages ON page_id = doc_id""")
+@query("article_rejects", sql="""
+SELECT count(*) AS n_articles, count(*) AS n_rejects, count(*) AS n_dated FROM documents JOIN pages ON page_id = doc_id""")
 def article_rejects(spark, sf_dir):
-    articles, rejects = _raw_articles(spark, sf_dir)
+    lines = _raw_lines(spark, sf_dir)
+    articles, rejects = _read_again(spark, lines.unionByName(lines.select(F.substring("value", 1, 40).alias("value"))))
     dated = articles.select(F.lit(0).alias("r"), F.col("publish").isNotNull().alias("d"))
     both = dated.unionByName(rejects.select(F.lit(1).alias("r"), F.lit(False).alias("d")))
     return both.agg(F.count_if(F.col("r") == 0).alias("n_articles"), F.count_if(F.col("r") == 1).alias("n_rejects"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.functions import labels, text as txt
-from presswork.operators import corpus, explore, words
+from presswork.operators import corpus, explore, segment, words
 from presswork.plans import sql_text as s
 from presswork.plans.registry import query, table, text_table
+from presswork.session import materialise
 
 MAX_LENGTH = 256
 
@@ -69,15 +70,103 @@ hits AS MATERIALIZED (
 runs AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, sent, pos - k ORDER BY pos) AS in_run FROM hits),
 starts AS MATERIALIZED (SELECT doc_id, sent, pos FROM runs WHERE in_run % 2 = 1)
-SELECT n.doc_id, n.sent, n.pos,
-       CASE WHEN a.pos IS NULL THEN n.token ELSE n.token || '_' || n.next_token END AS token
-FROM nexts n
-LEFT JOIN starts a ON a.doc_id = n.doc_id AND a.sent = n.sent AND a.pos = n.pos
-LEFT JOIN starts b ON b.doc_id = n.doc_id AND b.sent = n.sent AND b.pos = n.pos - 1
-WHERE b.pos IS NULL""")
+SELECT doc_id, count(n.pos)::int AS n_tokens, count(starts.pos)::int AS n_merged,
+       coalesce(string_agg(CASE WHEN starts.pos IS NULL THEN n.token ELSE n.token || '_' || n.next_token END, ' ' ORDER BY n.sent, n.pos), '') AS merged
+FROM documents LEFT JOIN (
+  SELECT n.* FROM nexts n LEFT JOIN starts b ON b.doc_id = n.doc_id AND b.sent = n.sent AND b.pos = n.pos - 1 WHERE b.pos IS NULL) n USING (doc_id)
+LEFT JOIN starts USING (doc_id, sent, pos) GROUP BY doc_id""")
 def apply_phrases(spark, sf_dir):
-    tokens = words.token_table(_docs(spark, sf_dir).repartition("doc_id"), "doc_id", "text")
-    return words.apply_phrases(tokens, _phrases(spark, sf_dir), "doc_id")
+    """One row per document: tokens after merging, how many are merged, and the merged text."""
+    sentences = _docs(spark, sf_dir).select("doc_id", txt.sentence_words(F.col("text")).alias("sentences"))
+    merged = words.apply_phrases(sentences, "doc_id", "sentences", _phrases(spark, sf_dir))
+    flat = merged.select("doc_id", F.size(F.flatten("sentences")).alias("before"), F.flatten("merged").alias("tokens"))
+    return flat.select("doc_id", F.size("tokens").alias("n_tokens"), (F.col("before") - F.size("tokens")).alias("n_merged"),
+                       F.array_join("tokens", " ").alias("merged"))
+
+
+def _lexicon_rounds(rounds: int) -> str:
+    """CTEs of ``segment.learn_lexicon``, from the n-grams with their counts."""
+    made = ["e0 AS (SELECT *, n AS expected FROM ngrams)"]
+    for r in range(rounds):
+        made.append(f"""
+t{r} AS (SELECT sum(expected)::double AS total FROM e{r}),
+v{r} AS (
+  SELECT word, sum(v ORDER BY i) AS rival FROM (
+    SELECT s.word, s.i, a.expected::double * b.expected AS v FROM splits s JOIN e{r} a ON a.word = s.head JOIN e{r} b ON b.word = s.rest)
+  GROUP BY word),
+j{r} AS MATERIALIZED (
+  SELECT word, length, n, chance, floor(n * chance)::bigint AS used FROM (
+    SELECT e.*, CASE WHEN length = 1 THEN 1.0::double WHEN expected * total + rival > 0
+                     THEN (expected * total) / (expected * total + rival) ELSE 0.0 END AS chance
+    FROM e{r} e CROSS JOIN t{r} LEFT JOIN v{r} USING (word))),
+i{r} AS (
+  SELECT word, max(used) AS inside FROM (
+    SELECT s.head AS word, 'head' AS side, sum(used)::bigint AS used FROM splits s JOIN j{r} USING (word) WHERE s.i = length - 1 GROUP BY 1
+    UNION ALL
+    SELECT s.rest, 'rest', sum(used)::bigint FROM splits s JOIN j{r} USING (word) WHERE s.i = 1 GROUP BY 1) GROUP BY 1),
+e{r + 1} AS MATERIALIZED (
+  SELECT word, length, n, floor((n - coalesce(inside, 0)) * chance)::bigint AS expected FROM j{r} LEFT JOIN i{r} USING (word))""")
+    return ",".join(made)
+
+
+LEARNED = rf"""
+{s.TOKENS},
+runs AS (
+  SELECT token AS w1, lead(token, 1) OVER o AS w2, lead(token, 2) OVER o AS w3, lead(token, 3) OVER o AS w4
+  FROM tokens WINDOW o AS (PARTITION BY doc_id, sent ORDER BY pos)),
+grams AS (
+  SELECT [w1] AS g FROM runs UNION ALL SELECT [w1, w2] FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT [w1, w2, w3] FROM runs WHERE w3 IS NOT NULL UNION ALL SELECT [w1, w2, w3, w4] FROM runs WHERE w4 IS NOT NULL),
+ngrams AS MATERIALIZED (
+  SELECT array_to_string(g, ' ') AS word, g, len(g)::int AS length, count(*) AS n FROM grams GROUP BY g
+  HAVING len(g) = 1 OR (count(*) >= {segment.MIN_COUNT} AND len(list_filter(g, lambda t: NOT regexp_matches(t, '\p{{L}}'))) = 0)),
+splits AS MATERIALIZED (
+  SELECT word, i, array_to_string(g[1:i], ' ') AS head, array_to_string(g[i + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, length)) AS i FROM ngrams WHERE length > 1)),
+{_lexicon_rounds(segment.ROUNDS)},
+uses AS (
+  SELECT word, length, n, CASE WHEN length = 1 THEN greatest(expected, 1) ELSE expected END AS expected FROM e{segment.ROUNDS}
+  WHERE length = 1 OR expected > 0),
+lexicon_total AS MATERIALIZED (SELECT sum(expected)::double AS total FROM uses),
+learned AS MATERIALIZED (SELECT word, length, n, expected, round(1000 * ln(total / expected))::bigint AS cost FROM uses, lexicon_total)
+"""
+
+
+def _sentences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", txt.sentence_words(F.col("text")).alias("sentences"))
+
+
+@query("learn_lexicon", sql=f"WITH {LEARNED} SELECT word, length, n, expected, cost FROM learned")
+def learn_lexicon(spark, sf_dir):
+    return segment.learn_lexicon(_sentences(spark, sf_dir), "sentences")
+
+
+# the cheapest path, one token after another: c1 is the least cost up to the last token, c2 the one before that, and so on
+SEGMENTED = f"""
+WITH RECURSIVE {LEARNED},
+steps AS MATERIALIZED (
+  SELECT t.doc_id, t.sent, t.pos, coalesce(a.cost, round(1000 * ln(total))::bigint) AS k1, b.cost AS k2, c.cost AS k3, d.cost AS k4
+  FROM (SELECT *, lag(token, 1) OVER o AS p1, lag(token, 2) OVER o AS p2, lag(token, 3) OVER o AS p3 FROM tokens
+        WINDOW o AS (PARTITION BY doc_id, sent ORDER BY pos)) t CROSS JOIN lexicon_total
+  LEFT JOIN learned a ON a.word = token LEFT JOIN learned b ON b.word = p1 || ' ' || token
+  LEFT JOIN learned c ON c.word = p2 || ' ' || p1 || ' ' || token LEFT JOIN learned d ON d.word = p3 || ' ' || p2 || ' ' || p1 || ' ' || token),
+walk AS (
+  SELECT doc_id, sent, 0::bigint AS place, 0::bigint AS c1, NULL::bigint AS c2, NULL::bigint AS c3, NULL::bigint AS c4 FROM tokens GROUP BY 1, 2
+  UNION ALL
+  SELECT w.doc_id, w.sent, place + 1, least(c1 + k1, c2 + k2, c3 + k3, c4 + k4), c1, c2, c3
+  FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.sent = w.sent AND s.pos = w.place),
+ends AS (SELECT doc_id, sent, arg_max(c1, place) AS cost, max(place) AS n FROM walk GROUP BY 1, 2)
+SELECT doc_id, coalesce(sum(n), 0)::bigint AS n_syllables, coalesce(sum(cost), 0)::bigint AS cost
+FROM documents LEFT JOIN ends USING (doc_id) GROUP BY doc_id"""
+
+
+@query("segment_words", sql=SEGMENTED)
+def segment_words(spark, sf_dir):
+    """Tokens of each document and the cost of its best segmentation with the learned lexicon, taken from the words chosen."""
+    sentences = _sentences(spark, sf_dir)
+    lexicon = materialise(segment.learn_lexicon(sentences, "sentences"), "lexicon")
+    found = segment.segment(sentences, "doc_id", "sentences", lexicon)
+    return found.select("doc_id", F.size(F.flatten("sentences")).cast("long").alias("n_syllables"), F.col("segmented.cost").alias("cost"))
 
 
 # the lexicon of the registered queries: words of the benchmark texts, short ones tagged as foreign

@@ -394,15 +394,7 @@ def _renamed(sql: str, *names: str) -> str:
     return sql
 
 
-@query("compare_models", sql=f"""
-WITH {_renamed(KFOLD_NB, "theta", "priors")},
-{NB.replace(KEPT + ",", "", 1)},
-test AS (SELECT * FROM kept WHERE {s.split_of('doc_id')} = 'test'),
-{nb_scored('test', 'doc_id')},
-mean_rows AS (SELECT doc_id, {_each("avg(l_{c}) AS l_{c}")} FROM fold_logits GROUP BY 1)
-SELECT doc_id, y_pred AS bayes, {BEST_OF} AS ensemble, true AS logistic_checked, (y_pred = {BEST_OF}) AS bayes_agree
-FROM nb_pred JOIN mean_rows USING (doc_id)""")
-def compare_models(spark, sf_dir):
+def _three_models(spark, sf_dir):
     """Three models of different jobs side by side on the test split: word counts of the training split, the k-fold
     ensemble, and logistic regression on tf-idf, whose label is compared with the one recomputed from its weights."""
     single = test_set_predictions(spark, sf_dir).select("doc_id", F.lit("bayes").alias("model"), F.col("y_pred").alias("label"))
@@ -416,11 +408,32 @@ def compare_models(spark, sf_dir):
     named = lambda column, name: scored.select(
         "doc_id", F.lit(name).alias("model"), label_decode(F.col(column).cast("int"), LANGS).alias("label"))
     long = reduce(lambda a, b: a.unionByName(b), [single, folds, named("prediction", "logistic"), named("recomputed", "checked")])
-    wide = scoring.compare_predictions(long, "doc_id", ["bayes", "ensemble", "logistic", "checked"])
+    return scoring.compare_predictions(long, "doc_id", ["bayes", "ensemble", "logistic", "checked"])
+
+
+@query("compare_models", sql=f"""
+WITH {_renamed(KFOLD_NB, "theta", "priors")},
+{NB.replace(KEPT + ",", "", 1)},
+test AS (SELECT * FROM kept WHERE {s.split_of('doc_id')} = 'test'),
+{nb_scored('test', 'doc_id')},
+mean_rows AS (SELECT doc_id, {_each("avg(l_{c}) AS l_{c}")} FROM fold_logits GROUP BY 1)
+SELECT doc_id, y_pred AS bayes, {BEST_OF} AS ensemble, true AS logistic_checked, (y_pred = {BEST_OF}) AS bayes_agree
+FROM nb_pred JOIN mean_rows USING (doc_id)""")
+def compare_models(spark, sf_dir):
+    """Two word models side by side on the test split, and whether the logistic label next to them is the recomputed one."""
+    wide = _three_models(spark, sf_dir)
     return wide.select("doc_id", "bayes", "ensemble", (F.col("logistic") == F.col("checked")).alias("logistic_checked"),
                        (F.col("bayes") == F.col("ensemble")).alias("bayes_agree"))
 
 
+@query("models_side_by_side")
+def models_side_by_side(spark, sf_dir):
+    """The labels of all three models for each text of the test split, and how many of them agree with the first."""
+    wide = _three_models(spark, sf_dir)
+    agree = sum((F.col(m) == F.col("bayes")).cast("int") for m in ("ensemble", "logistic"))
+    return wide.select("doc_id", "bayes", "ensemble", "logistic", (agree + 1).alias("n_agree"))
+
+
 @query("stream_score", sql=f"""
 WITH {NB}, talks AS (SELECT conv_id, turn, {s.kept('text')} AS words FROM conversations),
 {nb_scored('talks', 'conv_id', 'turn')}

@@ -157,3 +157,14 @@ def test_table_models_can_be_saved_and_loaded(spark, tmp_path, vectors):
     got, want = (
         {r["id"]: r["logits"] for r in bayes.score(docs, ["id"], "words", m).collect()} for m in (loaded, fitted))
     assert got == want
+
+
+def test_three_models_side_by_side(spark):
+    """The logistic label is the one that a plain softmax over the fitted weights gives, and agreement counts equal labels."""
+    from presswork.plans import QUERIES, vector_queries
+
+    rows = vector_queries._three_models(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.logistic == r.checked for r in rows)
+    side = QUERIES["models_side_by_side"](spark, "/root/testdata/sf0.001").collect()
+    assert len(side) == len(rows) and all(r.n_agree == [r.ensemble, r.logistic].count(r.bayes) + 1 for r in side)
+    assert sum(r.n_agree == 3 for r in side) > len(side) / 2

@@ -92,9 +92,13 @@ def test_lexicon_overrides_rules(spark):
 def test_phrases_merge_left_to_right_without_overlap(spark):
     docs = spark.createDataFrame([(1, "a a a a a b. a b c\nc a a")], "id long, text string")
     phrases = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "c")], "w1 string, w2 string")
-    merged = words.apply_phrases(words.token_table(docs, "id", "text"), phrases, "id")
+    merged = words.merge_tokens(words.token_table(docs, "id", "text"), phrases, "id")
     got = [r["token"] for r in merged.orderBy("sent", "pos").collect()]
     assert got == ["a_a", "a_a", "a_b", ".", "a_b", "c", "c", "a_a"]
+    more = docs.unionByName(spark.createDataFrame([(2, None), (3, ""), (4, "a"), (5, ". b a b c")], docs.schema))
+    rows = more.select("id", txt.sentence_words(F.col("text")).alias("s"))
+    ways = [by_id(words.apply_phrases(rows, "id", "s", phrases, fits=fits), "merged") for fits in (True, False)]
+    assert ways[0] == ways[1] and sum(ways[0][1], []) == got and ways[0][2] is None and ways[0][3] == []
 
 
 def test_learn_phrases_brute_force(spark):
