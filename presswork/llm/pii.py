@@ -6,7 +6,8 @@ the two words behind it; tokens with digits or "@" elsewhere are instances of th
 of distinct (pattern, instance) edges rounds go to and fro. A pattern's evidence is the belief in its instances,
 summed, and its score their mean; with evidence of ``MIN_SEEDS`` and a score of ``MIN_SCORE`` it is trusted. A seed
 has belief 1; another instance the chance that one of the trusted patterns it stands in is right, leaving out the
-pattern under judgement. What earlier rounds have come to believe is thus evidence for patterns that hold no seed.
+pattern under judgement; a token in the form of a base kind that failed this kind's check has belief 0 and is never
+found. What earlier rounds have come to believe is thus evidence for patterns that hold no seed.
 After the rounds, tokens in a trusted pattern are added as kind ``found``.
 
 Edges and scores are grouped sums with partial aggregation, so a pattern that a third of the rows
@@ -41,6 +42,9 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?<![^\s\"'<>(),;|])[^\s\"'<>(),;|0-9@]*+[0-9@][^\s\"'<>(),;|]*+"
 _IP_VALID = r"^0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?){3}$"
 
+# Tokens in the form of a base kind that are none, as they failed its check.
+_REFUTED = r"^(?:[0-9][0-9-]{12,}[0-9]|[0-9]+(?:\.[0-9]+){3}|\+[0-9().-]+)\.*$"
+
 SPAN = "struct<start: int, kind: int, end: int, body: string, patterns: array<string>>"
 BLOCK = 512
 
@@ -152,6 +156,7 @@ def _places(rows: DataFrame) -> DataFrame:
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """(pattern, evidence, score) of the patterns trusted in the end, from distinct rows (pattern, instance, seed)."""
+    edges = edges.withColumn("refuted", ~F.col("seed") & F.rlike("instance", F.lit(_REFUTED)))
     told = edges.withColumn("belief", F.col("seed").cast("double"))
     for number in range(rounds):
         scores = told.groupBy("pattern").agg(F.sum("belief").alias("evidence"), F.avg("belief").alias("score"))
@@ -165,7 +170,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
         total = edges.join(doubts, "pattern").groupBy("instance").agg(F.sum("own").alias("doubt"))
         told = edges.join(total, "instance", "left").join(doubts, "pattern", "left").select(
             "pattern", "instance", "seed",
-            F.when(F.col("seed"), 1.0).otherwise(
+            F.when(F.col("seed"), 1.0).when(F.col("refuted"), 0.0).otherwise(
                 F.greatest(1 - F.exp(F.coalesce("doubt", F.lit(0.0)) - F.coalesce("own", F.lit(0.0))), F.lit(0.0))).alias("belief"))
     return told
 
@@ -179,7 +184,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: i
     edges = materialise(standing.groupBy("pattern", F.col("body").alias("instance")).agg(
         F.max(F.col("kind") < 4).alias("seed")), "graph")
     good = score_patterns(edges, rounds, min_seeds, min_score).select("pattern")
-    spans = standing.where("kind = 4").join(good, "pattern").select("_row", "start", "kind", "end", "body").distinct()
+    spans = standing.where("kind = 4").where(~F.rlike("body", F.lit(_REFUTED))).join(good, "pattern").select("_row", "start", "kind", "end", "body").distinct()
     found = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
         "start", "kind", "end", "body", F.array().cast("array<string>").alias("patterns")))).alias("found"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
