@@ -43,22 +43,23 @@ _FIRST = "string_split(text, chr(10))[1]"
 _REST = "CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) END"
 
 
-def _raw_lines(spark, sf_dir):
+def _raw_records(spark, sf_dir, pretty=False):
     joined = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "documents"), F.col("page_id") == F.col("doc_id"))
     first = F.substring_index("text", "\n", 1)
     rest = F.when(F.contains("text", F.lit("\n")), F.substring(F.col("text"), F.char_length(first) + 2, F.char_length("text")))
     record = F.to_json(F.struct(
         "source", first.alias("title"), rest.alias("sapo"), F.col("html").alias("body"),
         F.col("doc_id").alias("id"), F.lit("2031-09-05T06:07:08Z").alias("publish"), F.array("lang", "source").alias("keywords"),
-        F.array("lang").alias("cates")))
-    dated = F.replace(record, F.lit('"publish":"2031-09-05T06:07:08Z"'), F.lit('"publish":ISODate("2031-09-05T06:07:08Z")'))
+        F.array("lang").alias("cates")), {"pretty": str(pretty).lower()})
+    # a key is followed by a colon and is not escaped, so no text can look like it
+    dated = F.regexp_replace(record, r'(?<!\\)("publish" ?: ?)"(2031-09-05T06:07:08Z)"', r'$1ISODate("$2")')
     return joined.select(dated.alias("value"))
 
 
-def _read_again(spark, lines):
+def _read_again(spark, records, layout="lines"):
     path = scratch_path(spark, "raw-articles")
-    lines.write.text(path)
-    return readers.read_articles(spark, path)
+    records.write.text(path)
+    return readers.read_articles(spark, path, layout)
 
 
 @query("assemble_articles", sql=f"""
@@ -66,14 +67,14 @@ WITH cleaned AS ({CLEAN_HTML_SQL})
 SELECT doc_id AS id, concat_ws(' ', {_FIRST}, {_REST}, body, lang, source) AS content, lang AS category
 FROM documents JOIN cleaned ON page_id = doc_id""")
 def assemble_articles(spark, sf_dir):
-    articles, _ = _read_again(spark, _raw_lines(spark, sf_dir))
+    articles, _ = _read_again(spark, _raw_records(spark, sf_dir))
     return corpus.assemble_articles(articles)
 
 
 @query("article_rejects", sql="""
 SELECT count(*) AS n_articles, count(*) AS n_rejects, count(*) AS n_dated FROM documents JOIN pages ON page_id = doc_id""")
 def article_rejects(spark, sf_dir):
-    lines = _raw_lines(spark, sf_dir)
+    lines = _raw_records(spark, sf_dir)
     articles, rejects = _read_again(spark, lines.unionByName(lines.select(F.substring("value", 1, 40).alias("value"))))
     dated = articles.select(F.lit(0).alias("r"), F.col("publish").isNotNull().alias("d"))
     both = dated.unionByName(rejects.select(F.lit(1).alias("r"), F.lit(False).alias("d")))
@@ -81,6 +82,22 @@ def article_rejects(spark, sf_dir):
                     F.count_if("d").alias("n_dated"))
 
 
+@query("scan_multiline_records", sql=f"""
+WITH cleaned AS ({CLEAN_HTML_SQL}), joined AS (SELECT * FROM documents JOIN cleaned ON page_id = doc_id)
+SELECT doc_id AS id, true AS whole, concat_ws(' ', {_FIRST}, {_REST}, body, lang, source) AS content, lang AS category FROM joined
+UNION ALL SELECT doc_id, false, NULL, NULL FROM joined""")
+def scan_multiline_records(spark, sf_dir):
+    """Indented records of many lines in files of many records, a copy without its end next to each: the articles and the rejects."""
+    records = _raw_records(spark, sf_dir, pretty=True)
+    cut = records.select(F.expr("substr(value, 1, length(value) - 1)").alias("value"))
+    articles, rejects = _read_again(spark, records.unionByName(cut), "records")
+    found = corpus.assemble_articles(articles).withColumn("whole", F.lit(True))
+    own_id = F.regexp_extract("value", r'\n  "id" : (\d+)', 1).cast("long")
+    lost = rejects.select(own_id.alias("id"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("category"),
+                          F.lit(False).alias("whole"))
+    return found.unionByName(lost).select("id", "whole", "content", "category")
+
+
 @query("read_config", sql=f"""
 WITH {LOG}, best AS (SELECT number FROM log WHERE state = 'COMPLETE' ORDER BY value DESC, number LIMIT 1), {SPACE}
 SELECT lstm_units_1, lstm_units_2, dense_units, dropout_rate, round(learning_rate, 8) AS learning_rate, epochs, batch_size

@@ -37,10 +37,52 @@ def test_raw_articles(spark, tmp_path):
 def test_article_on_several_lines(spark, tmp_path):
     (tmp_path / "one.json").write_text('{\n "id": 9,\n "title": "Two lines",\n "publish": ISODate("2031-09-05T06:07:08Z")\n}')
     (tmp_path / "two.json").write_text("{")
-    raw, rejects = readers.read_articles(spark, str(tmp_path), record_per_file=True)
+    raw, rejects = readers.read_articles(spark, str(tmp_path), layout="files")
     assert [(r["id"], r["title"]) for r in raw.collect()] == [(9, "Two lines")] and rejects.count() == 1
 
 
+def record_file(layout, n=60):
+    """Records with lengths that differ, in one of several layouts; every fifth has no end."""
+    texts = []
+    for i in range(n):
+        record = {"id": i, "title": "Tï {\n{ " + "x" * (i * 7 % 23), "keywords": ["a}", "{b"], "source": "]},"}
+        text = json.dumps(record, ensure_ascii=False, indent=1 + i % 3 if layout != "dense" and i % 4 else None)
+        texts.append(text[:-1 - i % 2] if i % 5 == 0 and i else text)
+    if layout == "array":
+        return "[\n" + ",\n".join(texts) + "\n]\n"
+    return ("\r\n" if layout == "crlf" else "\n").join(texts) + "\n" * (layout == "crlf")
+
+
+@pytest.mark.parametrize("layout", ["mixed", "dense", "array", "crlf"])
+@pytest.mark.parametrize("size", [1 << 20, 701, 97, 64, 31])
+def test_records_are_cut_alike_by_any_split(spark, tmp_path, layout, size):
+    """Whatever byte ranges the tasks get, each record is read once and no unfinished one is taken."""
+    text = record_file(layout)
+    (tmp_path / "big.json").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        raw, rejects = readers.read_articles(spark, str(tmp_path / "big.json"), layout="records")
+        tasks, rows, left = raw.rdd.getNumPartitions(), raw.collect(), rejects.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 1 or size > len(text)
+    broken = [i for i in range(1, 60) if i % 5 == 0]
+    assert sorted(r.id for r in rows) == sorted(set(range(60)) - set(broken))
+    assert len(left) == len(broken) and all(r.value.startswith("{") for r in left)
+    for r in rows:
+        assert r.title == "Tï {\n{ " + "x" * (r.id * 7 % 23) and r.keywords == ["a}", "{b"] and r.source == "]},"
+
+
+def test_records_of_an_empty_file(spark, tmp_path):
+    (tmp_path / "none.json").write_text("")
+    (tmp_path / "blank.json").write_text("\n \n")
+    (tmp_path / "junk.json").write_text("no record")
+    raw, rejects = readers.read_articles(spark, str(tmp_path), layout="records")
+    assert raw.count() == 0 and [r.value for r in rejects.collect()] == ["{no record"]
+
+
 def test_jsonl_keeps_bad_lines(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"id": 1}\n{"id": \n')
     rows = readers.read_jsonl(spark, str(tmp_path / "x.json"), schemas.PROCESSED_ARTICLE, bad="_bad").collect()
