@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.functions import labels, text as txt
-from presswork.operators import corpus, explore, segment, words
+from presswork.operators import corpus, explore, segment, sentences as ends, words
 from presswork.plans import sql_text as s
 from presswork.plans.registry import query, table, text_table
 from presswork.session import materialise
@@ -31,6 +31,81 @@ def split_sentences(spark, sf_dir):
     return rows.filter(F.col("sentence").isNotNull())
 
 
+_TYPE = r"lower(regexp_replace({}, '\.+\z', ''))"
+
+
+def _term(k: str, x: str) -> str:
+    return f"CASE WHEN {k} = 0 THEN 0.0::double ELSE {k} * ln({x}) END"
+
+
+def _likely(k: str, n: str, x: str) -> str:
+    return f"({_term(f'({k})', x)} + {_term(f'({n} - ({k}))', f'1 - {x}')})"
+
+
+SENTENCE_MODEL = rf"""
+lines AS (
+  SELECT doc_id, unnest(ls) AS words, generate_subscripts(ls, 1) AS line FROM (
+    SELECT doc_id, list_transform(string_split_regex({s.stripped('text')}, '
++'),
+      lambda l: list_filter(string_split_regex(l, '[{s.SP}]+'), lambda t: t <> '')) AS ls FROM documents)),
+marks AS MATERIALIZED (
+  SELECT *, {_TYPE.format('token')} AS type, ends_with(token, '.') AS dotted, {_TYPE.format('follows')} AS follower FROM (
+    SELECT *, lead(token) OVER (PARTITION BY doc_id, line ORDER BY pos) AS follows FROM (
+      SELECT doc_id, line, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM lines))),
+types AS MATERIALIZED (SELECT type, count(*) FILTER (dotted) AS n_dotted, count(*) FILTER (NOT dotted) AS n_plain FROM marks GROUP BY 1),
+all_types AS MATERIALIZED (SELECT sum(n_dotted)::double / sum(n_dotted + n_plain)::double AS share, sum(n_dotted + n_plain)::bigint AS n FROM types),
+short AS MATERIALIZED (
+  SELECT type, n_dotted, n_plain, score FROM (
+    SELECT *, -2 * ({_term('n_dotted', 'share')} + {_term('n_plain', '1 - share')} - n_dotted * ln(0.99::double) - n_plain * ln(1 - 0.99::double))
+              * exp(-len(replace(type, '.', ''))) * (len(type) - len(replace(type, '.', '')) + 1)
+              * pow(len(replace(type, '.', ''))::double, -n_plain) AS score
+    FROM types, all_types WHERE n_dotted > 0 AND regexp_matches(type, '\p{{L}}')) WHERE score >= {ends.MIN_ABBREVIATION}),
+after_ends AS MATERIALIZED (
+  SELECT follower AS type, count(*) AS n_after FROM marks
+  WHERE dotted AND regexp_matches(follower, '\p{{L}}') AND regexp_matches(type, '\p{{L}}') AND type NOT IN (SELECT type FROM short) GROUP BY 1),
+first_words AS MATERIALIZED (
+  SELECT type, n_after, own AS n, score FROM (
+    SELECT *, 2 * ({_likely('n_after', 'e', '(n_after / e)')} + {_likely('own - n_after', '(n - e)', '((own - n_after) / (n - e))')}
+                   - {_likely('n_after', 'e', '(own / n)')} - {_likely('own - n_after', '(n - e)', '(own / n)')}) AS score
+    FROM (SELECT type, n_after, n_dotted + n_plain AS own FROM after_ends JOIN types USING (type)), (SELECT n FROM all_types),
+         (SELECT sum(n_after)::bigint AS e FROM after_ends))
+  WHERE score >= {ends.MIN_STARTER} AND n_after / e > own / n)
+"""
+
+
+def _line_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", ends.line_tokens(F.col("text")).alias("lines"))
+
+
+@query("learn_abbreviations", sql=f"""
+WITH {SENTENCE_MODEL}
+SELECT 'abbreviation' AS kind, type, n_dotted AS n_first, n_plain AS n_second, round(score, 6) AS score FROM short
+UNION ALL SELECT 'starter', type, n_after, n, round(score, 4) FROM first_words""")
+def learn_abbreviations(spark, sf_dir):
+    """Abbreviations with their counts with and without a dot; starters with their counts after a sentence's end and in all."""
+    short, first = ends.learn(_line_tokens(spark, sf_dir), "lines")
+    listed = short.select(F.lit("abbreviation").alias("kind"), "type", F.col("n_dotted").alias("n_first"), F.col("n_plain").alias("n_second"),
+                          F.round("score", 6).alias("score"))
+    return listed.unionByName(first.select(
+        F.lit("starter").alias("kind"), "type", F.col("n_after").alias("n_first"), F.col("n").alias("n_second"), F.round("score", 4).alias("score")))
+
+
+@query("split_sentences_learned", sql=rf"""
+WITH {SENTENCE_MODEL},
+ended AS (
+  SELECT *, follows IS NULL OR (dotted AND NOT (type IN (SELECT type FROM short) AND NOT (
+    regexp_matches(follows, '\A\p{{Lu}}') AND follower IN (SELECT type FROM first_words)))) AS last
+  FROM marks),
+numbered AS (
+  SELECT *, coalesce(sum(last::int) OVER (PARTITION BY doc_id ORDER BY line, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM ended)
+SELECT doc_id, sent::int AS sent, string_agg(token, ' ' ORDER BY line, pos) AS sentence FROM numbered GROUP BY 1, 2""")
+def split_sentences_learned(spark, sf_dir):
+    lines = _line_tokens(spark, sf_dir)
+    found = ends.split_learned(lines, "doc_id", "lines", *ends.learn(lines, "lines"))
+    rows = found.select("doc_id", F.posexplode_outer("sentences").alias("sent", "sentence"))
+    return rows.filter(F.col("sentence").isNotNull())
+
+
 @query("tokenize_words", sql=f"WITH {s.TOKENS} SELECT doc_id, sent, pos, token FROM tokens")
 def tokenize_words(spark, sf_dir):
     return words.token_table(_docs(spark, sf_dir), "doc_id", "text").drop("next_token")
