@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.functions import labels, text as txt
-from presswork.operators import corpus, explore, segment, sentences as ends, words
+from presswork.operators import corpus, explore, segment, sentences as ends, tagging, words
 from presswork.plans import sql_text as s
 from presswork.plans.registry import query, table, text_table
 from presswork.session import materialise
@@ -275,6 +275,72 @@ def drop_tags(spark, sf_dir):
     return _dropped(spark, sf_dir).select("doc_id", "sent", "pos", "token", "tag")
 
 
+# the tagged texts to learn from are those of the benchmark: short words are foreign, capitals inside a sentence are names
+FORM_TAG = (r"CASE WHEN NOT regexp_matches({0}, '\p{{L}}') THEN CASE WHEN regexp_matches({0}, '\p{{N}}') THEN 'M' ELSE 'CH' END "
+            r"WHEN {1} > 0 AND regexp_matches({0}, '\A\p{{Lu}}') THEN 'Np' WHEN length({0}) <= 2 THEN 'X' ELSE 'N' END")
+
+
+def _chance(share: str) -> str:
+    return f"round(-1000 * ln({share}))::bigint"
+
+
+TAGGER = f"""
+{s.TOKENS},
+tagged AS MATERIALIZED (
+  SELECT lower(token) AS word, pos, {FORM_TAG.format('token', 'pos')} AS tag, {FORM_TAG.format('next_token', '(pos + 1)')} AS follower, next_token
+  FROM (SELECT *, lead(token) OVER (PARTITION BY item_id, sent ORDER BY pos) AS next_token FROM (
+    SELECT item_id, sent, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos FROM (
+      SELECT item_id, unnest(ss) AS ws, generate_subscripts(ss, 1) AS sent FROM (SELECT item_id, {s.sent_toks('text')} AS ss FROM benchmark))))),
+tags AS MATERIALIZED (SELECT tag, count(*)::double AS n, (SELECT count(DISTINCT tag) FROM tagged) AS k FROM tagged GROUP BY 1),
+pairs AS (
+  SELECT tag, follower, count(*) AS n FROM tagged WHERE next_token IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT '', tag, count(*) FROM tagged WHERE pos = 0 GROUP BY ALL),
+sums AS (SELECT tag, sum(n)::double AS n FROM pairs GROUP BY 1),
+steps AS (
+  SELECT a.tag, list({_chance('(coalesce(p.n, 0) + 1) / (coalesce(sums.n, 0) + b.k)')} ORDER BY b.tag) AS costs
+  FROM (SELECT tag FROM tags UNION ALL SELECT '') a CROSS JOIN tags b
+  LEFT JOIN pairs p ON p.tag = a.tag AND p.follower = b.tag LEFT JOIN sums ON sums.tag = a.tag GROUP BY a.tag),
+matrix AS MATERIALIZED (
+  SELECT list(costs ORDER BY tag) FILTER (tag <> '') AS moves, any_value(costs) FILTER (tag = '') AS opening FROM steps),
+known AS MATERIALIZED (
+  SELECT word, list(CASE WHEN m IS NOT NULL THEN {_chance('m / n')} END ORDER BY tag) AS costs
+  FROM (SELECT DISTINCT word FROM tagged) CROSS JOIN tags LEFT JOIN (SELECT word, tag, count(*) AS m FROM tagged GROUP BY ALL) USING (word, tag) GROUP BY 1),
+endings AS MATERIALIZED (
+  SELECT ending, list({_chance('(coalesce(m, 0) + 1) / (n + (SELECT count(DISTINCT right(word, 2)) FROM tagged))')} ORDER BY tag) AS costs
+  FROM (SELECT DISTINCT right(word, 2) AS ending FROM tagged UNION ALL SELECT NULL) CROSS JOIN tags
+  LEFT JOIN (SELECT right(word, 2) AS ending, tag, count(*) AS m FROM tagged GROUP BY ALL) USING (ending, tag) GROUP BY 1)
+"""
+
+
+@query("tag_sequences", sql=f"""
+WITH RECURSIVE {TAGGER},
+places AS MATERIALIZED (
+  SELECT doc_id, sent, pos, coalesce(w.costs, e.costs, (SELECT costs FROM endings WHERE ending IS NULL)) AS own
+  FROM tokens LEFT JOIN known w ON w.word = lower(token) LEFT JOIN endings e ON e.ending = right(lower(token), 2)),
+walk AS (
+  SELECT doc_id, sent, 0::bigint AS place, list_transform(own, lambda c, j: c + opening[j]) AS costs FROM places CROSS JOIN matrix WHERE pos = 0
+  UNION ALL
+  SELECT w.doc_id, w.sent, place + 1, list_transform(p.own, lambda c, j: c + list_min(list_transform(w.costs, lambda o, i: o + moves[i][j])))
+  FROM walk w JOIN places p ON p.doc_id = w.doc_id AND p.sent = w.sent AND p.pos = w.place + 1 CROSS JOIN matrix),
+last AS (SELECT doc_id, sent, list_min(arg_max(costs, place)) AS cost, max(place) + 1 AS n FROM walk GROUP BY 1, 2)
+SELECT doc_id, coalesce(sum(n), 0)::bigint AS n_tokens, coalesce(sum(cost), 0)::bigint AS cost
+FROM documents LEFT JOIN last USING (doc_id) GROUP BY doc_id""")
+def tag_sequences(spark, sf_dir):
+    """Tokens of each document and the cost of its best tags, which the benchmark's texts taught; added up along the tags chosen."""
+    items = words.token_table(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+    def tag(token, at):
+        named = (at > 0) & token.rlike(r"\A\p{Lu}")
+        return F.when(~token.rlike(txt.LETTER), txt.rule_tag(token)).when(named, "Np").when(F.length(token) <= 2, "X").otherwise("N")
+
+    follower = F.when(F.col("next_token").isNotNull(), tag(F.col("next_token"), F.col("pos") + 1))
+    model = tagging.learn_tagger(items.select(
+        "token", tag(F.col("token"), F.col("pos")).alias("tag"), follower.alias("next_tag"), (F.col("pos") == 0).alias("first")))
+    found = tagging.tag_sequences(_sentences(spark, sf_dir), "doc_id", "sentences", model)
+    return found.select("doc_id", F.coalesce(F.size(F.flatten("tagged.tags")), F.lit(0)).cast("long").alias("n_tokens"),
+                        F.coalesce("tagged.cost", F.lit(0)).cast("long").alias("cost"))
+
+
 @query("lower_tokens", sql=f"WITH {s.TOKENS}, {LEXICON} SELECT doc_id, sent, pos, lower(token) AS word FROM dropped")
 def lower_tokens(spark, sf_dir):
     return _dropped(spark, sf_dir).select("doc_id", "sent", "pos", F.lower("token").alias("word"))
