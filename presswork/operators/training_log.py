@@ -32,10 +32,15 @@ def running_accuracy(log: DataFrame, batch: str, correct: str, loss: str, batch_
 def epoch_metrics(log: DataFrame, keys: list[str], batch: str, correct: str, loss: str) -> DataFrame:
     """Accuracy over rows, loss as mean of batch means, and the row mean next to it."""
     batches = log.groupBy(*keys, batch).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(correct).alias("_hits"), F.sum(loss).alias("_loss"))
-    return batches.groupBy(*keys).agg(
-        F.sum("_n").alias("n_rows"),
-        (F.sum("_hits") / F.sum("_n")).alias("accuracy"),
-        F.avg(F.col("_loss") / F.col("_n")).alias("loss"),
-        (F.sum("_loss") / F.sum("_n")).alias("row_loss"),
+        F.count(F.lit(1)).alias("n_rows"), F.sum(correct).alias("hits"), F.sum(loss).alias("loss"))
+    return metrics_of_batches(batches, keys)
+
+
+def metrics_of_batches(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """``epoch_metrics`` of a log with one row per batch: its rows, hits and summed loss. Batches without rows do not count."""
+    return batches.filter("n_rows > 0").groupBy(*keys).agg(
+        F.sum("n_rows").alias("n_rows"),
+        (F.sum("hits") / F.sum("n_rows")).alias("accuracy"),
+        F.avg(F.col("loss") / F.col("n_rows")).alias("loss"),
+        (F.sum("loss") / F.sum("n_rows")).alias("row_loss"),
     )

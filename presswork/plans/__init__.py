@@ -5,6 +5,7 @@ from presswork.plans import (
     evaluation_queries,
     storage_queries,
     text_queries,
+    training_queries,
     tuning_queries,
     vector_queries,
 )
@@ -12,6 +13,6 @@ from presswork.plans.registry import ORACLES, QUERIES
 from presswork.plans.text_queries import words_per_language as flagship
 
 __all__ = [
-    "ORACLES", "QUERIES", "flagship", "corpus_queries", "evaluation_queries", "storage_queries", "text_queries",
+    "ORACLES", "QUERIES", "flagship", "corpus_queries", "evaluation_queries", "storage_queries", "text_queries", "training_queries",
     "tuning_queries", "vector_queries",
 ]
