@@ -96,6 +96,59 @@ def successive_halving(reports: DataFrame, rungs: Sequence, rung: str, loss: str
     return every.withColumn("survives", F.coalesce("survives", F.lit(False)))
 
 
+RATE_BINS = 16
+SMOOTHING = {-2: 1, -1: 2, 0: 3, 1: 2, 2: 1}  # ninths of a trial that count for the bins around its own
+
+
+def parameter_bins(trials: DataFrame, *keep: str) -> DataFrame:
+    """One row ``(param, bin)`` per trial and parameter: steps of the search space, the rate in bins of equal ratio and the second
+    layer in sixteenths of its own range."""
+    def steps(name: str, bounds: tuple) -> Column:
+        low, _, step = bounds
+        return F.round((F.col(name) - low) / step).cast("int")
+
+    log_low, log_high = math.log(LEARNING_RATE[0]), math.log(LEARNING_RATE[1])
+    rate = F.floor((F.log("learning_rate") - log_low) / (log_high - log_low) * RATE_BINS)
+    half = F.floor(F.col("lstm_units_1") / 2)
+    second = F.floor((F.col("lstm_units_2") - half) * RATE_BINS / (F.col("lstm_units_1") - half + 1))
+    inside = lambda b: F.least(F.greatest(b, F.lit(0)), F.lit(RATE_BINS - 1)).cast("int")
+    bins = {"lstm_units_1": steps("lstm_units_1", LSTM_UNITS_1), "lstm_units_2": inside(second), "dense_units": steps("dense_units", DENSE_UNITS),
+            "dropout_rate": steps("dropout_rate", DROPOUT_RATE), "learning_rate": inside(rate), "epochs": steps("epochs", EPOCHS),
+            "batch_size": steps("batch_size", BATCH_SIZE)}
+    rows = F.array(*[F.struct(F.lit(name).alias("param"), b.alias("bin")) for name, b in bins.items()])
+    return trials.select(*keep, F.explode(rows).alias("_b")).select(*keep, "_b.*")
+
+
+def propose_trials(finished: DataFrame, candidates: DataFrame, best: int, share: float = 0.25, value: str = "value",
+                   number: str = "number") -> DataFrame:
+    """The ``best`` of the candidates ``(number, parameters)`` by density ratio: ``(number, score)``.
+
+    The best ``share`` of the finished trials (highest value, then lowest number) are set against the others. A parameter's
+    density in each group is the smoothed count of trials by bin plus one trial spread over all bins; the score adds the logs of the
+    ratios. The trials are read once, into a table of parameters times bins; a whole batch of candidates is then looked up in it.
+    Without finished trials all scores are 0. Parameters that are null count nowhere.
+    """
+    placed = with_position(finished.select(number, value, *PARAMETERS), F.desc(value), number, name="_place")
+    n = placed.count()
+    n_good = math.ceil(n * share)
+    counts = parameter_bins(placed.withColumn("good", F.col("_place") < n_good), "good").groupBy("param", "bin", "good").agg(
+        F.count(F.lit(1)).alias("n"))
+    around = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in SMOOTHING.items()])
+    spread = counts.select("param", "bin", "good", "n", F.explode(around).alias("s")).groupBy(
+        "param", (F.col("bin") + F.col("s.d")).alias("bin")).agg(
+        F.sum(F.when(F.col("good"), F.col("n") * F.col("s.w")).otherwise(0)).alias("_good"),
+        F.sum(F.when(F.col("good"), 0).otherwise(F.col("n") * F.col("s.w"))).alias("_other"))
+
+    def density(ninths: str, trials: int) -> Column:
+        return (F.coalesce(ninths, F.lit(0)) / 9.0 + 1.0 / RATE_BINS) / (trials + 1.0)
+
+    # at most parameters times bins rows
+    looked_up = parameter_bins(candidates, number).filter("bin is not null").join(F.broadcast(spread), ["param", "bin"], "left")
+    ratio = F.log(density("_good", n_good) / density("_other", n - n_good))
+    scored = looked_up.groupBy(number).agg(F.round(F.sum(ratio), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), number).limit(best)
+
+
 def complete_trials(log: DataFrame, state: str = "state") -> DataFrame:
     return log.filter(F.col(state) == COMPLETE)
 

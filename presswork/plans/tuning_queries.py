@@ -84,6 +84,44 @@ def successive_halving(spark, sf_dir):
     return halved.withColumn("loss", F.round("loss", 6))
 
 
+CANDIDATES, PROPOSALS = 400, 20
+
+
+def _bins_sql(source: str, keep: str) -> str:
+    return f"""
+SELECT {keep}, unnest(['lstm_units_1', 'lstm_units_2', 'dense_units', 'dropout_rate', 'learning_rate', 'epochs', 'batch_size']) AS param,
+       unnest([(lstm_units_1 - 64) // 32, (lstm_units_2 - lstm_units_1 // 2) * 16 // (lstm_units_1 - lstm_units_1 // 2 + 1), (dense_units - 64) // 32,
+               round((dropout_rate - 0.2) * 10)::int,
+               greatest(least(floor((ln(learning_rate) - ln(0.00001::double)) / (ln(0.01::double) - ln(0.00001::double)) * 16), 15), 0)::int,
+               (epochs - 10) // 10, (batch_size - 64) // 32]) AS bin FROM {source}"""
+
+
+@query("propose_trials", sql=f"""
+WITH {LOG}, {SPACE},
+new_numbers AS (SELECT (SELECT max(number) FROM log) + unnest(range(1, {CANDIDATES} + 1)) AS number),
+{SPACE.replace('FROM log', 'FROM new_numbers').replace('draws', 'new_draws').replace('space', 'new_space')},
+placed AS (
+  SELECT space.*, row_number() OVER (ORDER BY value DESC, number) <= ceil(count(*) OVER () * 0.25::double) AS good
+  FROM space JOIN log USING (number) WHERE state = 'COMPLETE'),
+sizes AS (SELECT count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS o FROM placed),
+counts AS (SELECT param, bin, good, count(*) AS n FROM ({_bins_sql('placed', 'good')}) GROUP BY ALL),
+spread AS (
+  SELECT param, bin + d AS bin, sum(CASE WHEN good THEN n * (3 - abs(d)) ELSE 0 END)::double AS good,
+         sum(CASE WHEN good THEN 0 ELSE n * (3 - abs(d)) END)::double AS other
+  FROM counts, (SELECT unnest(range(-2, 3)) AS d) GROUP BY ALL)
+SELECT number, round(sum(ln(((coalesce(good, 0) / 9.0::double + 0.0625::double) / (g + 1))
+                            / ((coalesce(other, 0) / 9.0::double + 0.0625::double) / (o + 1)))), 6) AS score
+FROM ({_bins_sql('new_space', 'number')}) LEFT JOIN spread USING (param, bin), sizes
+GROUP BY number ORDER BY score DESC, number LIMIT {PROPOSALS}""")
+def propose_trials(spark, sf_dir):
+    """The next trials to run: of 400 new draws the 20 that are most like the best finished trials."""
+    log = trial_log(spark, sf_dir)
+    finished = tuning.search_space(tuning.complete_trials(log), keep=("value",))
+    last = log.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+    drawn = tuning.search_space(spark.range(last + 1, last + 1 + CANDIDATES).withColumnRenamed("id", "number"))
+    return tuning.propose_trials(finished, drawn, PROPOSALS)
+
+
 @query("complete_trials", sql=f"WITH {LOG} SELECT number, value, state FROM log WHERE state = 'COMPLETE'")
 def complete_trials(spark, sf_dir):
     return tuning.complete_trials(trial_log(spark, sf_dir)).select("number", "value", "state")
