@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions.text import LETTER
 from presswork.operators.scale import fits_broadcast, lookup_join
-from presswork.session import discard, materialise
+from presswork.session import discard, materialise, ship_code
 
 MAX_LENGTH = 4
 MIN_COUNT = 5
@@ -107,6 +107,7 @@ def segment(df: DataFrame, key: str, sentences: str, lexicon: DataFrame, name: s
     the rows are, and nothing is shuffled; of a larger one only the words that occur in the rows' own runs are joined
     to them by ``key``, which must then be unique.
     """
+    ship_code(df.sparkSession)
     spark = df.sparkSession
     total = lexicon.agg(F.sum("expected")).first()[0] or 1
     unknown = int(spark.range(1).select(F.round(1000 * F.log(F.lit(float(total))))).first()[0])

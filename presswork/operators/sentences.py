@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions.text import LETTER, SPACES, strip_chars
 from presswork.operators.scale import fits_broadcast, lookup_join
-from presswork.session import discard, materialise
+from presswork.session import discard, materialise, ship_code
 
 # Fixed values of the paper: chance of a dot after an abbreviation, and the least scores.
 DOT_AFTER_ABBREVIATION = 0.99
@@ -131,6 +131,7 @@ def split_learned(df: DataFrame, key: str, lines: str, short: DataFrame, first:
     Word lists of checked size go to where the rows are, and nothing is shuffled; of larger ones only a row's own words are
     joined to it by ``key``, which must then be unique. Null texts stay null, texts without tokens have no sentences.
     """
+    ship_code(df.sparkSession)
     lists = [short.select("type", F.col("n_dotted").alias("n"), F.lit("short").alias("kind")),
              first.select("type", "n", F.lit("first").alias("kind"))]
     if all(fits_broadcast(x.select("type")) for x in lists) if fits is None else fits:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.operators.scale import fits_broadcast, lookup_join
-from presswork.session import discard, materialise
+from presswork.session import discard, materialise, ship_code
 
 START = ""
 IMPOSSIBLE = 1 << 40
@@ -109,6 +109,7 @@ def tag_sequences(df: DataFrame, key: str, sentences: str, model: Tagger, name:
     of a row's own words are joined to it by ``key``, which must then be unique. Null stays null; a model
     without tags gives every token a null tag.
     """
+    ship_code(df.sparkSession)
     first, steps, unseen = (np.array(x, dtype=np.int64) for x in (model.first, model.steps, model.unseen))
     tags = model.tags
 

@@ -6,11 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 _stored_at: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -30,6 +33,21 @@ def get_session(app_name: str = "presswork", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send the package's modules to the Python workers, once per application: functions in them are unpickled by module name,
+    and workers need not have the package installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="presswork-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{package.name}-package.zip", "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(f"{folder}/{package.name}-package.zip")
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
