@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions.labels import label_decode, label_encode
 from presswork.functions.scores import cross_entropy, softmax
-from presswork.operators import bayes, corpus, features, learners, linear, scoring, shaping
+from presswork.operators import bayes, corpus, dense, features, learners, linear, scoring, shaping
 from presswork.plans import sql_text as s
 from presswork.plans.corpus_queries import LANGS
 from presswork.plans.registry import query, table
@@ -18,6 +18,7 @@ from presswork.session import materialise, scratch_path
 from presswork.streaming.score_stream import score_stream
 
 BUCKETS = 256
+DENSE = 32
 DIM = 64
 LABELS = list(range(10))
 
@@ -97,6 +98,18 @@ def feature_shapes(spark, sf_dir):
     return features.feature_shapes(rows, "split", "embedding")
 
 
+@query("dense_features")
+def dense_features(spark, sf_dir):
+    """Each document as 32 numbers, by the leading directions of the training rows' features, and the share of its length that they hold.
+
+    The basis is made of floating-point sums without a twin in SQL; the tests hold it against an exact decomposition."""
+    rows = features.store_sparse(feature_rows(spark, sf_dir), "features")
+    projection = dense.fit_projection(rows.filter("split = 'train'"), "features", BUCKETS, DENSE)
+    found = dense.with_dense(rows, "features", projection)
+    return found.select("doc_id", "split", "category", "y", F.transform("dense", lambda x: F.round(x, 6)).alias("features"),
+                        F.round("kept", 6).alias("kept"))
+
+
 # --- centroid models -------------------------------------------------------------------------
 
 EMB = f"""
