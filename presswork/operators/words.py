@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,13 +233,31 @@ def build_vocab(df: DataFrame, words: str, max_words: int | None = None, min_cou
     return vocab.select("token", "n", (F.col("_rank") + FIRST_WORD_ID).cast("int").alias("token_id"))
 
 
-def encode_tokens(df: DataFrame, key: str, words: str, vocab: DataFrame) -> DataFrame:
-    """Token ids per document in word order, unknown words as 3, without start and end ids.
+def _ids_in_rows(words: str, vocab: DataFrame) -> Column:
+    listed = vocab.select("token", F.col("token_id").cast("int")).toArrow()  # of checked size
+    share = vocab.sparkSession.sparkContext.broadcast(listed.combine_chunks())
 
-    Only ``(pos, id)`` pairs are shuffled, already gathered per document on the map side.
+    @F.arrow_udf("array<int>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, ids = (share.value.column(i).combine_chunks() for i in range(2))
+        for texts in batches:
+            found = ids.take(pc.index_in(texts.flatten().cast(tokens.type), value_set=tokens)).fill_null(UNKNOWN_ID)
+            ends = np.concatenate([[0], np.cumsum(texts.value_lengths().fill_null(0).to_numpy())])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+    return look_up(F.col(words))
+
+
+def encode_tokens(df: DataFrame, key: str, words: str, vocab: DataFrame, fits: bool | None = None) -> DataFrame:
+    """Token ids per document in word order, unknown words as 3, without start and end ids; a null word list gives no ids.
+
+    A vocabulary of checked size goes to where the rows are, and nothing is exploded or shuffled. Beyond that only ``(pos, id)`` pairs
+    are shuffled, already gathered per document on the map side, by ``key``, which must then be unique.
     """
+    if fits_broadcast(vocab.select("token", "token_id")) if fits is None else fits:
+        return df.select(key, _ids_in_rows(words, vocab).alias("ids"))
     tokens = df.select(key, F.posexplode_outer(words).alias("pos", "token"))
-    known = lookup_join(tokens, vocab.select("token", "token_id", "n"), ["token"], spread=[key, "pos"], weight="n")
+    known = lookup_join(tokens, vocab.select("token", "token_id", "n"), ["token"], spread=[key, "pos"], weight="n", fits=False)
     pair = F.when(
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("i"))
     )

@@ -60,6 +60,17 @@ def test_vocab_order_and_encoding(spark):
     assert words.build_vocab(docs, "words", min_count=2).count() == 3
 
 
+@pytest.mark.parametrize("listed", [["a", "b", "c"], []])
+def test_both_ways_to_ids_agree(spark, listed):
+    docs = spark.createDataFrame(
+        [(i, None if i % 7 == 0 else [("a", "b", "q", None, "")[(i * k) % 5] for k in range(i % 6)]) for i in range(60)], "id long, words array<string>")
+    vocab = spark.createDataFrame([(w, 9 - i, i + 4) for i, w in enumerate(listed)], "token string, n long, token_id int")
+    near, far = ({r.id: r.ids for r in words.encode_tokens(docs, "id", "words", vocab, fits=f).collect()} for f in (True, False))
+    assert near == far
+    ids = dict(zip(listed, range(4, 9)))
+    assert near == {r.id: [ids.get(w, 3) for w in r.words or []] for r in docs.collect()}
+
+
 @pytest.mark.parametrize("max_words", [1, 2, 7, 40, 10_000])
 def test_vocab_of_limited_size_is_a_prefix_of_the_full_one(spark, max_words):
     texts = [(i, [f"w{i * k % 97}" for k in range(i % 13)]) for i in range(200)]

@@ -62,6 +62,12 @@ def test_compound_words_are_merged_in_their_rows(spark):
     assert "Exchange" not in physical and "Window" not in physical and "Generate" not in physical
 
 
+def test_known_words_become_ids_in_their_rows(docs, spark):
+    kept = docs.select("doc_id", kept_words(F.col("text")).alias("words"))
+    vocab = spark.createDataFrame([("the", 9, 4)], "token string, n long, token_id int")
+    assert "Exchange" not in plan(words.encode_tokens(kept, "doc_id", "words", vocab))
+
+
 def test_ensemble_mean_is_narrow(spark):
     assert "Exchange" not in plan(QUERIES["ensemble_mean_logits"](spark, "/root/testdata/sf0.001"))
     assert "Exchange" not in plan(QUERIES["compare_predictions"](spark, "/root/testdata/sf0.001"))
