@@ -54,6 +54,23 @@ def fit_kfold_centroids(df: DataFrame, label: str, vector: str, fold: str = "kfo
     return _with_bias(model.select("fold", label, "n", F.transform("total", lambda x: x / F.col("n")).alias("mu")))
 
 
+def fit_shrunk_centroids(df: DataFrame, label: str, vector: str, classes: Sequence, settings: Sequence[tuple[float, float]]):
+    """Weights ``(models, classes, dim)`` and biases of one model for each ``(strength, sharpness)``, from one pass over the rows.
+
+    A class mean is drawn to the mean of all classes as if ``strength`` more rows lay there, so a class without rows has that
+    mean; ``sharpness`` scales the scores. Only class sums leave Spark: classes by width, whatever the number of rows or models.
+    """
+    found = {r[label]: r for r in _sums(df.filter(F.col(label).isin(list(classes))), [label], vector).collect()}
+    if not found:
+        raise ValueError("no row of any of the classes")
+    width = len(next(iter(found.values()))["total"])
+    total = np.array([found[c]["total"] if c in found else np.zeros(width) for c in classes])
+    n = np.array([found[c]["n"] if c in found else 0 for c in classes])
+    strength, sharpness = (np.array(column, dtype=float)[:, None, None] for column in zip(*settings))
+    means = (total + strength * (total.sum(0) / n.sum())) / (n[:, None] + strength)
+    return sharpness * means, -0.5 * sharpness[:, :, 0] * (means ** 2).sum(2)
+
+
 def model_arrays(model: DataFrame, label: str, classes: Sequence, fold: str | None = None):
     """Weights ``(models, classes, dim)`` and biases as numpy arrays, for shipping with a task.
 

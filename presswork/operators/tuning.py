@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,18 +78,16 @@ def halving_rung(log: DataFrame, rung: str, loss: str, number: str, eta: int = 3
     )
 
 
-def successive_halving(reports: DataFrame, rungs: Sequence, rung: str, loss: str, number: str, eta: int = 3) -> DataFrame:
+def judged_halving(judge: Callable[[DataFrame | None, Any], DataFrame], rungs: Sequence, rung: str, loss: str, number: str,
+                   eta: int = 3) -> DataFrame:
     """Reports ``(number, rung, loss)`` of the trials that reach each rung, with ``survives``.
 
-    Every trial enters the first rung; only survivors of a rung carry on to the next. One pass per
-    rung, over as many trials as are left.
+    ``judge(trials, step)`` gives ``(number, loss)`` of the trials whose numbers it is handed (None: of all trials, for the first rung).
+    A trial that a rung stops is never judged again, so a judge that fits models fits those of survivors only.
     """
     entered, done = None, []
     for step in rungs:
-        own = reports.filter(F.col(rung) == step).select(number, rung, loss)
-        if entered is not None:
-            own = own.join(entered, number, "left_semi")
-        own = materialise(own, "rung")
+        own = materialise(judge(entered, step).select(number, F.lit(step).alias(rung), loss), "rung")
         kept = materialise(halving_rung(own, rung, loss, number, eta).select(number), "survivors")
         done.append(own.join(kept.withColumn("survives", F.lit(True)), number, "left"))
         entered = kept
@@ -96,6 +95,19 @@ def successive_halving(reports: DataFrame, rungs: Sequence, rung: str, loss: str
     return every.withColumn("survives", F.coalesce("survives", F.lit(False)))
 
 
+def successive_halving(reports: DataFrame, rungs: Sequence, rung: str, loss: str, number: str, eta: int = 3) -> DataFrame:
+    """``judged_halving`` of reports ``(number, rung, loss)`` that are all at hand.
+
+    Every trial enters the first rung; only survivors of a rung carry on to the next. One pass per
+    rung, over as many trials as are left.
+    """
+    def listed(entered: DataFrame | None, step: Any) -> DataFrame:
+        own = reports.filter(F.col(rung) == step)
+        return own if entered is None else own.join(entered, number, "left_semi")
+
+    return judged_halving(listed, rungs, rung, loss, number, eta)
+
+
 RATE_BINS = 16
 SMOOTHING = {-2: 1, -1: 2, 0: 3, 1: 2, 2: 1}  # ninths of a trial that count for the bins around its own
 

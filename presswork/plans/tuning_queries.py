@@ -1,11 +1,14 @@
-"""Tuning tables over orders: order key is the trial number, price its value, status its state."""
+"""Tuning tables over orders (order key is the trial number, price its value, status its state) and trials fitted to embeddings."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from presswork.functions.scores import cross_entropy
 from presswork.functions.text import stable_uniform
-from presswork.operators import tuning
+from presswork.operators import linear, tuning
 from presswork.plans import sql_text as s
 from presswork.plans.registry import query, table
 from presswork.sources import schemas
@@ -59,28 +62,77 @@ def halving_rung(spark, sf_dir):
     return tuning.halving_rung(trial_log(spark, sf_dir), "rung", "value", "number", eta=3).select("number", "rung", "value")
 
 
-RUNGS = (0, 1, 2)
+# Trials of centroid models. A quarter of the rows judges; a rung fits on a ninth, a third, or all of the others.
+TRIALS, JUDGING = 27, 0.25
+RUNGS = {0: 1 / 9, 1: 1 / 3, 2: 1.0}
+STRENGTH, SHARPNESS = (0.1, 100.0), (0.1, 100.0)
+
+
+def _log_even(u, low: float, high: float):
+    return F.exp(F.lit(math.log(low)) + u * F.lit(math.log(high / low)))
+
+
+def _log_even_sql(name: str, low: float, high: float) -> str:
+    return f"exp({math.log(low)!r}::double + {_u(name)} * {math.log(high / low)!r}::double)"
 
 
-def _rung_sql(step: int) -> str:
+def _rung_sql(step: int, share: float) -> str:
     entered = "" if step == 0 else f"WHERE number IN (SELECT number FROM kept{step - 1})"
     return f"""
-rung{step} AS MATERIALIZED (SELECT number, {step} AS rung, value * {_u(f'rung{step}')} AS loss FROM log {entered}),
+sums{step} AS (SELECT label, i, sum(x) AS s, count(*) AS n FROM emb WHERE u >= {JUDGING} AND u < {JUDGING + (1 - JUDGING) * share!r}::double GROUP BY ALL),
+means{step} AS (SELECT i, sum(s) / sum(n) AS m FROM sums{step} GROUP BY 1),
+cells{step} AS (
+  SELECT label, i, coalesce(s, 0) AS s, coalesce(n, 0) AS n, m
+  FROM (SELECT DISTINCT label FROM emb) CROSS JOIN means{step} LEFT JOIN sums{step} USING (label, i)),
+norms{step} AS (SELECT label, max(n) AS n, sum(s * s) AS ss, sum(s * m) AS sm, sum(m * m) AS mm FROM cells{step} GROUP BY 1),
+dots{step} AS (
+  SELECT vec_id, e.label AS own, c.label, sum(x * s) AS a, sum(x * m) AS b
+  FROM emb e JOIN cells{step} c USING (i) WHERE u < {JUDGING} GROUP BY ALL),
+scored{step} AS (
+  SELECT number, vec_id, own, label, sharpness * ((a + strength * b) / (n + strength)
+         - 0.5::double * (ss + 2 * strength * sm + strength * strength * mm) / ((n + strength) * (n + strength))) AS z
+  FROM dots{step} JOIN norms{step} USING (label), (SELECT * FROM trials {entered})),
+lost{step} AS (
+  SELECT number, vec_id, ln(sum(exp(z - top))) + max(top) - max(z) FILTER (label = own) AS l
+  FROM (SELECT *, max(z) OVER (PARTITION BY number, vec_id) AS top FROM scored{step}) GROUP BY ALL),
+rung{step} AS MATERIALIZED (SELECT number, {step} AS rung, avg(l) AS loss FROM lost{step} GROUP BY number),
 kept{step} AS MATERIALIZED (
   SELECT number FROM rung{step} QUALIFY rank() OVER (ORDER BY loss) <= ceil(count(*) OVER () / 3.0))"""
 
 
 @query("successive_halving", sql=f"""
-WITH {LOG}, {", ".join(map(_rung_sql, RUNGS))}
+WITH trials AS (
+  SELECT number, {_log_even_sql('strength', *STRENGTH)} AS strength, {_log_even_sql('sharpness', *SHARPNESS)} AS sharpness
+  FROM (SELECT unnest(range({TRIALS})) AS number)),
+emb AS MATERIALIZED (
+  SELECT vec_id, label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i,
+         {s.hash8("vec_id || ':rows'")} / 4294967296.0::double AS u
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+{", ".join(_rung_sql(r, share) for r, share in RUNGS.items())}
 SELECT number, rung, round(loss, 6) AS loss, survives FROM (
   {" UNION ALL ".join(f"SELECT *, number IN (SELECT number FROM kept{r}) AS survives FROM rung{r}" for r in RUNGS)})""")
 def successive_halving(spark, sf_dir):
-    """Three reports for each trial: its value times a draw made from its number and the rung."""
-    log = trial_log(spark, sf_dir).select("number", "value")
-    draw = lambda r: stable_uniform(F.concat(F.col("number").cast("string"), F.lit(f":rung{r}")))
-    reports = log.select("number", F.inline(F.array(*[
-        F.struct(F.lit(r).alias("rung"), (F.col("value") * draw(r)).alias("loss")) for r in RUNGS])))
-    halved = tuning.successive_halving(reports, RUNGS, "rung", "loss", "number", eta=3)
+    """Trials of shrunk centroid models: each rung fits those that are left on three times the rows and takes their held-out log loss."""
+    u = stable_uniform(F.concat(F.col("vec_id").cast("string"), F.lit(":rows")))
+    usable = table(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null").withColumn("_u", u)
+    classes = sorted(r["label"] for r in usable.select("label").distinct().collect())
+    place = (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("int")
+    held = usable.filter(F.col("_u") < JUDGING).select("embedding", place.alias("y"))
+    draw = lambda name: stable_uniform(F.concat(F.col("number").cast("string"), F.lit(f":{name}")))
+    trials = spark.range(TRIALS).select(F.col("id").alias("number"), _log_even(draw("strength"), *STRENGTH).alias("strength"),
+                                        _log_even(draw("sharpness"), *SHARPNESS).alias("sharpness"))
+
+    def judge(entered, step):
+        own = (trials if entered is None else trials.join(entered, "number", "left_semi")).orderBy("number").collect()
+        seen = usable.filter((F.col("_u") >= JUDGING) & (F.col("_u") < JUDGING + (1 - JUDGING) * RUNGS[step]))
+        weights, bias = linear.fit_shrunk_centroids(seen, "label", "embedding", classes, [(t["strength"], t["sharpness"]) for t in own])
+        scored = held.select("y", linear.linear_logits(F.col("embedding"), weights, bias).alias("_l"))
+        each = scored.select("y", F.posexplode_outer("_l").alias("_at", "_logits")).select(
+            "_at", cross_entropy(F.col("_logits"), F.col("y")).alias("_loss"))
+        numbers = F.array(*[F.lit(t["number"]) for t in own])
+        return each.groupBy(F.get(numbers, F.col("_at")).alias("number")).agg(F.avg("_loss").alias("loss"))
+
+    halved = tuning.judged_halving(judge, list(RUNGS), "rung", "loss", "number", eta=3)
     return halved.withColumn("loss", F.round("loss", 6))
 
 
