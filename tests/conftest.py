@@ -9,9 +9,10 @@ from presswork.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
