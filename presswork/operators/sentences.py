@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.text import LETTER, SPACES, strip_chars
+from presswork.functions.text import LETTER, between_blanks, plain_spaces, strip_chars
 from presswork.operators.scale import fits_broadcast, lookup_join
 from presswork.session import discard, materialise, ship_code
 
@@ -24,7 +24,7 @@ MIN_STARTER = 30.0
 
 def line_tokens(text: Column) -> Column:
     """Array (lines) of arrays (tokens with their dots) of the stripped text."""
-    return F.transform(F.split(strip_chars(text), r"\n+"), lambda line: F.filter(F.split(line, SPACES), lambda t: t != ""))
+    return F.transform(F.split(plain_spaces(strip_chars(text)), r"\n+"), between_blanks)
 
 
 def word_type(token: Column) -> Column:
