@@ -16,6 +16,7 @@ from presswork.session import discard, materialise, ship_code
 START = ""
 IMPOSSIBLE = 1 << 40
 SUFFIX = 2
+ROWS_AT_ONCE = 256  # texts tagged together
 
 
 def suffix_of(word: Column) -> Column:
@@ -99,6 +100,31 @@ def best_tags(costs: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[
     return path[::-1], int(total.min())
 
 
+def best_tags_of(costs: np.ndarray, sizes: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_tags`` of many sentences, one place of all of them at a time: ``costs`` has the words of all, one sentence after
+    the other, ``sizes`` their lengths, none of them 0. Tag numbers in the order of the words, and the total of each sentence."""
+    order = np.argsort(-sizes, kind="stable")
+    begins = (np.cumsum(sizes) - sizes)[order]
+    lasts = sizes[order] - 1
+    longest = int(lasts[0]) + 1
+    going = np.searchsorted(-lasts, -np.arange(longest), side="right")  # sentences that have a word at the place
+    total = first + costs[begins]
+    back = np.zeros(costs.shape, dtype=np.int32)
+    for i in range(1, longest):
+        ways = total[:going[i], :, None] + steps
+        back[begins[:going[i]] + i] = ways.argmin(1)
+        total[:going[i]] = ways.min(1) + costs[begins[:going[i]] + i]
+    tag, path = total.argmin(1), np.zeros(len(costs), dtype=np.int64)
+    for i in range(longest - 1, -1, -1):
+        at = begins[:going[i]] + i
+        path[at] = tag[:going[i]]
+        if i:
+            tag[:going[i]] = back[at, tag[:going[i]]]
+    least = np.empty(len(sizes), dtype=np.int64)
+    least[order] = total.min(1)
+    return path, least
+
+
 TAGGED = "struct<tags: array<array<string>>, cost: bigint>"
 
 
@@ -113,19 +139,33 @@ def tag_sequences(df: DataFrame, key: str, sentences: str, model: Tagger, name:
     first, steps, unseen = (np.array(x, dtype=np.int64) for x in (model.first, model.steps, model.unseen))
     tags = model.tags
 
-    def walk(text, words: dict, suffixes: dict) -> dict | None:
-        if text is None:
-            return None
+    def walk(texts, words: dict, suffixes: dict) -> list[dict | None]:
         if not tags:
-            return {"tags": [[None] * len(tokens) for tokens in text], "cost": 0}
+            return [None if t is None else {"tags": [[None] * len(tokens) for tokens in t], "cost": 0} for t in texts]
+        places: dict[str, int] = {}
+        rows: list[np.ndarray] = []
 
-        def costs(token: str) -> np.ndarray:
+        def place(token: str) -> int:
             word = token.lower()
             own = words.get(word)
-            return suffixes.get(word[-SUFFIX:], unseen) if own is None else own
-
-        found = [best_tags(np.stack([costs(t) for t in tokens]), first, steps) if len(tokens) else ([], 0) for tokens in text]
-        return {"tags": [[tags[i] for i in path] for path, _ in found], "cost": sum(c for _, c in found)}
+            places[token] = len(rows)
+            rows.append(suffixes.get(word[-SUFFIX:], unseen) if own is None else own)
+            return places[token]
+
+        sizes = [len(tokens) for text in texts if text is not None for tokens in text if len(tokens)]
+        at = [places[t] if t in places else place(t) for text in texts if text is not None for tokens in text for t in tokens]
+        path, least = best_tags_of(np.stack(rows)[at], np.array(sizes), first, steps) if at else ((), ())
+        named, costs, begin, found = [tags[i] for i in path], iter(least), 0, []
+        for text in texts:
+            if text is None:
+                found.append(None)
+                continue
+            own = []
+            for tokens in text:
+                own.append(named[begin:begin + len(tokens)])
+                begin += len(tokens)
+            found.append({"tags": own, "cost": sum(int(next(costs)) for tokens in own if tokens)})
+        return found
 
     def filled(keys, rows) -> dict[str, np.ndarray]:
         return {k: np.array([IMPOSSIBLE if c is None or c != c else c for c in row], dtype=np.int64) for k, row in zip(keys, rows)}
@@ -140,7 +180,8 @@ def tag_sequences(df: DataFrame, key: str, sentences: str, model: Tagger, name:
         @F.pandas_udf(TAGGED)
         def with_shared(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield frame([walk(text, *share.value) for text in batch])
+                for i in range(0, len(batch), ROWS_AT_ONCE):
+                    yield frame(walk(batch[i:i + ROWS_AT_ONCE], *share.value))
 
         return df.withColumn(name, F.when(F.col(sentences).isNotNull(), with_shared(F.col(sentences))))
     lowered = F.array_distinct(F.transform(F.flatten(sentences), F.lower))
@@ -153,7 +194,7 @@ def tag_sequences(df: DataFrame, key: str, sentences: str, model: Tagger, name:
     def with_own(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for texts, words, words_costs, suffixes, suffix_costs in batches:
             own = [[{} if k is None else filled(k, c) for k, c in zip(*pair)] for pair in ((words, words_costs), (suffixes, suffix_costs))]
-            yield frame([walk(t, w, x) for t, w, x in zip(texts, *own)])
+            yield frame([walk([t], w, x)[0] for t, w, x in zip(texts, *own)])
 
     return df.withColumn(name, F.when(F.col(sentences).isNotNull(), with_own(
         sentences, "_word.word", "_word.costs", "_suffix.suffix", "_suffix.costs"))).drop("_word", "_suffix")
