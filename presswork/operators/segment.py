@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.text import LETTER
-from presswork.operators.scale import fits_broadcast, lookup_join
+from presswork.operators.scale import count_cut, fits_broadcast, hash_bits, hash_filter, join_own
 from presswork.session import discard, materialise, ship_code
 
 MAX_LENGTH = 4
@@ -19,12 +21,31 @@ ROUNDS = 3
 
 def ngram_counts(df: DataFrame, sentences: str, max_length: int = MAX_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, length, n): all single tokens, and the runs of up to ``max_length`` tokens with a letter that occur ``min_count``
-    times inside sentences; tokens are joined by a blank. One reading of the text, counts combined where they are made."""
-    run = lambda tokens, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_length), F.size(tokens) - i)), lambda k: F.slice(tokens, i + 1, k))
-    runs = F.flatten(F.transform(sentences, lambda tokens: F.flatten(F.transform(tokens, lambda t, i: run(tokens, i)))))
-    kept = F.filter(runs, lambda r: (F.size(r) == 1) | F.forall(r, lambda t: t.rlike(LETTER)))
-    words = df.select(F.explode(F.transform(kept, lambda r: F.struct(F.array_join(r, " ").alias("word"), F.size(r).alias("length")))).alias("w"))
+    times inside sentences; tokens are joined by a blank.
+
+    A run is no more frequent than any pair in it. So pairs are counted first, by a hash alone, and the runs counted by their words
+    are those whose pairs all have a hash seen ``min_count`` times: few of all, and never too few.
+    """
+    per_sentence = df.select(F.explode_outer(sentences).alias("_s")).select("_s", F.posexplode_outer("_s").alias("_i", "w0"))
+    places = per_sentence.filter(F.col("w0").isNotNull()).select("w0", *[F.get("_s", F.col("_i") + k).alias(f"w{k}") for k in range(1, max_length)])
+
+    def pair(k: int) -> Column:
+        first, second = F.col(f"w{k - 1}"), F.col(f"w{k}")
+        return F.when(first.rlike(LETTER) & second.rlike(LETTER), F.xxhash64(first, second))
+
+    runs = [F.struct(F.col("w0").alias("word"), F.lit(1).alias("length"))]
+    if max_length > 1:
+        hashed = places.select(pair(1).alias("_h")).filter(F.col("_h").isNotNull())
+        often = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+        hashes = materialise(often.select("_h"), "run-hashes")
+        may_be = hash_filter(hashes, "_h")
+        discard(hashes)
+        places = places.select("*", *[pair(k).alias(f"_h{k}") for k in range(1, max_length)])
+        places = places.select("*", *[may_be(F.col(f"_h{k}")).alias(f"_p{k}") for k in range(1, max_length)])
+        for size in range(2, max_length + 1):
+            whole = reduce(lambda a, b: a & b, [F.col(f"_p{k}") for k in range(1, size)])
+            runs.append(F.when(whole, F.struct(F.concat_ws(" ", *[f"w{k}" for k in range(size)]).alias("word"), F.lit(size).alias("length"))))
+    words = places.select(F.explode_outer(F.array_compact(F.array(*runs))).alias("w"))
     counts = words.groupBy("w.word", "w.length").agg(F.count(F.lit(1)).alias("n"))
     return counts.filter((F.col("length") == 1) | (F.col("n") >= min_count))
 
@@ -96,6 +117,22 @@ def best_path(tokens: list[str], cost: dict[str, int], unknown: int, max_length:
     return words[::-1], best[-1]
 
 
+def unlisted(text, cost: dict[str, int], marks: bytes, max_length: int) -> list[str] | None:
+    """The runs of a text that ``cost`` lacks and whose checksum has its bit set in ``marks``."""
+    if text is None:
+        return None
+    found, mask = set(), len(marks) * 8 - 1
+    for tokens in map(list, text):
+        for i in range(len(tokens)):
+            for k in range(1, min(max_length, len(tokens) - i) + 1):
+                word = tokens[i] if k == 1 else " ".join(tokens[i:i + k])
+                if word not in cost:
+                    slot = crc32(word.encode()) & mask
+                    if marks[slot >> 3] >> (slot & 7) & 1:
+                        found.add(word)
+    return list(found)
+
+
 SEGMENTED = "struct<words: array<array<string>>, cost: bigint>"
 
 
@@ -104,8 +141,8 @@ def segment(df: DataFrame, key: str, sentences: str, lexicon: DataFrame, name: s
     """Add a struct of the segmented ``words`` (sentences of words, syllables joined by "_") and their total ``cost``.
 
     A token that the lexicon does not list costs as much as a word expected once. A lexicon of checked size goes to where
-    the rows are, and nothing is shuffled; of a larger one only the words that occur in the rows' own runs are joined
-    to them by ``key``, which must then be unique.
+    the rows are, and nothing is shuffled; of a larger one the most frequent words do, and a row's own others are joined to it
+    by ``key``, which must then be unique.
     """
     ship_code(df.sparkSession)
     spark = df.sparkSession
@@ -128,20 +165,38 @@ def segment(df: DataFrame, key: str, sentences: str, lexicon: DataFrame, name: s
                 yield _frame([walk(text, share.value) for text in batch])
 
         return df.withColumn(name, F.when(F.col(sentences).isNotNull(), with_shared(F.col(sentences))))
-    run = lambda tokens, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_length), F.size(tokens) - i)), lambda k: F.array_join(F.slice(tokens, i + 1, k), " "))
-    runs = F.array_distinct(F.flatten(F.transform(sentences, lambda tokens: F.flatten(F.transform(tokens, lambda t, i: run(tokens, i))))))
-    own = lookup_join(df.select(key, F.explode(runs).alias("word")), lexicon.select("word", "cost", "n"), ["word"], spread=[key],
-                      how="inner", weight="n", fits=False)
-    costs = own.groupBy(key).agg(F.collect_list("word").alias("_w"), F.collect_list("cost").alias("_c"))
+    stored = materialise(lexicon.select("word", "cost", "n"), "lexicon-words")
+    cut = count_cut(stored, "n")
+    frequent = (F.col("n") >= cut) if cut is not None else F.lit(False)
+    rare = stored.filter(~frequent).select("word", "cost")
+    marks = hash_bits(rare.select(F.crc32("word").alias("_h")), "_h").tobytes()
+    share = spark.sparkContext.broadcast(({r["word"]: r["cost"] for r in stored.filter(frequent).toLocalIterator()}, marks))
+
+    @F.pandas_udf("array<string>")
+    def beyond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([unlisted(text, *share.value, max_length) for text in batch])
+
+    wanted = df.select(key, F.explode_outer(beyond(F.col(sentences))).alias("word")).filter(F.col("word").isNotNull())
+    own = wanted.join(rare.hint("merge"), "word").groupBy(key).agg(F.collect_list(F.struct("word", "cost")).alias("_own"))
+
+    def with_both(text, cost: dict[str, int], words, numbers) -> dict | None:
+        if words is None:
+            return walk(text, cost)
+        cost.update(zip(words, map(int, numbers)))
+        try:
+            return walk(text, cost)
+        finally:
+            for word in words:
+                cost.pop(word, None)
 
     @F.pandas_udf(SEGMENTED)
     def with_own(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, words, numbers in batches:
-            yield _frame([walk(t, {} if w is None else dict(zip(w, map(int, n)))) for t, w, n in zip(texts, words, numbers)])
+            yield _frame([with_both(t, share.value[0], w, n) for t, w, n in zip(texts, words, numbers)])
 
-    return df.join(costs, key, "left").withColumn(
-        name, F.when(F.col(sentences).isNotNull(), with_own(sentences, "_w", "_c"))).drop("_w", "_c")
+    return join_own(df, key, own).withColumn(
+        name, F.when(F.col(sentences).isNotNull(), with_own(sentences, "_own.word", "_own.cost"))).drop("_own")
 
 
 def _frame(rows: list[dict | None]) -> pd.DataFrame:
