@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.functions.scores import mean_of_models
-from presswork.operators.scale import BROADCAST_ROWS, fits_broadcast, lookup_join
+from presswork.operators.scale import BROADCAST_BYTES, BROADCAST_ROWS, count_cut, fits_broadcast, lookup_join
 from presswork.session import materialise
 
+TOKEN_BYTES = 32  # allowed for a word beside its weights
+
 
 @dataclass
 class BayesModel:
@@ -40,17 +45,30 @@ class BayesModel:
         return BayesModel(tuple(r["label"] for r in rows), table, [r["prior"] for r in rows], fits_broadcast(table))
 
 
+def _cell_counts(df: DataFrame, words: str, cell: Column, names: Sequence[str]) -> DataFrame:
+    """``(token, names...)``: occurrences of a word in the rows of each cell, numbered in the order of ``names``.
+
+    One number per word and cell is counted map-side, so a frequent word costs one row per cell and task; the few cells of a
+    word become columns after that.
+    """
+    tokens = df.select(cell.alias("_cell"), F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
+    counted = tokens.groupBy("token", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy("token").agg(*[
+        F.coalesce(F.sum(F.when(F.col("_cell") == i, F.col("_n"))), F.lit(0)).alias(name) for i, name in enumerate(names)])
+
+
+def _class_code(label: str, classes: Sequence[str]) -> Column:
+    return F.coalesce(*[F.when(F.col(label) == c, i) for i, c in enumerate(classes)])
+
+
 def fit(df: DataFrame, label: str, words: str, classes: Sequence[str], smoothing: float = 1.0,
         min_count: int = 1) -> BayesModel:
     """Log likelihoods with additive smoothing and smoothed log priors.
 
-    One shuffle: word occurrences are counted per class map-side, so a frequent word costs one
-    row per task. The word table is stored, since scoring reads it again.
+    Words are counted per class map-side. The word table is stored, since scoring reads it again.
     """
     known = df.filter(F.col(label).isin(*classes))
-    tokens = known.select(label, F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
-    per_class = [F.count(F.when(F.col(label) == c, 1)).alias(f"n{i}") for i, c in enumerate(classes)]
-    counted = tokens.groupBy("token").agg(*per_class)
+    counted = _cell_counts(known, words, _class_code(label, classes), [f"n{i}" for i in range(len(classes))])
     counts = materialise(counted.filter(sum(F.col(f"n{i}") for i in range(len(classes))) >= min_count), "word-counts")
     totals = counts.agg(
         F.count(F.lit(1)).alias("v"),
@@ -70,17 +88,79 @@ def fit(df: DataFrame, label: str, words: str, classes: Sequence[str], smoothing
     return BayesModel(tuple(classes), table, priors, fits_broadcast(table))
 
 
+def _head_columns(words: str, head: DataFrame, cells: int) -> tuple[Column, Column]:
+    """The summed weights of a row's words in ``head``, and the row's other words."""
+    listed = head.select("token", "weights").toArrow().combine_chunks()  # of checked size
+    weights = pc.list_flatten(listed.column("weights")).to_numpy().reshape(-1, cells)
+    # one line of weights per cell, with zero at the end for words that are not listed
+    lines = np.ascontiguousarray(np.vstack([weights, np.zeros((1, cells))]).T)
+    context = head.sparkSession.sparkContext
+    names, shared_lines = context.broadcast(listed.select(["token"])), context.broadcast(lines)
+
+    @F.arrow_udf("array<double>")
+    def summed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = pa.concat_arrays(names.value.column(0).chunks or [pa.array([], pa.string())])
+        for texts in batches:
+            at = pc.index_in(texts.flatten().cast(tokens.type), value_set=tokens).fill_null(len(tokens)).to_numpy()
+            sizes = texts.value_lengths().fill_null(0).to_numpy()
+            filled = np.flatnonzero(sizes)
+            starts = (np.cumsum(sizes) - sizes)[filled]
+            sums = np.zeros((len(texts), cells))
+            if filled.size:
+                for cell, line in enumerate(shared_lines.value):
+                    sums[filled, cell] = np.add.reduceat(line[at], starts)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * cells, pa.int32()), pa.array(sums.ravel()))
+
+    @F.arrow_udf("array<string>")
+    def beyond(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = pa.concat_arrays(names.value.column(0).chunks or [pa.array([], pa.string())])
+        for texts in batches:
+            flat = texts.flatten().cast(tokens.type)
+            rare = pc.index_in(flat, value_set=tokens).is_null()
+            ends = np.concatenate([[0], np.cumsum(texts.value_lengths().fill_null(0).to_numpy())])
+            upto = np.concatenate([[0], np.cumsum(rare.to_numpy(zero_copy_only=False))])
+            yield pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), flat.filter(rare).cast(pa.string()))
+
+    return summed(F.col(words)), beyond(F.col(words))
+
+
+def _summed_weights(df: DataFrame, key: list[str], words: str, weighted: DataFrame, cells: int, fits: bool) -> DataFrame:
+    """``(key, s0, s1, ...)``: the weights of a key's words, from ``weighted`` with ``(token, weights, n)``, added up by cell.
+
+    The most frequent words go to where the rows are and are summed inside them; beside a table of checked size that is all. Of
+    a larger one a row's other words, few of all, are joined to the rest.
+    """
+    cut = 0 if fits else count_cut(weighted, "n", _head_rows(cells))
+    in_head = F.col("n") >= cut if cut is not None else F.lit(False)
+    summed, beyond = _head_columns(words, weighted.filter(in_head), cells)
+    parts = df.select(*key, summed.alias("weights"))
+    if not fits:
+        tail = weighted.filter(~in_head).select("token", "weights")
+        rare = df.select(*key, F.explode_outer(beyond).alias("token")).filter(F.col("token").isNotNull())
+        parts = parts.unionByName(rare.join(tail.hint("merge"), "token").select(*key, "weights"))
+    return parts.groupBy(*key).agg(*[F.sum(F.get("weights", F.lit(i))).alias(f"s{i}") for i in range(cells)])
+
+
+def _head_rows(cells: int) -> int:
+    return min(BROADCAST_ROWS, BROADCAST_BYTES // (8 * cells + TOKEN_BYTES))
+
+
 def score(df: DataFrame, key: list[str], words: str, model: BayesModel) -> DataFrame:
     """``(key, logits)``; words outside the model count for nothing.
 
-    The words of a document meet the model where they are exploded and are summed there: only one
-    partial sum per document and task is shuffled.
+    The words of a document meet the model where they are and are summed there: only one partial sum per document and task
+    is shuffled. Beside a model too large for that, so it is done with its most frequent words.
     """
-    tokens = df.select(*key, F.explode_outer(words).alias("token"))
-    scored = lookup_join(tokens, model.table, ["token"], spread=key, weight="n", fits=model.fits)
-    sums = [F.sum(F.get("theta", F.lit(i))).alias(f"s{i}") for i in range(len(model.classes))]
+    classes = len(model.classes)
+    if fits_broadcast(model.table) if model.fits is None else model.fits:
+        tokens = df.select(*key, F.explode_outer(words).alias("token"))
+        scored = lookup_join(tokens, model.table, ["token"], spread=key, weight="n", fits=True)
+        summed = scored.groupBy(*key).agg(*[F.sum(F.get("theta", F.lit(i))).alias(f"s{i}") for i in range(classes)])
+    else:
+        weighted = model.table.select("token", F.col("theta").alias("weights"), "n")
+        summed = _summed_weights(df, key, words, weighted, classes, False)
     logits = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(prior) for i, prior in enumerate(model.priors)]
-    return scored.groupBy(*key).agg(*sums).select(*key, F.array(*logits).alias("logits"))
+    return summed.select(*key, F.array(*logits).alias("logits"))
 
 
 @dataclass
@@ -100,37 +180,36 @@ def fit_kfold(df: DataFrame, label: str, words: str, classes: Sequence[str], fol
               smoothing: float = 1.0) -> FoldedBayesModel:
     """The model of a fold learns from all other folds: counts are total less held-out counts, in one pass over the text."""
     known = df.filter(F.col(label).isin(*classes) & F.col(fold).between(0, folds - 1))
-    tokens = known.select(label, fold, F.explode_outer(words).alias("token")).filter(F.col("token").isNotNull())
     cells = [(f, i) for f in range(folds) for i in range(len(classes))]
-    held = tokens.groupBy("token").agg(*[
-        F.count(F.when((F.col(fold) == f) & (F.col(label) == classes[i]), 1)).alias(f"h{f}_{i}") for f, i in cells])
+    held = _cell_counts(known, words, F.col(fold) * len(classes) + _class_code(label, classes), [f"h{f}_{i}" for f, i in cells])
     totals = {i: sum(F.col(f"h{f}_{i}") for f in range(folds)) for i in range(len(classes))}
-    counts = materialise(held.select("token", *[(totals[i] - F.col(f"h{f}_{i}")).alias(f"n{f}_{i}") for f, i in cells]), "fold-counts")
-    seen = [sum(F.col(f"n{f}_{i}") for i in range(len(classes))) for f in range(folds)]
+    rest = held.select("token", *[(totals[i] - F.col(f"h{f}_{i}")).alias(f"n{f}_{i}") for f, i in cells])
+    seen = {f: sum(F.col(f"n{f}_{i}") for i in range(len(classes))) for f in range(folds)}
+    counts = materialise(rest.select("*", *[seen[f].alias(f"n{f}") for f in range(folds)]), "fold-counts")
     sums = counts.agg(*[F.coalesce(F.sum(f"n{f}_{i}"), F.lit(0)).alias(f"n{f}_{i}") for f, i in cells],
-                      *[F.count_if(seen[f] > 0).alias(f"v{f}") for f in range(folds)]).first()
+                      *[F.count_if(F.col(f"n{f}") > 0).alias(f"v{f}") for f in range(folds)],
+                      F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
     docs = {(r[label], r[fold]): r["n"] for r in known.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n")).collect()}
     priors = []
     for f in range(folds):
         own = [sum(n for (c, g), n in docs.items() if c == cls and g != f) for cls in classes]
         priors.append([math.log((n + smoothing) / (sum(own) + smoothing * len(classes))) for n in own])
-    theta = F.array(*[
-        F.array(*[
-            F.when(seen[f] > 0, F.log((F.col(f"n{f}_{i}") + smoothing) / F.lit(sums[f"n{f}_{i}"] + smoothing * sums[f"v{f}"]))).otherwise(0.0)
-            for i in range(len(classes))])
-        for f in range(folds)])
-    table = counts.select("token", theta.alias("theta"), seen[0].alias("n"))
-    # two levels of arrays are wider than the general size check counts, so the row limit is lowered alike
-    return FoldedBayesModel(tuple(classes), table, priors, fits_broadcast(table, BROADCAST_ROWS // folds))
+    masses = F.array(*[F.array(*[F.lit(sums[f"n{f}_{i}"] + smoothing * sums[f"v{f}"]) for i in range(len(classes))]) for f in range(folds)])
+    per_fold = F.array(*[F.struct(F.col(f"n{f}").alias("seen"), F.array(*[F.col(f"n{f}_{i}") for i in range(len(classes))]).alias("n"))
+                         for f in range(folds)])
+    # lambdas over arrays: written out, so many cells make a method that Java does not compile
+    theta = F.zip_with(per_fold, masses, lambda own, mass: F.zip_with(
+        own["n"], mass, lambda n, m: F.when(own["seen"] > 0, F.log((n + smoothing) / m)).otherwise(0.0)))
+    table = counts.select("token", theta.alias("theta"), sum(F.col(f"n{f}") for f in range(folds)).alias("n"))
+    fits = sums["rows"] <= _head_rows(len(cells)) and sums["bytes"] + 8 * len(cells) * sums["rows"] <= BROADCAST_BYTES
+    return FoldedBayesModel(tuple(classes), table, priors, fits)
 
 
 def score_kfold(df: DataFrame, key: list[str], words: str, model: FoldedBayesModel) -> DataFrame:
     """``(key, model_logits, logits)``: logits of every fold's model, and their mean over the models."""
-    tokens = df.select(*key, F.explode_outer(words).alias("token"))
     folds, classes = len(model.priors), len(model.classes)
-    scored = lookup_join(tokens, model.table, ["token"], spread=key, weight="n", fits=model.fits, max_rows=BROADCAST_ROWS // folds)
-    sums = [F.sum(F.get(F.get("theta", F.lit(f)), F.lit(i))).alias(f"s{f}_{i}") for f in range(folds) for i in range(classes)]
+    weighted = model.table.select("token", F.flatten("theta").alias("weights"), "n")
+    summed = _summed_weights(df, key, words, weighted, folds * classes, bool(model.fits))
     logits = F.array(*[
-        F.array(*[F.coalesce(f"s{f}_{i}", F.lit(0.0)) + F.lit(model.priors[f][i]) for i in range(classes)]) for f in range(folds)])
-    summed = scored.groupBy(*key).agg(*sums).select(*key, logits.alias("model_logits"))
-    return summed.withColumn("logits", mean_of_models(F.col("model_logits")))
+        F.array(*[F.coalesce(f"s{f * classes + i}", F.lit(0.0)) + F.lit(model.priors[f][i]) for i in range(classes)]) for f in range(folds)])
+    return summed.select(*key, logits.alias("model_logits")).withColumn("logits", mean_of_models(F.col("model_logits")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text as txt
-from presswork.operators import scale, segment, tagging, words
+from presswork.operators import bayes, scale, segment, tagging, words
 
 RNG = random.Random(7)
 TEXTS = [" ".join(RNG.choice(["hà", "nội", "đẹp", "a1", "b", "c.", "d\n", "e", "12", "_", ".", "f!"]) for _ in range(RNG.randint(1, 30)))
@@ -103,3 +103,55 @@ def test_many_sentences_are_tagged_as_each_alone():
         own = tagging.best_tags(costs[begin:begin + size], first, steps)
         assert (path[begin:begin + size].tolist(), int(total)) == own
         begin += size
+
+
+@pytest.fixture(scope="module")
+def labelled(docs):
+    rows = docs.filter("id is not null").select("id", "words", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("z")), (F.col("id") % 3 + 1).cast("int")).alias("label"),
+                                                (F.col("id") % 4).cast("int").alias("kfold"))
+    return rows.cache()
+
+
+def _close(got, want):
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs):
+    """Texts without words, a repeated key, a null key, and words that no model has seen."""
+    more = spark.createDataFrame([(1, ["e", "new"]), (None, ["b"]), (200, []), (201, None), (202, [None, "e"])], "id long, words array<string>")
+    return docs.select("id", "words").union(more).cache()
+
+
+def test_bayes_beside_a_large_model(labelled, odd, monkeypatch):
+    model = bayes.fit(labelled, "label", "words", ["a", "b"])
+    assert model.fits
+    want = {r.id: r.logits for r in bayes.score(odd, ["id"], "words", model).collect()}
+    for cut in (1, 60, None):
+        monkeypatch.setattr(bayes, "count_cut", lambda table, weight, rows, cut=cut: cut)
+        scored = bayes.score(odd, ["id"], "words", bayes.BayesModel(model.classes, model.table, model.priors, False))
+        _close({r.id: r.logits for r in scored.collect()}, want)
+
+
+def test_folded_bayes_is_summed_inside_the_rows(labelled, odd, monkeypatch):
+    classes = ["a", "b"]
+    model = bayes.fit_kfold(labelled, "label", "words", classes, folds=4)
+    assert model.fits
+    scored = bayes.score_kfold(odd, ["id"], "words", model)
+    assert "Generate" not in scored._jdf.queryExecution().optimizedPlan().toString()  # no row per word
+    # each fold's model is the one fitted on the other folds alone
+    alone = [bayes.fit(labelled.filter(F.col("kfold") != f), "label", "words", classes) for f in range(4)]
+    each = [{r.id: r.logits for r in bayes.score(odd, ["id"], "words", m).collect()} for m in alone]
+    want = {k: [m[k] for m in each] for k in each[0]}
+    _close({r.id: r.model_logits for r in scored.collect()}, want)
+    _close({r.id: r.logits for r in scored.collect()}, {k: np.mean(v, axis=0) for k, v in want.items()})
+    for cut in (1, 60, None):
+        monkeypatch.setattr(bayes, "count_cut", lambda table, weight, rows, cut=cut: cut)
+        large = bayes.FoldedBayesModel(model.classes, model.table, model.priors, False)
+        _close({r.id: r.model_logits for r in bayes.score_kfold(odd, ["id"], "words", large).collect()}, want)
+
+
+def test_head_of_a_large_model_is_bounded():
+    for cells in (1, 4, 20, 500):
+        assert bayes._head_rows(cells) <= scale.BROADCAST_ROWS and bayes._head_rows(cells) * 8 * cells <= scale.BROADCAST_BYTES
