@@ -61,9 +61,9 @@ def ml_tfidf(spark, sf_dir):
     return rows.select("doc_id", total.alias("n_terms"), F.col("features.size").alias("dim"), (finite & same).alias("weighted"))
 
 
-def feature_rows(spark, sf_dir):
-    """``(doc_id, split, category, y, features)`` in one narrow pass over the documents."""
-    rows = _tfidf(spark, sf_dir, "lang")
+def feature_rows(spark, sf_dir, kept=None):
+    """``(doc_id, split, category, y, features)`` in one narrow pass over the documents, or over their ``kept`` words."""
+    rows = _tfidf(spark, sf_dir, "lang") if kept is None else features.tfidf(kept.select("doc_id", "words", "lang"), "words", BUCKETS)
     return rows.select(
         "doc_id", corpus.split_of(F.col("doc_id")).alias("split"), F.col("lang").alias("category"),
         label_encode(F.col("lang"), LANGS).alias("y"), "features")
@@ -272,12 +272,13 @@ nb_pred AS (
 """
 
 
-def _split_docs(spark, sf_dir):
-    return kept_docs(spark, sf_dir, "lang").withColumn("split", corpus.split_of(F.col("doc_id")))
+def _split_docs(spark, sf_dir, kept=None):
+    kept = kept_docs(spark, sf_dir, "lang") if kept is None else kept.select("doc_id", "words", "lang")
+    return kept.withColumn("split", corpus.split_of(F.col("doc_id")))
 
 
-def _nb_model(spark, sf_dir):
-    return bayes.fit(_split_docs(spark, sf_dir).filter(F.col("split") == "train"), "lang", "words", LANGS)
+def _nb_model(spark, sf_dir, kept=None):
+    return bayes.fit(_split_docs(spark, sf_dir, kept).filter(F.col("split") == "train"), "lang", "words", LANGS)
 
 
 @query("nb_fit", sql=f"WITH {NB} SELECT token, {_each('round(theta_{c}, 6) AS theta_{c}')} FROM theta")
@@ -300,9 +301,9 @@ test AS (SELECT * FROM kept WHERE {s.split_of('doc_id')} = 'test'),
 SELECT doc_id, lang AS y_true, y_pred, round(confidence, 6) AS confidence FROM nb_pred JOIN test USING (doc_id)"""
 
 
-def test_set_predictions(spark, sf_dir):
-    model = _nb_model(spark, sf_dir)
-    test = _split_docs(spark, sf_dir).filter(F.col("split") == "test")
+def test_set_predictions(spark, sf_dir, kept=None):
+    model = _nb_model(spark, sf_dir, kept)
+    test = _split_docs(spark, sf_dir, kept).filter(F.col("split") == "test")
     scored = bayes.score(test, ["doc_id", "lang"], "words", model)
     return _labelled(scored, "doc_id", F.col("lang").alias("y_true"))
 
@@ -374,10 +375,13 @@ BEST_OF = "CASE " + " ".join(
     f"WHEN l_{c} >= greatest({', '.join(f'l_{o}' for o in LANGS)}) THEN '{c}'" for c in LANGS) + " END"
 
 
-def _kfold_bayes(spark, sf_dir):
-    docs = kept_docs(spark, sf_dir, "lang")
+def _folded_words(spark, sf_dir):
     # folds are made from keys and labels; the stored word lists are read for fitting and for scoring
-    folded = materialise(shaping.stratified_kfold(docs, "lang", "doc_id"), "folded-words")
+    return materialise(shaping.stratified_kfold(kept_docs(spark, sf_dir, "lang"), "lang", "doc_id"), "folded-words")
+
+
+def _kfold_bayes(spark, sf_dir, folded=None):
+    folded = _folded_words(spark, sf_dir) if folded is None else folded
     return bayes.score_kfold(folded, ["doc_id", "lang", "kfold"], "words", bayes.fit_kfold(folded, "lang", "words", LANGS))
 
 
@@ -410,11 +414,12 @@ def _renamed(sql: str, *names: str) -> str:
 def _three_models(spark, sf_dir):
     """Three models of different jobs side by side on the test split: word counts of the training split, the k-fold
     ensemble, and logistic regression on tf-idf, whose label is compared with the one recomputed from its weights."""
-    single = test_set_predictions(spark, sf_dir).select("doc_id", F.lit("bayes").alias("model"), F.col("y_pred").alias("label"))
+    kept = _folded_words(spark, sf_dir)  # texts are cut into words once, for all three models
+    single = test_set_predictions(spark, sf_dir, kept).select("doc_id", F.lit("bayes").alias("model"), F.col("y_pred").alias("label"))
     test_keys = corpus.split_of(F.col("doc_id")) == "test"
-    folds = _kfold_bayes(spark, sf_dir).filter(test_keys).select(
+    folds = _kfold_bayes(spark, sf_dir, kept).filter(test_keys).select(
         "doc_id", F.lit("ensemble").alias("model"), scoring.predicted_label(F.col("logits"), LANGS).alias("label"))
-    rows = materialise(feature_rows(spark, sf_dir).select(
+    rows = materialise(feature_rows(spark, sf_dir, kept).select(
         "doc_id", "split", F.col("y").cast("double").alias("y"), "features"), "text-features")
     model = learners.logistic_regression(max_iter=20).fit(rows.filter(F.col("split") == "train"))
     scored = learners.with_recomputed(model.transform(rows.filter(F.col("split") == "test")), model)

@@ -168,3 +168,12 @@ def test_three_models_side_by_side(spark):
     side = QUERIES["models_side_by_side"](spark, "/root/testdata/sf0.001").collect()
     assert len(side) == len(rows) and all(r.n_agree == [r.ensemble, r.logistic].count(r.bayes) + 1 for r in side)
     assert sum(r.n_agree == 3 for r in side) > len(side) / 2
+
+
+def test_three_models_cut_the_texts_once(spark, monkeypatch):
+    from presswork.plans import vector_queries
+
+    cuts, kept_docs = [], vector_queries.kept_docs
+    monkeypatch.setattr(vector_queries, "kept_docs", lambda *a: cuts.append(a) or kept_docs(*a))
+    wide = vector_queries._three_models(spark, "/root/testdata/sf0.001")
+    assert len(cuts) == 1 and wide.count() > 0
