@@ -4,11 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text as txt
-from presswork.operators import bayes, scale, segment, tagging, words
+from presswork.operators import bayes, counting, mapped, scale, segment, tagging, words
 
 RNG = random.Random(7)
 TEXTS = [" ".join(RNG.choice(["hà", "nội", "đẹp", "a1", "b", "c.", "d\n", "e", "12", "_", ".", "f!"]) for _ in range(RNG.randint(1, 30)))
@@ -155,3 +156,37 @@ def test_folded_bayes_is_summed_inside_the_rows(labelled, odd, monkeypatch):
 def test_head_of_a_large_model_is_bounded():
     for cells in (1, 4, 20, 500):
         assert bayes._head_rows(cells) <= scale.BROADCAST_ROWS and bayes._head_rows(cells) * 8 * cells <= scale.BROADCAST_BYTES
+
+
+def test_merging_with_phrases_in_files(docs, monkeypatch):
+    phrases = words.learn_phrases(words.token_table(docs, "id", "text"), min_count=3, threshold=0.1, discount=1.0).cache()
+    sentences = docs.select("id", "sentences")
+    inside = words.apply_phrases(sentences, "id", "sentences", phrases, fits=True)
+    monkeypatch.setattr(mapped, "TOKENS", 40)
+    monkeypatch.setattr(mapped, "BLOCK_BYTES", 100)
+    beside = words.apply_phrases(sentences, "id", "sentences", phrases, fits=False)
+    _same(inside, beside)
+    assert "Exchange" not in beside.drop("id")._jdf.queryExecution().executedPlan().toString().replace("Scan", "").split("InMemory")[0]
+    monkeypatch.setattr(mapped, "MOST_BYTES", 0)
+    _same(inside, words.apply_phrases(sentences, "id", "sentences", phrases, fits=False))
+
+
+def test_runs_that_share_a_key_are_told_apart(monkeypatch):
+    entries = pa.table({"key": np.array([5, 5, 5, 9], np.int64), "word": ["a", "b", "c", "d"], "value": np.array([1, 2, 3, 4], np.int64)})
+    monkeypatch.setattr(mapped, "_opened", lambda name: entries.combine_chunks().to_batches()[0])
+    asked = pa.array(["c", "a", "x", "d", "b", None])
+    place, value = mapped.Files([("", -(1 << 63), (1 << 63) - 1)]).find(np.array([5, 5, 5, 9, 5, 9], np.uint64), lambda at: asked.take(pa.array(at)))
+    assert dict(zip(place.tolist(), value.tolist())) == {0: 3, 1: 1, 3: 4, 4: 2}
+
+
+def test_packed_counts_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(counting, "HELD_HASHES", 50)
+    monkeypatch.setattr(counting, "HELD_ROWS", 20)
+    rows = [(RNG.choice(["", "a", "đ", "ab"]), RNG.choice([None, "x", "yz", ""])) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "w1 string, w2 string").repartition(3).select("w1", "w2", F.xxhash64("w1", "w2").alias("_h"))
+    got = counting.counted(frame, ["w1", "w2"], lambda b: [pa.table({"w1": b.column(0), "w2": b.column(1), "_h": b.column(2)})])
+    assert {(r.w1, r.w2): r.n for r in got.collect()} == Counter(rows)
+    often = counting.frequent_hashes(frame, lambda b: [b.column(2).to_numpy().view(np.uint64)], 25)
+    mask = (1 << counting.HASH_BITS) - 1
+    want = {r._h & mask for r in frame.groupBy("_h").count().filter("count >= 25").collect()}
+    assert 0 < len(want) < 16 and {r._h for r in often.collect()} == want
