@@ -190,3 +190,34 @@ def test_packed_counts_are_whole(spark, monkeypatch):
     mask = (1 << counting.HASH_BITS) - 1
     want = {r._h & mask for r in frame.groupBy("_h").count().filter("count >= 25").collect()}
     assert 0 < len(want) < 16 and {r._h for r in often.collect()} == want
+
+
+def test_segment_with_a_lexicon_in_files(docs, monkeypatch):
+    lexicon = segment.learn_lexicon(docs, "sentences", min_count=3).cache()
+    rows = docs.select("id", "sentences")
+    inside = segment.segment(rows, "id", "sentences", lexicon, fits=True)
+    monkeypatch.setattr(mapped, "TOKENS", 40)
+    monkeypatch.setattr(mapped, "BLOCK_BYTES", 200)
+    _same(inside, segment.segment(rows, "id", "sentences", lexicon, fits=False))
+    monkeypatch.setattr(mapped, "MOST_BYTES", 0)
+    for cut in (1, 60, None):
+        monkeypatch.setattr(segment, "count_cut", lambda table, weight, cut=cut: cut)
+        _same(inside, segment.segment(rows, "id", "sentences", lexicon, fits=False))
+
+
+def test_many_paths_are_those_of_each_sentence():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 12, 60)
+    tokens = [str(x) for x in rng.integers(0, 3, sizes.sum())]
+    known = {" ".join(map(str, rng.integers(0, 3, k))): int(rng.integers(1, 9)) for k in (1, 2, 2, 2, 3, 3, 3, 4, 4) for _ in range(2)}
+    ends = np.cumsum(sizes).tolist()
+    costs = [np.full(len(tokens), 5 if k == 1 else segment.NOT_LISTED) for k in range(1, 5)]
+    for end, size in zip(ends, sizes.tolist()):
+        for i in range(end - size, end):
+            for k in range(1, min(4, end - i) + 1):
+                costs[k - 1][i] = known.get(" ".join(tokens[i:i + k]), costs[k - 1][i])
+    begins, total = segment.best_paths(costs, sizes)
+    for end, size, least in zip(ends, sizes.tolist(), total.tolist()):
+        own = tokens[end - size:end]
+        cuts = np.flatnonzero(begins[end - size:end]).tolist() + [size]
+        assert (["_".join(own[a:b]) for a, b in zip(cuts, cuts[1:])], least) == segment.best_path(own, known, 5, 4)
